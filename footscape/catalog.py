@@ -211,7 +211,7 @@ def folded_evidence(spark, sf):
     df = S.dedupe_evidence(A.union_evidence(T.derive_tag_evidence(df)))
 
     def side(c, label):
-        return df.select("segment_id", F.lit(label).alias("side"), F.explode(c).alias("e"))
+        return df.select("segment_id", F.lit(label).alias("side"), F.explode_outer(c).alias("e")).filter("e is not null")
 
     rows = side("barriers_folded", "b").unionByName(side("positives_folded", "p"))
     return rows.select("segment_id", "side", "e.id", r("e.weight", 4).alias("weight"), joined("e.sources").alias("sources"))

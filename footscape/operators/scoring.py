@@ -147,7 +147,7 @@ def freshness_state(df: DataFrame, now: Column, params: P.Params = P.DEFAULT,
     state = (F.when(ref.isNull(), "none").when(days <= params.recent_max_days, "recent")
              .when(days <= params.aging_max_days, "aging").otherwise("stale"))
     return df.withColumns({
-        "freshness_state": state, "age_days": half_up_int(days), "reference_at": ref,
+        "freshness_state": state, "age_days": F.when(ref.isNotNull(), half_up_int(days)), "reference_at": ref,
         "freshness_verified": v.isNotNull() & (e.isNull() | (v >= e)),
     })
 

@@ -8,13 +8,14 @@ with an exponent so that DuckDB reads them as doubles.
 from __future__ import annotations
 
 FRAGMENTS: dict[str, tuple[list[str], str]] = {}
+HEADS: dict[str, str] = {}  # recursive fragments: the part in front of AS
 
 
 def fragment(name: str, needs: list[str], sql: str) -> None:
     FRAGMENTS[name] = (needs, sql)
 
 
-def build(needs: list[str], select: str, recursive: bool = False) -> str:
+def build(needs: list[str], select: str) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -25,8 +26,8 @@ def build(needs: list[str], select: str, recursive: bool = False) -> str:
 
     for n in needs:
         visit(n)
-    ctes = ",\n".join(f"{n if '(' in FRAGMENTS[n][1].split('AS', 1)[0] else n} AS ({FRAGMENTS[n][1]})" for n in order)
-    head = "WITH RECURSIVE " if recursive else "WITH "
+    ctes = ",\n".join(f"{HEADS.get(n, n)} AS ({FRAGMENTS[n][1]})" for n in order)
+    head = "WITH RECURSIVE " if any(n in HEADS for n in order) else "WITH "
     return f"{head}{ctes}\n{select}" if ctes else select
 
 
@@ -405,5 +406,5 @@ FROM (SELECT *, has_manual AND m_result = 'corrected' AND m_status IS NOT NULL A
 ORACLES: dict[str, str] = {}
 
 
-def oracle(name: str, needs: list[str], select: str, recursive: bool = False) -> None:
-    ORACLES[name] = build(needs, select, recursive)
+def oracle(name: str, needs: list[str], select: str) -> None:
+    ORACLES[name] = build(needs, select)
