@@ -24,10 +24,8 @@ def filter_images(images: DataFrame, now: Column) -> DataFrame:
 def image_score(pairs: DataFrame, now: Column) -> DataFrame:
     """Add `score`, its four parts and `distance_m` to frame and segment pairs."""
     near = F.col("near")
-    line = F.col("geometry")
-    i = F.least(near["idx"], F.size(line) - 2)
-    delta = G.bearing_delta(F.col("compass_angle"), G.bearing(F.get(line, i), F.get(line, i + 1)))
-    direction = F.when(F.col("compass_angle").isNull() | (F.size(line) < 2), F.lit(0.5)).otherwise(
+    delta = G.bearing_delta(F.col("compass_angle"), G.bearing(near["a"], near["b"]))
+    direction = F.when(F.col("compass_angle").isNull() | (near["a"] == near["b"]), F.lit(0.5)).otherwise(
         F.lit(1.0) - F.lit(0.35) * (F.least(delta, F.lit(180.0) - delta) / 90.0))
     years = (F.unix_micros(now) - F.unix_micros("captured_at")) / F.lit(YEAR_DAYS * 86400e6)
     recency = (F.when(F.col("captured_at").isNull(), F.lit(0.3)).when(years <= 1, F.lit(1.0))
@@ -54,9 +52,7 @@ def select_frames(scored: DataFrame, max_frames: int = 3, spacing_m: float = P.I
     The result has `choice` from 1.
     """
     frame = F.struct("score", F.col("image_id"), "lng", "lat", "sequence_id", "distance_m", "captured_at", "compass_angle")
-    # best score first, the lower id among equals
     pool = cut(scored.select("segment_id", frame.alias("f")))
-    order = F.struct(F.col("f")["score"], F.lit(None).cast("string").alias("z"))
     chosen = None
     for n in range(1, max_frames + 1):
         if chosen is None:
@@ -68,7 +64,7 @@ def select_frames(scored: DataFrame, max_frames: int = 3, spacing_m: float = P.I
                 G.haversine(c["lng"], c["lat"], F.col("f")["lng"], F.col("f")["lat"]) >= spacing_m))
             used = F.exists("taken", lambda c: F.coalesce(c["sequence_id"] == F.col("f")["sequence_id"], F.lit(False)))
             open_ = j.filter(far).withColumn("fresh", ~used).drop("taken")
-        # min over (-score, id) is the best score with the lowest id
+        # fresh sequences first, then the best score, then the lowest id
         rank = F.struct((~F.col("fresh")).alias("late"), (-F.col("f")["score"]).alias("s"), F.col("f")["image_id"].alias("i"))
         picked = open_.groupBy("segment_id").agg(F.min_by("f", rank).alias("f")).withColumn("choice", F.lit(n))
         chosen = cut(picked if chosen is None else chosen.unionByName(picked))

@@ -46,24 +46,33 @@ def shape_cells(shapes: DataFrame, deg: float, radius_m: float) -> DataFrame:
 
 def points_near_lines(points: DataFrame, lines: DataFrame, radius_m: float, deg: float,
                       point_columns: list[str], line_columns: list[str]) -> DataFrame:
-    """Pairs of a point and a polyline within the radius, with `near` = STRUCT<dist, idx, t, foot>.
+    """Points with each straight piece of a polyline within the radius: `idx`, `t`, `dist`, `a`, `b`.
 
-    Only the lines are put into several cells; a point looks in its own cell, so a
-    pair is met once and needs no duplicate removal.
+    Only the pieces are put into several cells; a point looks in its own cell, so a
+    pair is met once.  A long polyline is as cheap as its pieces, and the distance
+    is plain arithmetic.  A cheap box test comes before the trigonometry.
     """
     pts = grid_cells(points.select(*point_columns, "lng", "lat"), deg)
-    shp = shape_cells(lines.select(*line_columns, "geometry"), deg, radius_m)
-    pts, shp = split_hot(pts, shp, ["cx", "cy"])
-    pairs = pts.join(shp, ["cx", "cy", "_salt"]).drop("cx", "cy", "_salt")
-    pairs = pairs.withColumn("near", G.point_to_line(F.col("lng"), F.col("lat"), F.col("geometry")))
-    return pairs.filter(F.col("near")["dist"] <= radius_m)
+    # a polyline of a single point is a piece of no length
+    line = F.when(F.size("geometry") == 1, F.array(F.struct(
+        F.lit(0).alias("i"), F.get("geometry", F.lit(0)).alias("a"), F.get("geometry", F.lit(0)).alias("b")))).otherwise(G.pieces(F.col("geometry")))
+    pcs = lines.select(*line_columns, F.explode(line).alias("p")).select(*line_columns, F.col("p.i").alias("idx"), "p.a", "p.b")
+    box = G.pad_bbox(G.bbox(F.array("a", "b")), radius_m * 1.01)
+    pcs = pcs.withColumn("box", box).withColumn("_c", F.explode(G.cells_of_box(F.col("box"), deg)))
+    pcs = pcs.select(*line_columns, "idx", "a", "b", "box", "_c.cx", "_c.cy")
+    pts, pcs = split_hot(pts, pcs, ["cx", "cy"])
+    near_box = F.col("lng").between(F.col("box.w"), F.col("box.e")) & F.col("lat").between(F.col("box.s"), F.col("box.n"))
+    pairs = pts.join(pcs, ["cx", "cy", "_salt"]).filter(near_box).drop("cx", "cy", "_salt", "box")
+    t, d = G.nearest_on_piece(F.col("lng"), F.col("lat"), F.col("a"), F.col("b"))
+    return pairs.withColumns({"t": t, "dist": d}).filter(F.col("dist") <= radius_m)
 
 
 def images_near_segments(images: DataFrame, segments: DataFrame) -> DataFrame:
-    """Frame and segment pairs within the search radius."""
-    return points_near_lines(
-        images, segments, P.IMAGE_RADIUS_M, 0.0006,
-        ["image_id", "captured_at", "compass_angle", "is_pano", "quality_score", "sequence_id"], ["segment_id"])
+    """Frame and segment pairs within the search radius, with `near` = the closest piece."""
+    attrs = ["lng", "lat", "captured_at", "compass_angle", "quality_score", "sequence_id"]
+    pairs = points_near_lines(images, segments, P.IMAGE_RADIUS_M, 0.0006, ["image_id", *attrs[2:]], ["segment_id"])
+    return pairs.groupBy("image_id", "segment_id").agg(
+        F.min(F.struct("dist", "idx", "t", "a", "b")).alias("near"), *[F.first(c).alias(c) for c in attrs])
 
 
 def snap_points(points: DataFrame, edges: DataFrame, radius_m: float = P.SNAP_RADIUS_M, key: str = "point_id") -> DataFrame:
@@ -71,11 +80,11 @@ def snap_points(points: DataFrame, edges: DataFrame, radius_m: float = P.SNAP_RA
 
     A plain minimum per point, so it is combined before the shuffle.
     """
-    pairs = points_near_lines(points, edges, radius_m, 0.002, [key], ["segment_id"])
-    best = pairs.groupBy(key).agg(F.min(F.struct(
-        F.col("near")["dist"].alias("dist"), F.col("segment_id"), F.col("near")["idx"].alias("idx"),
-        F.col("near")["t"].alias("t"), F.col("near")["foot"].alias("foot"))).alias("b"))
-    return best.select(key, "b.*")
+    pairs = points_near_lines(points, edges, radius_m, max(0.0006, 0.002 * radius_m / P.SNAP_RADIUS_M), [key], ["segment_id"])
+    best = pairs.groupBy(key).agg(F.min(F.struct("dist", "segment_id", "idx", "t", "a", "b")).alias("n"))
+    n = F.col("n")
+    return best.select(key, n["dist"].alias("dist"), n["segment_id"].alias("segment_id"), n["idx"].alias("idx"), n["t"].alias("t"),
+                       G.along(n["a"], n["b"], n["t"]).alias("foot"))
 
 
 def nearby_pois(segments: DataFrame, pois: DataFrame, radius_m: float = P.POI_RADIUS_M) -> DataFrame:

@@ -30,6 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     of many splits is left as it is.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) == 1 and name in SPREAD else df
 
