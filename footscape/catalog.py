@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,26 @@ def r(c: str | Column, d: int = 3) -> Column:
     return half_up(F.col(c) if isinstance(c, str) else c, d)
 
 
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(fn):
+    """Compute a stored table once per application and input folder.
+
+    Assessments, selected frames and found routes are tables of the domain that many
+    queries read; they are written out by a checkpoint and read again from there.
+    """
+    @wraps(fn)
+    def inner(spark: SparkSession, sf: str):
+        key = (fn.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _SHARED:
+            _SHARED[key] = fn(spark, sf)
+        return _SHARED[key]
+
+    return inner
+
+
+@shared
 def assessed(spark: SparkSession, sf: str) -> DataFrame:
     return A.assess(D.segments(spark, sf), D.observations(spark, sf), D.reports(spark, sf), D.now_observations())
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from footscape import params as P
-from footscape.catalog import assessed, joined, query, r
+from footscape.catalog import joined, query, r, shared
 from footscape.functions import geo as G
 from footscape.functions import text as X
 from footscape.operators import imagery as I
@@ -128,6 +127,7 @@ def frame_scores(spark, sf):
         "segment_id", "image_id", r("score", 3).alias("score"), r("direction", 3).alias("direction"), r("recency", 3).alias("recency"))
 
 
+@shared
 def discovered(spark, sf):
     return cut(PP.discover_imagery(D.segments(spark, sf), D.images(spark, sf), D.now_observations()))
 

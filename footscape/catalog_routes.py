@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from footscape import params as P
-from footscape.catalog import assessed, joined, query, r
+from footscape.catalog import assessed, joined, query, r, shared
 from footscape.functions import geo as G
 from footscape.operators import municipal as M
 from footscape.operators import network as N
 from footscape.operators import routing as R
-from footscape.operators.observations import newest_n
 from footscape.plans import priorities as PP
 from footscape.plans import routes as PR
 from footscape.session import cut
@@ -26,23 +25,29 @@ def edge_costs(spark, sf):
     return e.select("segment_id", "profile", "prefer_verified", "forbidden", r("cost", 2).alias("cost"), joined("blocked_by").alias("blocked_by"))
 
 
+@shared
+def found_routes(spark, sf):
+    return PR.find_routes(assessed(spark, sf), D.route_requests(spark, sf))
+
+
 @query
 def least_cost_paths(spark, sf):
-    _, paths, _ = PR.find_routes(assessed(spark, sf), D.route_requests(spark, sf))
+    _, paths, _ = found_routes(spark, sf)
     return paths.select("search_id", "found", r("cost", 2).alias("cost"), r("length_m", 1).alias("length_m"), "reason")
 
 
 @query
 def planned_routes(spark, sf):
-    plan = PR.plan_routes(assessed(spark, sf), D.route_requests(spark, sf))
+    plan = PR.compare_routes(*found_routes(spark, sf))
     return plan.select(
         "search_id", "found", "distance_m", "duration_s", "accessibility_score", "assessed_share", "evidence_confidence",
         "unknown_percent", "high_unknown", "extra_distance_m", "same_as_recommended", "warning",
         joined("barriers").alias("barriers"), joined("barriers_avoided").alias("avoided"), F.array_join("reasons", ",").alias("reasons"))
 
 
+@shared
 def legs_of(spark, sf):
-    searches, paths, edges = PR.find_routes(assessed(spark, sf), D.route_requests(spark, sf))
+    _, paths, edges = found_routes(spark, sf)
     return cut(R.route_edges(paths.filter("found"), edges))
 
 
@@ -88,10 +93,15 @@ def snapped_requests(spark, sf):
     return snapped.join(per, "request_id").select("request_id", "edges", "metres")
 
 
+@shared
+def detours(spark, sf):
+    a = assessed(spark, sf)
+    return cut(PR.detour_ratio(M.issue_worthy(a), a))
+
+
 @query
 def detour_ratio(spark, sf):
-    a = assessed(spark, sf)
-    return PR.detour_ratio(M.issue_worthy(a), a).select("segment_id", "detour_m", "ratio", "reason")
+    return detours(spark, sf).select("segment_id", "detour_m", "ratio", "reason")
 
 
 # --- priority ----------------------------------------------------------------------
@@ -111,12 +121,13 @@ def issue_worthy(spark, sf):
 
 @query
 def priority(spark, sf):
-    p = PP.prioritise(assessed(spark, sf), D.pois(spark, sf))
+    p = PP.prioritise(assessed(spark, sf), D.pois(spark, sf), detours=detours(spark, sf))
     points = F.map_from_entries(F.transform("breakdown", lambda b: F.struct(b["key"], b["points"])))
     return p.select("segment_id", "priority_score", "priority_band", points["priority.severity"].alias("severity"),
                     points["priority.no_accessible_alternative"].alias("no_alternative"), points["priority.safety_impact"].alias("safety"))
 
 
+@shared
 def queue(spark, sf):
     """The stored queue carried over, without detours (they have a query of their own)."""
     return cut(PP.prioritise(assessed(spark, sf), D.pois(spark, sf), stored_issues(spark, sf), detour=False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footscape import params as P
 from footscape.functions import geo as G
 from footscape.functions.numbers import half_up, half_up_int, lookup
+from footscape.operators.network import connected_components
 from footscape.operators.spatial import snap_points
 from footscape.session import cut
 
@@ -69,53 +70,92 @@ def edge_cost(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return x.withColumn("cost", F.when(~F.col("forbidden"), total)).drop("_len")
 
 
-def least_cost_paths(searches: DataFrame, edges: DataFrame, max_rounds: int = 2000, check_every: int = 1) -> DataFrame:
+def least_cost_paths(searches: DataFrame, edges: DataFrame, nodes: DataFrame, max_rounds: int = 5000) -> DataFrame:
     """Least-cost paths for many searches at once.
 
     searches: (search_id, profile, prefer_verified, region_id, start, goal[, without]); `without` is a
     segment to leave out.  edges: (segment_id, reversed, region_id, src, dst, length_m, profile,
-    prefer_verified, cost), forbidden ones removed.
+    prefer_verified, cost), forbidden ones removed.  nodes: (node, lng, lat).
 
-    Each round moves the frontier one edge on, keeps the cheapest state per
-    (search, node), and drops states that cannot beat the best arrival so far.
-    State and frontier are partitioned by search, the region graph bounds the
-    state of one search, and lineage is cut every round.  Equal costs are settled
-    by length, then by the path itself, so results repeat.
+    Each round moves the frontier one edge on, keeps the cheapest label per (search, node) and drops
+    labels that cannot beat the best arrival so far: a label counts at least its cost plus the straight
+    distance to the goal at the cheapest cost per metre of its graph.  Labels are small and of fixed
+    size, are partitioned by search, and are bounded by the region graph of the search; lineage is cut
+    every round.  Equal costs are settled by length, number of edges and last edge, so results repeat.
     Returns one row per search: found, cost, length_m, path (segment ids) and legs (the same with a
     leading minus where a segment is walked backwards).
     """
-    s = searches.withColumn("without", F.lit(None).cast("string")) if "without" not in searches.columns else searches
-    s = cut(s.select("search_id", "profile", "prefer_verified", "region_id", "start", "goal", "without"))
-    e = cut(edges.select("region_id", "profile", "prefer_verified", F.col("src").alias("node"), "dst", "segment_id", "length_m", "cost",
-                     F.concat(F.when(F.col("reversed"), "-").otherwise(""), F.col("segment_id")).alias("leg")))
-    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("len"), F.lit(0).alias("round"),
-                     F.array().cast("array<string>").alias("path"))
-    meta = ["search_id", "profile", "prefer_verified", "region_id", "goal", "without"]
-    state = s.select(*meta, F.col("start").alias("node"), start.alias("b"), F.lit(None).cast("double").alias("bound"))
+    s = searches if "without" in searches.columns else searches.withColumn("without", F.lit(None).cast("string"))
+    graph = F.concat_ws("|", "region_id", "profile", "prefer_verified").alias("graph")
+    at = lambda name: nodes.select(F.col("node").alias(name), F.col("lng").alias(f"{name}_lng"), F.col("lat").alias(f"{name}_lat"))
+    e = edges.select(graph, F.col("src").alias("node"), "dst", "segment_id", "length_m", "cost",
+                     F.concat(F.when(F.col("reversed"), "-").otherwise(""), F.col("segment_id")).alias("leg"))
+    e = e.join(at("node"), "node").join(at("dst"), "dst")
+    span = G.haversine(F.col("node_lng"), F.col("node_lat"), F.col("dst_lng"), F.col("dst_lat"))
+    e = cut(e.withColumn("rate", F.when(span > 0, F.col("cost") / span)).drop("node_lng", "node_lat"))
+    rates = e.groupBy("graph").agg((F.min("rate") * 0.999).alias("rate"))
+    s = s.select("search_id", graph, "start", "goal", "without").join(rates, "graph", "left").join(at("goal"), "goal", "left")
+    # a goal in another component is never reached: such searches would walk their whole component first
+    name = lambda c: F.concat_ws("|", "graph", c)
+    comp = cut(connected_components(e.select(name("node").alias("src"), name("dst").alias("dst"))))
+    s = s.withColumns({"_a": name("start"), "_z": name("goal")})
+    s = s.join(comp.select(F.col("node").alias("_a"), F.col("component").alias("_ca")), "_a", "left").join(
+        comp.select(F.col("node").alias("_z"), F.col("component").alias("_cz")), "_z", "left")
+    s = cut(s.withColumns({"rate": F.coalesce("rate", F.lit(0.0)), "_open": (F.col("start") == F.col("goal")) | F.coalesce(
+        F.col("_ca") == F.col("_cz"), F.lit(False))}).drop("_a", "_z", "_ca", "_cz"))
+    label = "struct<cost:double,len:double,round:int,leg:string>"
+    state = s.filter("_open").select("search_id", "graph", "goal", "without", "rate", "goal_lng", "goal_lat", F.col("start").alias("node"),
+                     F.struct(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit("")).cast(label).alias("b"), F.lit(None).cast("double").alias("bound"))
+    meta = ["graph", "goal", "without", "rate", "goal_lng", "goal_lat"]
     frontier = state
-    keys = ["region_id", "profile", "prefer_verified", "node"]
+    e = e.drop("rate")
     for n in range(1, max_rounds + 1):
-        step = frontier.join(e, keys).filter(F.col("without").isNull() | (F.col("segment_id") != F.col("without")))
-        moved = step.select(*meta, F.col("dst").alias("node"), F.struct(
-            (F.col("b")["cost"] + F.col("cost")).alias("cost"), (F.col("b")["len"] + F.col("length_m")).alias("len"),
-            F.lit(n).alias("round"), F.concat(F.col("b")["path"], F.array("leg")).alias("path")).alias("b"), "bound")
-        moved = moved.filter(F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound")))
-        merged = state.unionByName(moved).repartition("search_id").groupBy(*meta, "node").agg(F.min("b").alias("b"))
-        # the cheapest arrival so far bounds every other state of the search
+        step = frontier.join(e, ["graph", "node"]).filter(F.col("without").isNull() | (F.col("segment_id") != F.col("without")))
+        cost = F.col("b")["cost"] + F.col("cost")
+        left = F.col("rate") * F.coalesce(G.haversine(F.col("dst_lng"), F.col("dst_lat"), F.col("goal_lng"), F.col("goal_lat")), F.lit(0.0))
+        step = step.filter(F.col("bound").isNull() | (cost + left <= F.col("bound") + 1e-6))
+        moved = step.select("search_id", *meta, F.col("dst").alias("node"), F.struct(
+            cost, F.col("b")["len"] + F.col("length_m"), F.lit(n), F.col("leg")).cast(label).alias("b"), "bound")
+        merged = state.unionByName(moved).repartition("search_id").groupBy("search_id", "node").agg(
+            F.min("b").alias("b"), *[F.first(c, ignorenulls=True).alias(c) for c in meta])
+        # the cheapest arrival so far bounds every other label of the search
         arrived = F.min(F.when(F.col("node") == F.col("goal"), F.col("b")["cost"])).over(Window.partitionBy("search_id"))
-        state = merged.withColumn("bound", arrived).filter(
-            F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound")))
-        state = cut(state)
+        state = cut(merged.withColumn("bound", arrived).filter(F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound"))))
         frontier = state.filter((F.col("b")["round"] == n) & (F.col("node") != F.col("goal")))
-        if n % check_every == 0 and frontier.isEmpty():
+        if frontier.isEmpty():
             break
     else:
         raise RuntimeError("routing did not settle within the round limit")
-    goal = state.filter(F.col("node") == F.col("goal")).select("search_id", "b")
-    return s.join(goal, "search_id", "left").select(
-        "search_id", F.col("b").isNotNull().alias("found"), F.col("b")["cost"].alias("cost"), F.col("b")["len"].alias("length_m"),
-        F.col("b")["path"].alias("legs"), F.transform(F.col("b")["path"], lambda x: F.ltrim(x, F.lit("-"))).alias("path"),
-        F.when(F.col("b").isNull(), "no_path").alias("reason"))
+    arrived = state.filter(F.col("node") == F.col("goal")).select("search_id", "goal", "b")
+    paths = reconstruct_paths(arrived, state.select("search_id", "node", "b"), e.select("graph", "leg", F.col("node").alias("prev")).drop("graph").distinct(), n)
+    return s.join(paths, "search_id", "left").select(
+        "search_id", F.col("legs").isNotNull().alias("found"), "cost", "length_m", "legs",
+        F.transform("legs", lambda x: F.ltrim(x, F.lit("-"))).alias("path"), F.when(F.col("legs").isNull(), "no_path").alias("reason"))
+
+
+def reconstruct_paths(arrived: DataFrame, labels: DataFrame, leg_starts: DataFrame, max_hops: int, every: int = 8) -> DataFrame:
+    """Walk the last-edge pointers of the labels back from the goal; one join per edge of the longest path.
+
+    Only the labels on the way are met, and finished searches leave the loop.
+    """
+    back = labels.filter(F.col("b")["leg"] != "").select("search_id", "node", F.col("b")["leg"].alias("leg")).join(leg_starts, "leg")
+    back = cut(back)
+    open_ = arrived.select("search_id", F.col("b")["cost"].alias("cost"), F.col("b")["len"].alias("length_m"), F.col("goal").alias("node"),
+                           F.array().cast("array<string>").alias("legs"))
+    done = None
+    for i in range(0, max_hops + 1, every):
+        for _ in range(every):
+            j = open_.join(back, ["search_id", "node"], "left")
+            open_ = j.select("search_id", "cost", "length_m", F.coalesce("prev", "node").alias("node"),
+                             F.when(F.col("leg").isNull(), F.col("legs")).otherwise(F.concat(F.array("leg"), F.col("legs"))).alias("legs"),
+                             F.col("leg").isNull().alias("at_start"))
+        open_ = cut(open_)
+        finished = open_.filter("at_start").drop("at_start", "node")
+        done = finished if done is None else done.unionByName(finished)
+        open_ = open_.filter("not at_start").drop("at_start")
+        if open_.isEmpty():
+            break
+    return done
 
 
 def route_searches(requests: DataFrame) -> DataFrame:

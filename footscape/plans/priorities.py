@@ -34,13 +34,16 @@ def discover_imagery(segments: DataFrame, images: DataFrame, now: Column, box: C
 
 
 def prioritise(assessments: DataFrame, pois: DataFrame, stored: DataFrame | None = None, detour: bool = True,
-               params: P.Params = P.DEFAULT) -> DataFrame:
-    """Issues with score, breakdown and band for every segment that is worth one."""
+               detours: DataFrame | None = None, params: P.Params = P.DEFAULT) -> DataFrame:
+    """Issues with score, breakdown and band for every segment that is worth one.
+
+    `detours` takes a stored `detour_ratio` result; without it the detours are searched here.
+    """
     worthy = M.issue_worthy(assessments)
     pairs = SP.nearby_pois(worthy, pois)
     j = worthy.join(M.poi_pressure(pairs), "segment_id", "left").join(SP.nearest_pois(pairs), "segment_id", "left")
     if detour:
-        d = detour_ratio(worthy, assessments)
+        d = detours if detours is not None else detour_ratio(worthy, assessments)
         j = j.join(d.select("segment_id", F.col("ratio").alias("detour_ratio"), "detour_m", F.col("reason").alias("detour_reason")), "segment_id", "left")
     else:
         j = j.withColumn("detour_ratio", F.lit(None).cast("double"))

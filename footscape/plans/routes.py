@@ -20,21 +20,26 @@ def priced_edges(edges: DataFrame, searches: DataFrame) -> DataFrame:
 
 def find_routes(segments: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(searches, paths, directed edges) between nodes, three variants per request."""
-    _, edges = build_graph(segments)
+    nodes, edges = build_graph(segments)
     searches = R.route_searches(requests)
-    return searches, cut(R.least_cost_paths(searches, priced_edges(edges, searches))), edges
+    return searches, cut(R.least_cost_paths(searches, priced_edges(edges, searches), nodes)), edges
 
 
 def plan_routes(segments: DataFrame, requests: DataFrame) -> DataFrame:
     """Every request's three variants with summary, comparison and warning."""
-    searches, paths, edges = find_routes(segments, requests)
+    return compare_routes(*find_routes(segments, requests))
+
+
+def compare_routes(searches: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Summary, comparison and warning from found paths; see `find_routes`."""
     j = searches.join(paths, "search_id")
     found = j.filter("found")
     legs = cut(R.route_edges(found.select("search_id", "legs"), edges))
     routes = found.select("search_id", "request_id", "variant", "profile", "prefer_verified", "cost", "path")
     summary = R.explain_route(R.route_summary(legs, routes))
     rec = j.filter("variant = 'recommended'").select("request_id", F.col("path").alias("_rp"), F.col("found").alias("_rf"))
-    out = j.select("search_id", "request_id", "variant", "profile", "found", "reason", F.col("path").alias("_path")).join(rec, "request_id")
+    out = j.select("search_id", "request_id", "variant", "profile", "found", "reason",
+                   F.col("path").alias("_path")).join(rec, "request_id")
     out = out.join(summary.drop("request_id", "variant", "profile", "path"), "search_id", "left")
     same = F.when(F.col("variant") != "recommended", F.col("_path").eqNullSafe(F.col("_rp")))
     has_short = F.max(F.when(F.col("variant") == "shortest", F.col("found").cast("int"))).alias("s")
@@ -52,11 +57,11 @@ def detour_ratio(segments: DataFrame, edges_from: DataFrame, profile: str = "whe
     All given segments are searched in one batch; `reason` tells a missing
     alternative from an unusable length.
     """
-    _, edges = build_graph(edges_from)
+    nodes, edges = build_graph(edges_from)
     searches = segments.select(
         F.col("segment_id").alias("search_id"), F.lit(profile).alias("profile"), F.lit(False).alias("prefer_verified"),
         "region_id", F.col("from_node").alias("start"), F.col("to_node").alias("goal"), F.col("segment_id").alias("without"))
-    paths = R.least_cost_paths(searches, priced_edges(edges, searches))
+    paths = R.least_cost_paths(searches, priced_edges(edges, searches), nodes)
     j = segments.select("segment_id", F.col("length_m").alias("direct_m")).join(
         paths.select(F.col("search_id").alias("segment_id"), "found", F.col("length_m").alias("_d")), "segment_id")
     return j.select(

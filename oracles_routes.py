@@ -34,23 +34,28 @@ fragment("dsearch", ["assess"], """SELECT segment_id AS search_id, region_id, fr
 
 
 def paths(name: str, source: str) -> None:
-    """Cheapest (cost, length, edges, path) per search and node; lexicographic order settles ties."""
+    """Cheapest label (cost, length, edges, last edge) per search and node, and the path it points back along."""
     HEADS[name] = f"{name}(search_id, node, b, goal) USING KEY (search_id, node)"
     fragment(f"{name}_e", ["priced"], "SELECT region_id, profile, pv, src, dst, segment_id, length_m, cost, CASE WHEN rev THEN '-' ELSE '' END || segment_id AS leg FROM priced WHERE len(blocked_by) = 0")
     fragment(name, [source, f"{name}_e"], f"""
-SELECT search_id, start, {{'cost': 0e0, 'len': 0e0, 'hops': 0, 'path': []::VARCHAR[]}}, goal FROM {source}
+SELECT search_id, start, {{'cost': 0e0, 'len': 0e0, 'hops': 0, 'leg': ''}}, goal FROM {source}
 UNION (SELECT n.search_id, n.dst, min(n.nb), any_value(n.goal) FROM (
-   SELECT d.search_id, e.dst, {{'cost': d.b.cost + e.cost, 'len': d.b.len + e.length_m, 'hops': d.b.hops + 1, 'path': list_append(d.b.path, e.leg)}} AS nb, d.goal
+   SELECT d.search_id, e.dst, {{'cost': d.b.cost + e.cost, 'len': d.b.len + e.length_m, 'hops': d.b.hops + 1, 'leg': e.leg}} AS nb, d.goal
    FROM {name} d JOIN {source} s USING (search_id) JOIN {name}_e e ON e.region_id = s.region_id AND e.profile = s.profile AND e.pv = s.pv AND e.src = d.node
    LEFT JOIN recurring.{name} g ON g.search_id = d.search_id AND g.node = d.goal
    WHERE (s.without IS NULL OR e.segment_id <> s.without) AND d.node <> d.goal AND (g.b IS NULL OR d.b.cost + e.cost <= g.b.cost)) n
  LEFT JOIN recurring.{name} r ON r.search_id = n.search_id AND r.node = n.dst
  WHERE r.b IS NULL OR n.nb < r.b GROUP BY 1, 2)""")
+    HEADS[f"{name}_b"] = f"{name}_b(search_id, node, path)"
+    fragment(f"{name}_b", [name, f"{name}_e"], f"""SELECT search_id, node, []::VARCHAR[] FROM {name} WHERE node = goal
+UNION ALL SELECT x.search_id, e.src, list_prepend(p.b.leg, x.path) FROM {name}_b x JOIN {name} p ON p.search_id = x.search_id AND p.node = x.node AND p.b.leg <> ''
+JOIN (SELECT DISTINCT leg, src FROM {name}_e) e ON e.leg = p.b.leg""")
+    fragment(f"{name}_p", [f"{name}_b"], f"SELECT search_id, arg_max(path, len(path)) AS path FROM {name}_b GROUP BY 1")
 
 
 paths("sp", "search")
 paths("dp", "dsearch")
-fragment("routed", ["search", "sp"], "SELECT s.*, p.b IS NOT NULL AS found, p.b.cost AS cost, p.b.len AS length_m, p.b.path AS path FROM search s LEFT JOIN sp p ON p.search_id = s.search_id AND p.node = s.goal")
+fragment("routed", ["search", "sp", "sp_p"], "SELECT s.*, p.b IS NOT NULL AS found, p.b.cost AS cost, p.b.len AS length_m, q.path FROM search s LEFT JOIN sp p ON p.search_id = s.search_id AND p.node = s.goal LEFT JOIN sp_p q ON q.search_id = s.search_id")
 oracle("least_cost_paths", ["routed"], f"""SELECT search_id, found, {half_up('cost', 2)} AS cost, {half_up('length_m', 1)} AS length_m, CASE WHEN NOT found THEN 'no_path' END AS reason FROM routed""")
 fragment("leg", ["routed", "edge"], """SELECT r.search_id, r.pos, e.* FROM (SELECT search_id, unnest(path) AS leg, unnest(range(len(path))) AS pos FROM routed WHERE found) r
   JOIN edge e ON e.segment_id = ltrim(r.leg, '-') AND e.rev = starts_with(r.leg, '-')""")
