@@ -213,9 +213,9 @@ fragment("sjobs", ["jobs"], "SELECT *, status IN ('queued', 'running') AND coale
 oracle("stale_jobs", ["sjobs"], "SELECT job_id, CASE WHEN stale THEN 'failed' ELSE status END AS status, stale FROM sjobs")
 oracle("job_outcomes", ["jobs"], "SELECT CASE WHEN ec > 0 AND sc = 0 THEN 'failed' WHEN ec > 0 THEN 'partial' ELSE 'completed' END AS outcome, count(*) AS n FROM jobs GROUP BY 1")
 oracle("audit_changes", ["sjobs"], "SELECT job_id, CASE WHEN job_id % 10 > 0 THEN status END AS before, CASE WHEN job_id % 10 < 9 THEN CASE WHEN stale THEN 'failed' ELSE status END END AS after, CASE WHEN job_id % 10 < 9 THEN false END AS leaks FROM sjobs")
-oracle("saved_places", [], """SELECT user_id, place_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at DESC, place_id) AS rn FROM (
-  SELECT user_id, event_id % 400 AS place_id, max(ts) AS at FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2)) WHERE rn <= 10""")
-oracle("segment_details", ["assess", "elog"], """SELECT segment_id, a.status AS assessed_status, CAST(least(12, observation_count) AS INT) AS observations, CAST(coalesce(least(10, n), 0) AS INT) AS events, latest
+oracle("saved_places", [], """SELECT user_id, place_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, place_id) AS rn FROM (
+  SELECT user_id, event_id % 400 AS place_id, max(ts) AS seen FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2)) WHERE rn <= 10""")
+oracle("segment_details", ["assess", "elog"], """SELECT segment_id, a.status AS assessed_status, CAST(least(12, observation_count) AS INT) AS observations, CAST(CASE WHEN n IS NULL THEN 0 ELSE least(10, n) END AS INT) AS events, latest
   FROM assess a LEFT JOIN (SELECT segment_id, count(*) AS n, arg_max(status, ts) AS latest FROM elog GROUP BY 1) USING (segment_id)""")
 fragment("bundle", ["assess"], f"SELECT region_id, count(*) AS segment_count, {half_up('sum(length_m)')} AS total_length_m, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in P.STATUSES) + " FROM assess GROUP BY 1")
 oracle("region_catalogue", ["bundle"], "SELECT region_id, segment_count, row_number() OVER (ORDER BY segment_count % 2 <> 0, region_id) = 1 AS is_default FROM bundle")
