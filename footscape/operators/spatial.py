@@ -68,11 +68,21 @@ def points_near_lines(points: DataFrame, lines: DataFrame, radius_m: float, deg:
 
 
 def images_near_segments(images: DataFrame, segments: DataFrame) -> DataFrame:
-    """Frame and segment pairs within the search radius, with `near` = the closest piece."""
+    """Frame and segment pairs within the search radius, with `near` = the closest piece.
+
+    A segment of one piece meets a frame once and needs no further shuffle; only
+    longer polylines are reduced to their closest piece.
+    """
     attrs = ["lng", "lat", "captured_at", "compass_angle", "quality_score", "sequence_id"]
-    pairs = points_near_lines(images, segments, P.IMAGE_RADIUS_M, 0.0006, ["image_id", *attrs[2:]], ["segment_id"])
-    return pairs.groupBy("image_id", "segment_id").agg(
-        F.min(F.struct("dist", "idx", "t", "a", "b")).alias("near"), *[F.first(c).alias(c) for c in attrs])
+    near = F.struct("dist", "idx", "t", "a", "b")
+
+    def pairs(part):
+        return points_near_lines(images, part, P.IMAGE_RADIUS_M, 0.0006, ["image_id", *attrs[2:]], ["segment_id"])
+
+    straight = pairs(segments.filter(F.size("geometry") <= 2)).select("image_id", "segment_id", near.alias("near"), *attrs)
+    bent = pairs(segments.filter(F.size("geometry") > 2)).groupBy("image_id", "segment_id").agg(
+        F.min(near).alias("near"), *[F.first(c).alias(c) for c in attrs])
+    return straight.unionByName(bent)
 
 
 def snap_points(points: DataFrame, edges: DataFrame, radius_m: float = P.SNAP_RADIUS_M, key: str = "point_id") -> DataFrame:

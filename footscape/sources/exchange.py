@@ -132,8 +132,8 @@ def unpack_geometry(df: DataFrame, column: str = "geometry") -> DataFrame:
 def write_upsert(df: DataFrame, path: str, keys: list[str], partition: str = "region_id") -> None:
     """Idempotent keyed write to a Parquet table: same ids replace, none are duplicated.
 
-    Only the partitions that the new rows touch are read and replaced.  Rows are
-    staged in a sibling folder first, since a table cannot be read and replaced in one job.
+    Only the partitions that the new rows touch are read and replaced.  The merged
+    rows are checkpointed first, since a table cannot be read and replaced in one job.
     """
     spark = df.sparkSession
     new = df.dropDuplicates(keys)
