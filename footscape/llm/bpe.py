@@ -131,8 +131,8 @@ class Codec:
             self.known, self.first, self.chars = {}, {}, 0
         cut = [(_SAFE_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) if t else [] for t in texts]
         pieces: dict[str, bytes] = {}
-        self._learn({p[0] for p in cut if p} - self.first.keys(), "", self.first, pieces)
-        self._learn(set().union(*(p[1:] for p in cut)) - self.known.keys(), " ", self.known, pieces)
+        self._learn({p[0] for p in cut if p}.difference(self.first), "", self.first, pieces)
+        self._learn(set().union(*(p[1:] for p in cut)).difference(self.known), " ", self.known, pieces)
         known = self.known.__getitem__
         return [self.first[p[0]] + b"".join(map(known, p[1:])) if p else b"" for p in cut]
 

@@ -47,7 +47,7 @@ class Shingler:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         known = self.known
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(h))

@@ -71,7 +71,7 @@ def word_ids(tokenizer, known: dict[str, bytes], texts: list[str], end: bytes) -
     if len(known) > CACHE_WORDS:
         known.clear()
     cut = [t.split(" ") for t in texts]
-    new = list(set().union(*cut) - known.keys())
+    new = list(set().union(*cut).difference(known))
     for k in range(0, len(new), 4096):
         for w, e in zip(new[k:k + 4096], tokenizer.encode_batch(new[k:k + 4096], add_special_tokens=False)):
             known[w] = np.array(e.ids, "<u4").tobytes()

@@ -130,7 +130,7 @@ class Scorer:
         if len(self.known) > CACHE_WORDS:
             self.known, self.total, self.count = {}, [], []
         cut = [t.split() for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
+        new = list(set().union(*cut).difference(self.known))
         if new:
             self._learn(new)
         total = np.concatenate(self.total) if self.total else np.empty(0)

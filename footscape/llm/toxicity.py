@@ -128,7 +128,7 @@ class Scorer:
         if len(self.known) > CACHE_WORDS:
             self.known, self.of = {}, np.empty((0, 3))
         cut = [t.split() for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
+        new = list(set().union(*cut).difference(self.known))
         if new:
             inner = [_WORD.findall(w.lower()) for w in new]
             flat = list(set().union(*inner))
