@@ -20,11 +20,11 @@ WIDE = 24
 MAP_BITS = 1 << 23
 #: Blocks of n-gram columns: per document and block, the number of its n-grams bounds an overlap.
 BLOCKS = 64
-#: Pivots that each wide column is compared with before its remaining pairs are listed.
-PIVOTS = 4
+#: Pivots that each wide column is multiplied with before its remaining pairs are listed. Columns that share documents
+#: choose the same ones.
+PIVOTS = 12
 CACHE_WORDS = 1 << 18
 _MASK = (1 << 64) - 1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ** 5) & _MASK | 1) for k in range(64)]
 
 
@@ -34,27 +34,35 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Words(dict):
+    """Digests of words; new ones are made when asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """Sorted distinct 64-bit digests of a text's word n-grams."""
+    """Sorted distinct 64-bit digests of a text's word n-grams: a mixed linear form of the words' digests."""
 
     def __init__(self, n: int = N):
-        self.n, self.known = n, {}
+        self.n, self.known = n, _Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and white space of 20 and 09-0D
         if not words:
             return np.empty(0, np.uint64)
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(h))
-        total = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            total = _scramble(total * _MIX + h[k:len(h) - n + 1 + k] * _STEP[k])
-        return np.unique(total)
+        m = len(h) - n + 1
+        total = h[:m] * _STEP[0] + np.uint64(n)
+        for k in range(1, n):
+            total += h[k:m + k] * _STEP[k]
+        total = _scramble(total)
+        total.sort()
+        return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def least_overlap(a, b, numer: int = NUMER, denom: int = DENOM):
@@ -215,13 +223,14 @@ def _narrow_pairs(entries: DataFrame, wide: int, numer: int, denom: int) -> tupl
 
 
 def block_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """(doc_id, size, counts): how many n-grams of each document fall into each block of columns (32-bit integers)."""
+    """(doc_id, size, counts): how many n-grams of each document fall into each block of columns, a byte each; 255
+    stands for that many or more."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for f in frames:
             sets = [shingle(t.as_py()) for t in f.column("text")]
-            counts = [np.bincount((s % np.uint64(blocks)).astype(np.int64), minlength=blocks).astype("<i4").tobytes() for s in sets]
+            counts = [np.bincount((s % np.uint64(blocks)).astype(np.int64), minlength=blocks).clip(0, 255).astype(np.uint8).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([f.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(counts, pa.binary())], names=["doc_id", "size", "counts"])
 
     return _arrow(docs, run, "doc_id long, size int, counts binary")
@@ -248,7 +257,10 @@ def _bounded(pairs: DataFrame, counts: DataFrame, blocks: int, numer: int, denom
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            col = lambda n: np.frombuffer(b"".join(f.column(n).to_pylist()), "<i4").reshape(-1, blocks)
+            def col(name: str) -> np.ndarray:
+                c = np.frombuffer(b"".join(f.column(name).to_pylist()), np.uint8).reshape(-1, blocks).astype(np.int32)
+                return np.where(c == 255, 1 << 24, c)
+
             za, zb = (f.column(n).to_numpy().astype(np.int64) for n in ("za", "zb"))
             ok = np.minimum(col("ca"), col("cb")).sum(1) >= least_overlap(za, zb, numer, denom) if len(za) else np.empty(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(f.column(n).to_numpy()[ok]) for n in ("a", "b")], names=["a", "b"])
@@ -286,7 +298,7 @@ def links(reps: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, w
     over = few.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > wide).select("gram")
     cols = ["gram", "doc_id", "size", "room"]
     broad = stored(entries.filter("frequent").select(cols).unionByName(few.join(over, "gram", "left_semi").select(cols)))
-    pivots = broad.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("s")).agg(F.min(F.struct(F.xxhash64("doc_id", "gram").alias("h"), "doc_id", "size", "room")).alias("p"))
+    pivots = broad.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("s")).agg(F.min(F.struct(F.hash("doc_id").alias("h"), "doc_id", "size", "room")).alias("p"))
     pivots = stored(pivots.select("gram", "p.doc_id", "p.size", "p.room"))
     star = broad.alias("x").join(pivots.alias("p"), (F.col("x.gram") == F.col("p.gram")) & (F.col("x.doc_id") != F.col("p.doc_id")) & _possible("x", "p", numer, denom)).select(
         F.least("x.doc_id", "p.doc_id").alias("a"), F.greatest("x.doc_id", "p.doc_id").alias("b"))
