@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +17,8 @@ from footscape.llm.bpe import batches
 from footscape.llm.common import stored
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 256, 1
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 20
+_MARKED = re.compile(r"[^\W\d_]+[.,;:!?%$&#*|]+")
 #: Pieces that are packed together in the second pass: one task takes the open bins of so many tasks.
 BINS_A_TASK = 1 << 14
 
@@ -66,16 +69,55 @@ class BestFit:
         return left
 
 
-def word_ids(tokenizer, known: dict[str, bytes], texts: list[str], end: bytes) -> list[bytes]:
-    """The ids of each text and the end id. No token reaches over a space, so each word is looked up once."""
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    cut = [t.split(" ") for t in texts]
-    new = list(set().union(*cut).difference(known))
-    for k in range(0, len(new), 4096):
-        for w, e in zip(new[k:k + 4096], tokenizer.encode_batch(new[k:k + 4096], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) + end for ws in cut]
+class Words:
+    """Ids of words. No token reaches over a space, so each word is looked up once; what is known serves later batches."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+
+    def _together(self, words: list[str], parts: int) -> None:
+        """Encode words of so many parts each, as one text; each part has one token that ends it. Where the number differs
+        nothing is learned."""
+        for k in range(0, len(words), 2048):
+            some = words[k:k + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == parts * len(some) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, to in zip(some, (4 * cut[parts - 1::parts]).tolist()):
+                    self.known[w] = raw[at:to]
+                    at = to
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters, and those with marks behind them, are encoded many at a time, the others one by one."""
+        self._together([w for w in words if w.isalpha()], 1)
+        self._together([w for w in words if _MARKED.fullmatch(w)], 2)
+        rest = [w for w in words if w not in self.known]
+        for k in range(0, len(rest), 4096):
+            for w, e in zip(rest[k:k + 4096], self.tokenizer.encode_batch(rest[k:k + 4096], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str], end: bytes) -> list[bytes]:
+        """The ids of each text and the end id."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        cut = [t.split(" ") for t in texts]
+        self._learn(list(set().union(*cut).difference(self.known)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) + end for ws in cut]
+
+
+@functools.lru_cache(1)
+def shared_words(path: str) -> Words:
+    return Words(path)
 
 
 _PIECE = [("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())]
@@ -100,12 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     def first(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-        end, known, rows = end_id.to_bytes(4, "little"), {}, []
+        words, end, rows = shared_words(tokenizer_path), end_id.to_bytes(4, "little"), []
         serial = iter(range(TaskContext.get().partitionId() << 40, 1 << 62))
 
         def emit(items: list[tuple], still: bool = False) -> None:
@@ -119,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             ids_of, texts = frame.column("doc_id").to_pylist(), [t or "" for t in frame.column("text").to_pylist()]
             done = 0
             for group in batches(texts):
-                for doc, ids in zip(ids_of[done:done + len(group)], word_ids(tokenizer, known, group, end)):
+                for doc, ids in zip(ids_of[done:done + len(group)], words.ids(group, end)):
                     for piece, at in enumerate(range(0, len(ids), size)):
                         part = ids[at:at + size]
                         fit.add((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), len(part) // 4)
