@@ -38,6 +38,10 @@ NOTICES = [
 ]
 
 
+#: Every rule's words hold one of these; a text without any is passed over before the keywords.
+GATE = ["licen", "gpl ", "gfdl ", " mpl ", " epl ", " eupl ", "cddl ", " ofl ", "odbl ", "apache ", "sspl ", "busl ", " cc by ", "creative commons ", " public domain ", " rights reserved ", "copyright ", "permission ", "redistribution ", "warrant"]
+
+
 @dataclass(frozen=True)
 class Rule:
     """A pattern over words between single spaces. Higher priority wins; `weight` is a detection's certainty."""
@@ -82,21 +86,19 @@ def _spans(norm: Column, rule: Column) -> Column:
     """Where a rule fits: structs of first and last word (from 0). Between two fits lies a gap; a running count of the
     spaces of gaps and fits gives the words before each."""
     pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    fits = F.regexp_extract_all(norm, pattern, F.lit(0))
     gaps = F.transform(F.split(norm, pattern, -1), _spaces)
-    sizes = F.transform(fits, lambda m: _spaces(m))
-    nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
-    walk = F.aggregate(sizes, nothing, lambda acc, n: F.struct(
-        (acc["at"] + F.get(gaps, acc["i"]) + n).alias("at"), (acc["i"] + 1).alias("i"),
-        F.concat(acc["found"], F.array(F.struct((acc["at"] + F.get(gaps, acc["i"]) - 1).alias("first"), (acc["at"] + F.get(gaps, acc["i"]) - 1 + n).alias("last")))).alias("found")))
+    sizes = F.transform(F.regexp_extract_all(norm, pattern, F.lit(0)), _spaces)
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
+    walk = F.aggregate(F.zip_with(gaps, sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n"))), nothing, lambda acc, x: F.when(x["n"].isNull(), acc).otherwise(F.struct(
+        (acc["at"] + x["g"] + x["n"]).alias("at"),
+        F.concat(acc["found"], F.array(F.struct((acc["at"] + x["g"] - 1).alias("first"), (acc["at"] + x["g"] - 1 + x["n"]).alias("last")))).alias("found"))))
     return walk["found"]
 
 
-def detections(norm: Column, ordered: list[Rule]) -> Column:
-    """All fits of all rules whose keyword the text has: structs of first, last, priority, label, weight, base."""
+def detections(norm: Column, live: Column, ordered: list[Rule]) -> Column:
+    """All fits of all rules whose keyword is among those that the text has, `live`: structs of first, last, priority, label, weight, base."""
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base")) for r in ordered])
-    live = F.filter(table, lambda r: F.instr(norm, r["keyword"]) > 0)
-    return F.flatten(F.transform(live, lambda r: F.transform(_spans(norm, r), lambda s: F.struct(
+    return F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(live, r["keyword"])), lambda r: F.transform(_spans(norm, r), lambda s: F.struct(
         s["first"].alias("first"), (-s["last"]).alias("neg_last"), (-r["priority"]).alias("neg_priority"), r["label"].alias("label"), r["weight"].alias("weight"), r["base"].alias("base")))))
 
 
@@ -122,23 +124,24 @@ def surviving(found: Column, priorities: list[int]) -> Column:
     return F.aggregate(F.array_sort(found), start, step)["kept"]
 
 
-def scan(docs: DataFrame, ordered: list[Rule] | None = None) -> DataFrame:
+def scan(docs: DataFrame, ordered: list[Rule] | None = None, gates: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per row of `docs` (doc_id, text, ...).
 
-    A null or empty text has no words. Only texts that hold a keyword are matched with rules, and only with
+    A null or empty text has no words. Only texts that hold a string of GATE are matched with rules, and only with
     those of their keywords. Base phrases count at all their places, whatever suppresses them; `labels` are theirs
     and those of detections that survive. The score is one minus the product of the labels' doubts (the
-    surest detection of each). No label gives empty strings, null places and 0. All is done within a row, so repeated rows
+    surest detection of each). With rules of one's own, `gates` must name a string of each. No label gives empty strings, null places and 0. All is done within a row, so repeated rows
     repeat and nothing is shuffled; other columns are ignored.
     """
     ordered = ordered or rules()
-    keywords = sorted({r.keyword for r in ordered})
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
     gate = F.lit(False)
-    for k in keywords:
+    for k in GATE if gates is None else gates:
         gate = gate | F.contains(F.col("norm"), F.lit(k))
-    found = words.withColumn("n_words", (_spaces(F.col("norm")) - 1).cast("long")).withColumn(
-        "found", F.when(gate, detections(F.col("norm"), ordered)).otherwise(F.array().cast(_FOUND))).drop("norm")
+    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in ordered})])
+    words = words.withColumn("n_words", (_spaces(F.col("norm")) - 1).cast("long")).withColumn(
+        "live", F.when(gate, F.filter(keywords, lambda k: F.instr(F.col("norm"), k) > 0)).otherwise(F.array().cast("array<string>")))
+    found = words.withColumn("found", F.when(F.size("live") > 0, detections(F.col("norm"), F.col("live"), ordered)).otherwise(F.array().cast(_FOUND))).drop("norm", "live")
     kept = found.withColumn("kept", F.when(F.size("found") > 0, surviving(F.col("found"), sorted({r.priority for r in ordered}))))
     base = F.filter("found", lambda d: d["base"])
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda d: d["label"])))
