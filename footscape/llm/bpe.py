@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import re
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 _UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words kept between batches, and their characters; the memory is emptied beyond that.
-CACHE_WORDS, CACHE_CHARS = 1 << 18, 1 << 23
+CACHE_WORDS, CACHE_CHARS = 1 << 20, 1 << 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -26,7 +27,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay_merges(words: list[bytes], ranks: dict[bytes, int], vocab: list[bytes]) -> list[list[int]]:
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of each pair of tokens whose bytes together are a token; a pair (a, b) has the key a << 32 | b."""
+    return {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+
+
+def replay_merges(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> list[list[int]]:
     """Token ids of each word: all words are merged together, rank by rank.
 
     `found` maps the rank of a token pair to the places where that pair stands, over all words. The lowest
@@ -34,28 +40,23 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], vocab: list[bytes
     looked up anew. A word in which that brings up a lower rank waits until that one has been applied, as
     it would if it were merged alone.
     """
-    sym: list[int] = []
-    owner: list[int] = []
-    heads: list[int] = []
-    for k, w in enumerate(words):
-        heads.append(len(sym))
-        sym.extend(ranks[w[i:i + 1]] for i in range(len(w)))
-        owner.extend([k] * len(w))
-    n = len(sym)
-    nxt = [i + 1 if i + 1 < n and owner[i + 1] == owner[i] else -1 for i in range(n)]
-    prv = [i - 1 if i and owner[i - 1] == owner[i] else -1 for i in range(n)]
-    pair_rank: dict[tuple[int, int], int] = {}
-
-    def rank(a: int, b: int) -> int:
-        r = pair_rank.get((a, b))
-        if r is None:
-            r = pair_rank[a, b] = ranks.get(vocab[a] + vocab[b], -1)
-        return r
-
+    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    head = np.cumsum(size) - size
+    first = single[np.frombuffer(b"".join(words), np.uint8)]
+    sym, owner = first.tolist(), np.repeat(np.arange(len(words)), size)
+    here = np.arange(len(first))
+    nxt = np.where(here + 1 < np.repeat(head + size, size), here + 1, -1).tolist()
+    prv = np.where(here > np.repeat(head, size), here - 1, -1).tolist()
+    owner = owner.tolist()
+    rank = pairs.get
     found: dict[int, list[int]] = {}
-    for i in range(n):
-        if nxt[i] >= 0 and (r := rank(sym[i], sym[nxt[i]])) >= 0:
-            found.setdefault(r, []).append(i)
+    for i, r in enumerate(map(rank, (first[:-1] << 32 | first[1:]).tolist())):
+        if r is not None and nxt[i] >= 0:
+            if r in found:
+                found[r].append(i)
+            else:
+                found[r] = [i]
     heap = list(found)
     heapq.heapify(heap)
     while heap:
@@ -68,7 +69,7 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], vocab: list[bytes
         later: list[int] = []
         for i in places:
             j = nxt[i]
-            if sym[i] < 0 or j < 0 or rank(sym[i], sym[j]) != r:
+            if j < 0 or sym[i] < 0 or rank(sym[i] << 32 | sym[j]) != r:
                 continue
             if owner[i] in waiting:
                 later.append(i)
@@ -77,20 +78,21 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], vocab: list[bytes
             sym[i], sym[j], nxt[i] = r, -1, after
             if after >= 0:
                 prv[after] = i
-            for at in ((before, i) if before >= 0 else (i,)):
-                if nxt[at] >= 0 and (x := rank(sym[at], sym[nxt[at]])) >= 0:
-                    if x not in found:
-                        found[x] = []
+            for at, to in ((before, i), (i, after)):
+                if at >= 0 and to >= 0 and (x := rank(sym[at] << 32 | sym[to])) is not None:
+                    if x in found:
+                        found[x].append(at)
+                    else:
+                        found[x] = [at]
                         heapq.heappush(heap, x)
-                    found[x].append(at)
                     if x < r:
                         waiting.add(owner[i])
         if later:
             found[r] = later
             heapq.heappush(heap, r)
     out = []
-    for k, w in enumerate(words):
-        ids, i = [], heads[k] if w else -1
+    for i, w in zip(head.tolist(), words):
+        ids, i = [], i if w else -1
         while i >= 0:
             ids.append(sym[i])
             i = nxt[i]
@@ -102,21 +104,23 @@ class Codec:
     """Encodes batches of texts as the public library does, without special tokens, and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern)
+        self.ranks, self.pairs, self.split = ranks, pair_ranks(ranks), regex.compile(pattern)
         self.vocab = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
             self.vocab[r] = token
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.chars = 0
 
-    def _learn(self, parts: Iterable[str], lead: str, into: dict[str, bytes], pieces: dict[str, bytes]) -> None:
+    def _learn(self, parts: Iterable[str], lead: str, into: dict[str, bytes]) -> None:
+        pieces = self.pieces
         new = {p: self.split.findall(lead + p) for p in parts}
         fresh = list({w for ws in new.values() for w in ws if w not in pieces})
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         whole = [self.ranks.get(b) for b in raw]
         open_ = [k for k, r in enumerate(whole) if r is None]
-        for k, ids in zip(open_, replay_merges([raw[k] for k in open_], self.ranks, self.vocab)):
+        for k, ids in zip(open_, replay_merges([raw[k] for k in open_], self.ranks, self.pairs)):
             pieces[fresh[k]] = np.array(ids, "<u4").tobytes()
         for k, r in enumerate(whole):
             if r is not None:
@@ -128,11 +132,10 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) + len(self.first) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.known, self.first, self.chars = {}, {}, 0
+            self.known, self.first, self.pieces, self.chars = {}, {}, {}, 0
         cut = [(_SAFE_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) if t else [] for t in texts]
-        pieces: dict[str, bytes] = {}
-        self._learn({p[0] for p in cut if p}.difference(self.first), "", self.first, pieces)
-        self._learn(set().union(*(p[1:] for p in cut)).difference(self.known), " ", self.known, pieces)
+        self._learn({p[0] for p in cut if p}.difference(self.first), "", self.first)
+        self._learn(set().union(*(p[1:] for p in cut)).difference(self.known), " ", self.known)
         known = self.known.__getitem__
         return [self.first[p[0]] + b"".join(map(known, p[1:])) if p else b"" for p in cut]
 
@@ -140,6 +143,12 @@ class Codec:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.lru_cache(1)
+def shared_codec(ranks_path: str, pattern: str) -> Codec:
+    """A worker's codec: what it has learned of words serves the tasks that it gets later."""
+    return Codec(load_ranks(ranks_path), pattern)
+
+
 def batches(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
     """Runs of texts of about so many characters together; a longer text is a run of its own."""
     run, n = [], 0
@@ -163,7 +172,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(ranks_path), pattern)
+        codec = shared_codec(ranks_path, pattern)
         for frame in frames:
             texts, out = [t or "" for t in frame.column("text").to_pylist()], []
             for group in batches(texts):
