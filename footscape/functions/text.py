@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin and Greek letters that Unicode decomposes into one letter and marks, and those letters."""
+    pairs = [(c, base) for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000)))
+             if c == c.lower() and len(base := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 and base != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _accents()
+#: Marks that stand on their own, as in decomposed text.
+MARKS = "[\u0300-\u036f]"
 # --- fixed values: phonetic folding, applied in this order ------------------
-ACCENTED = "άέήίϊΐόύϋΰώàáâäãåèéêëìíîïòóôöõùúûüçñ"
-PLAIN = "αεηιιιουυυωaaaaaaeeeeiiiiooooouuuucn"
 GREEK_PAIRS = [
     ("αι", "e"), ("ει", "i"), ("οι", "i"), ("υι", "i"), ("ου", "u"), ("αυ", "av"), ("ευ", "ev"),
     ("ηυ", "iv"), ("μπ", "b"), ("ντ", "d"), ("γκ", "g"), ("γγ", "g"), ("τσ", "ts"), ("τζ", "tz"),
@@ -23,7 +34,7 @@ LATIN_FOLDS = [
 
 def phonetic_key(c: Column) -> Column:
     """One key for the Greek and Latin spellings of a name; empty for null."""
-    s = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
+    s = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), MARKS, "")
     for old, new in GREEK_PAIRS:
         s = F.replace(s, F.lit(old), F.lit(new))
     s = F.translate(s, *GREEK_LETTERS)

@@ -125,7 +125,7 @@ def budget_admission(tasks: DataFrame, remaining_today: int, params: P.Params =
 
 
 def consecutive_failures(calls: DataFrame, key: str = "job_id", limit: int = P.FAILURE_LIMIT) -> DataFrame:
-    """Per job: longest run of failures, and whether the breaker trips.
+    """Per job: longest run of failures, and whether the breaker trips: on so many failures before anything has succeeded.
 
     A cached answer neither counts nor ends a run.
     """
@@ -133,7 +133,8 @@ def consecutive_failures(calls: DataFrame, key: str = "job_id", limit: int = P.F
     w = Window.partitionBy(key).orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0)
     runs = live.withColumn("island", F.sum(F.when(F.col("outcome") != "failed", 1).otherwise(0)).over(w))
     lengths = runs.groupBy(key, "island").agg(F.count_if(F.col("outcome") == "failed").alias("failures"))
-    return lengths.groupBy(key).agg(F.max("failures").alias("longest_run")).withColumn("tripped", F.col("longest_run") >= limit)
+    return lengths.groupBy(key).agg(
+        F.max("failures").alias("longest_run"), (F.coalesce(F.max(F.when(F.col("island") == 0, F.col("failures"))), F.lit(0)) >= limit).alias("tripped"))
 
 
 def daily_usage(calls: DataFrame, daily_limit: int = P.DEFAULT.max_analyses_per_day) -> DataFrame:

@@ -174,10 +174,7 @@ def export_csv(df: DataFrame, columns: list[tuple[str, Column]], path: str) -> N
     header.unionByName(body).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-ISSUE_COLUMNS = 5000
-
-
-def issue_export_rows(issues: DataFrame, limit: int = ISSUE_COLUMNS) -> tuple[DataFrame, list[tuple[str, Column]]]:
+def issue_export_rows(issues: DataFrame, limit: int | None = None) -> tuple[DataFrame, list[tuple[str, Column]]]:
     c = F.col
     services = F.array_join(F.transform(F.coalesce("nearby_pois", F.array().cast("array<struct<class:string,name:string,distance_m:int>>")),
                                         lambda p: F.concat(p["class"], F.lit(" ("), p["distance_m"], F.lit("m)"))), "; ")
@@ -189,10 +186,11 @@ def issue_export_rows(issues: DataFrame, limit: int = ISSUE_COLUMNS) -> tuple[Da
         ("Barriers", F.array_join("barriers", "; ")), ("Confirmed resident reports", c("verified_report_count")),
         ("Accessible detour ratio", F.coalesce(c("detour_ratio").cast("string"), F.lit("none found"))), ("Nearby public services", services),
         ("Workflow status", c("workflow_status")), ("Assigned to", c("assigned_department"))]
-    return issues.orderBy(F.desc("priority_score"), "segment_id").limit(limit), columns
+    rows = issues.orderBy(F.desc("priority_score"), "segment_id")
+    return rows if limit is None else rows.limit(limit), columns
 
 
-def report_export_rows(reports: DataFrame, limit: int = 5000) -> tuple[DataFrame, list[tuple[str, Column]]]:
+def report_export_rows(reports: DataFrame, limit: int | None = None) -> tuple[DataFrame, list[tuple[str, Column]]]:
     c = F.col
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
     columns = [
@@ -200,7 +198,8 @@ def report_export_rows(reports: DataFrame, limit: int = 5000) -> tuple[DataFrame
         ("Latitude", c("location")["lat"]), ("Longitude", c("location")["lng"]), ("Street", c("street_name")), ("Segment ID", c("segment_id")),
         ("Description", c("description")), ("Has photo", F.when(c("has_photo"), "yes").otherwise("no")),
         ("Reviewed", F.date_format("reviewed_at", iso)), ("Assigned to", c("assigned_to"))]
-    return reports.orderBy(F.desc_nulls_last("created_at"), "report_id").limit(limit), columns
+    rows = reports.orderBy(F.desc_nulls_last("created_at"), "report_id")
+    return rows if limit is None else rows.limit(limit), columns
 
 
 def coverage_export_rows(cov: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """SQL for the report, imagery, text, geometry and network queries."""
 
 import oracles_evidence as OE
-from footscape.functions.text import ACCENTED, GREEK_LETTERS, GREEK_PAIRS, GREEK_WIDE, LATIN_FOLDS, PLAIN
+from footscape.functions.text import GREEK_LETTERS, GREEK_PAIRS, GREEK_WIDE, LATIN_FOLDS
 from oracles import CATEGORIES, HEADS, half_up, haversine, fragment, oracle
 
 NOW_R = "TIMESTAMP '2024-02-01'"
@@ -74,7 +74,7 @@ oracle("reports_near_pois", ["pois", "reports"], """SELECT poi_id, count(*) AS r
   ON abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1) GROUP BY 1""")
 oracle("newest_reports", ["reports"], "SELECT report_id, region_id, created_at FROM reports WHERE status = 'verified' ORDER BY created_at DESC NULLS LAST, report_id DESC LIMIT 60")
 oracle("retention_due", ["reports"], f"""SELECT report_id, photo_delete_after FROM reports WHERE status = 'rejected' AND photo_path IS NOT NULL
-  AND photo_delete_after <= {NOW_R} ORDER BY photo_delete_after, report_id LIMIT 300""")
+  AND photo_delete_after <= {NOW_R}""")
 oracle("orphan_uploads", [], "SELECT 'reports/' || event_id || '.jpg' AS path FROM events WHERE ts <= TIMESTAMP '2024-01-19' AND event_id % 4 <> 0")
 oracle("public_reports", ["reports"], "SELECT report_id, region_id, category, status, has_photo FROM reports")
 oracle("reviewed_reports", ["reports"], """SELECT r.report_id, CASE e % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'rejected' WHEN 3 THEN 'resolved' WHEN 4 THEN 'needs_review'
@@ -130,8 +130,9 @@ oracle("analysis_estimate", ["tasks"], """SELECT region_id, count(*) AS segments
   CAST(least(sum(len(frames)), 200) AS BIGINT) AS max_calls FROM tasks GROUP BY 1""")
 oracle("discovery_summary", ["found"], f"""SELECT region_id, count(*) AS searched, count(*) FILTER (status = 'selected') AS with_imagery, count(*) FILTER (status = 'not_needed') AS settled,
   0 AS outside, CAST(sum(len(frames)) AS BIGINT) AS frames_selected, {half_up("count(*) FILTER (status = 'selected') / count(*)", 3)} AS coverage_ratio FROM found GROUP BY 1""")
-oracle("failure_runs", ["calls"], """SELECT job_id, max(n) AS longest_run, max(n) >= 5 AS tripped FROM (SELECT job_id, island, count(*) FILTER (outcome = 'failed') AS n FROM (
-  SELECT *, sum(CASE WHEN outcome <> 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS island
+oracle("failure_runs", ["calls"], """SELECT job_id, max(n) AS longest_run, coalesce(max(n) FILTER (NOT any_ok), 0) >= 5 AS tripped FROM (SELECT job_id, island, bool_or(had_ok) AS any_ok, count(*) FILTER (outcome = 'failed') AS n FROM (
+  SELECT *, sum(CASE WHEN outcome <> 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS island,
+  count(*) FILTER (outcome <> 'failed') OVER (PARTITION BY job_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) > 0 AS had_ok
   FROM calls WHERE outcome <> 'cached') GROUP BY 1, 2) GROUP BY 1""")
 fragment("usage", ["calls"], """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (outcome <> 'cached') AS calls, count(*) FILTER (outcome = 'cached') AS cached,
   count(*) FILTER (outcome = 'failed') AS failed, greatest(0, 3000 - count(*) FILTER (outcome <> 'cached')) AS remaining FROM calls GROUP BY 1""")
@@ -163,7 +164,7 @@ oracle("hash_units", ["seg"], f"""SELECT segment_id, {half_up('(h % 100000) / 10
 
 
 def phonetic(c: str) -> str:
-    s = f"translate(lower(coalesce({c}, '')), '{ACCENTED}', '{PLAIN}')"
+    s = f"strip_accents(lower(coalesce({c}, '')))"
     for a, b in GREEK_PAIRS:
         s = f"replace({s}, '{a}', '{b}')"
     s = f"translate({s}, '{GREEK_LETTERS[0]}', '{GREEK_LETTERS[1]}')"

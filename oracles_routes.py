@@ -143,7 +143,7 @@ oracle("open_critical_issues", ["queue"], "SELECT issue_id, priority_score FROM
 oracle("patched_issues", ["stored"], """SELECT issue_id, CASE WHEN ok AND k % 3 = 0 THEN 'assigned' ELSE old_status END AS workflow_status, CASE WHEN ok AND k % 2 = 0 THEN 'parks' ELSE dept END AS assigned_department,
   CASE WHEN ok AND k % 7 = 0 THEN (k % 3) / 2e0 ELSE old_boost END AS manual_boost, ok AND k % 7 = 0 AS boost_changed FROM (SELECT *, k % 3 <> 1 AS ok FROM (SELECT *, CAST(substr(segment_id, 2, length(segment_id) - 2) AS BIGINT) AS k FROM stored))""")
 oracle("issue_export", ["queue"], """SELECT segment_id, priority_score || '|' || priority_band || '|' || segment_id || '|none found|' || workflow_status || '|' || coalesce(assigned_department, '') AS line
-  FROM queue WHERE priority_score > 0 ORDER BY priority_score DESC, segment_id LIMIT 5000""")
+  FROM queue WHERE priority_score > 0 ORDER BY priority_score DESC, segment_id""")
 
 # --- coverage -----------------------------------------------------------------------
 CLS = {"assessed": "status <> 'unverified'", "unknown": "status = 'unverified'", **{s: f"status = '{s}'" for s in P.ASSESSED}, "manually_verified": "man",
@@ -221,7 +221,7 @@ fragment("bundle", ["assess"], f"SELECT region_id, count(*) AS segment_count, {h
 oracle("region_catalogue", ["bundle"], "SELECT region_id, segment_count, row_number() OVER (ORDER BY segment_count % 2 <> 0, region_id) = 1 AS is_default FROM bundle")
 oracle("bundle_metadata", ["bundle"], "SELECT *, CAST(CASE WHEN region_id = 'r4' THEN 1 ELSE CAST(substr(region_id, 2) AS INT) + 4 END AS INT) AS version FROM bundle")
 oracle("report_export", ["reports"], """SELECT report_id || ',' || coalesce(strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '') || ',' || category || ',' || status || ',,' || segment_id || ',"' || replace(description, '"', '""') || '",'
-  || CASE WHEN has_photo THEN 'yes' ELSE 'no' END || ',' || coalesce(strftime(reviewed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '') || ',' || coalesce(assigned_to, '') AS value FROM reports ORDER BY created_at DESC NULLS LAST, report_id LIMIT 5000""")
+  || CASE WHEN has_photo THEN 'yes' ELSE 'no' END || ',' || coalesce(strftime(reviewed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '') || ',' || coalesce(assigned_to, '') AS value FROM reports ORDER BY created_at DESC NULLS LAST, report_id""")
 oracle("geojson_statuses", ["assess"], "SELECT region_id, status, 'LineString' AS type, count(*) AS features FROM assess GROUP BY 1, 2")
 oracle("parameter_checks", ["part_k"], """SELECT k AS p_partkey, CAST(CAST(sz * 2.2e0 > 100 OR b * 3e0 > 100 AS INT) + CAST(b * 3e0 >= sz * 2.2e0 AS INT) + CAST(sz * 2.5e0 > 100 AS INT) + CAST(b * 40 >= sz * 25 AS INT)
   + CAST(b * 5 > 100 AS INT) + CAST(sz * 110 > 5000 AS INT) AS INT) AS errors FROM part_k""")

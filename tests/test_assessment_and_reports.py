@@ -174,3 +174,31 @@ def test_redaction(spark):
     df = spark.createDataFrame([({"apiToken": "x", "note": "y" * 500},)], "previous map<string,string>").withColumn("next", F.col("previous"))
     r = M.redact_audit(df).first()
     assert set(r.next) == {"note"} and len(r.next["note"]) == 400
+
+
+def test_breaker_trips_only_before_a_success(spark):
+    from footscape.operators.imagery import consecutive_failures
+
+    rows = [(j, k, k, o) for j, run in (("a", "fffff"), ("b", "sfffffff"), ("c", "ffcfff"), ("d", "ffff")) for k, o in enumerate(run)]
+    calls = spark.createDataFrame(rows, "job_id string, ts int, call_id int, o string").selectExpr("job_id", "ts", "call_id", "case o when 'f' then 'failed' when 'c' then 'cached' else 'ok' end as outcome")
+    got = {r.job_id: (r.longest_run, r.tripped) for r in consecutive_failures(calls, limit=5).collect()}
+    assert got == {"a": (5, True), "b": (7, False), "c": (5, True), "d": (4, False)}
+
+
+def test_accents_of_any_latin_letter(spark):
+    from pyspark.sql import functions as F
+
+    from footscape.functions.text import phonetic_key
+
+    names = ["Škoda", "Čapek", "Škoda", "Ἀθηνᾶ", "Łódź"]
+    got = [r.k for r in spark.createDataFrame([(n,) for n in names], "n string").select(phonetic_key(F.col("n")).alias("k")).collect()]
+    assert got[0] == got[2] == "skoda" and got[1] == "kapek" and got[3].startswith("athin") and got[4] == "odz"
+
+
+def test_exports_and_retention_keep_every_row_by_default(spark):
+    from pyspark.sql import functions as F
+
+    from footscape.operators.reports import retention_due
+
+    df = spark.range(700).selectExpr("cast(id as string) as report_id", "'rejected' as status", "'p' as photo_path", "timestamp'2020-01-01' as photo_delete_after")
+    assert retention_due(df, F.lit("2024-01-01").cast("timestamp")).count() == 700
