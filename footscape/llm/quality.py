@@ -57,14 +57,14 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     counts = Counter(words)
     if not counts:
-        return np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     f, owner = word_features(list(counts))
     times = np.fromiter(counts.values(), np.float64, len(counts))[owner]
     repeats = sum(a == b for a, b in zip(words, words[1:]))
     total = np.bincount(f, times, BUCKETS)
     total[REPEAT_BUCKET] = repeats * REPEAT_WEIGHT
     at = np.flatnonzero(total)
-    return at, total[at]
+    return at.astype(np.int32), total[at].astype(np.float32)
 
 
 @dataclass

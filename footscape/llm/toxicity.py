@@ -190,9 +190,9 @@ def word_counts(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int
 
 def _table(df: DataFrame, key: str, value: str) -> np.ndarray:
     """A hashed table of at most SLOTS rows as an array."""
-    f = df.select(F.col(key).cast("int").alias("i"), F.col(value).cast("float").alias("v")).toPandas()
+    f = df.select(F.col(key).cast("int").alias("i"), F.col(value).cast("float").alias("v")).toArrow()
     out = np.zeros(SLOTS, np.float32)
-    out[f["i"].to_numpy()] = f["v"].to_numpy()
+    out[f.column("i").to_numpy()] = f.column("v").to_numpy()
     return out
 
 
