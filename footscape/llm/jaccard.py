@@ -20,9 +20,11 @@ WIDE = 24
 MAP_BITS = 1 << 23
 #: Blocks of n-gram columns: per document and block, the number of its n-grams bounds an overlap.
 BLOCKS = 64
-#: Pivots that each wide column is multiplied with before its remaining pairs are listed. Columns that share documents
-#: choose the same ones.
+#: Pivots that each wide column is multiplied with before its remaining pairs are listed: those with the fewest rarer
+#: n-grams, which in a group of copies are the least edited. Columns that share documents choose the same ones.
 PIVOTS = 12
+#: Of all documents' n-grams, the lowest 1/SHARE by digest are counted; of documents that then meet in wide columns, all.
+SHARE = 3
 CACHE_WORDS = 1 << 18
 _MASK = (1 << 64) - 1
 _STEP = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ** 5) & _MASK | 1) for k in range(64)]
@@ -93,8 +95,8 @@ def shingle_digests(docs: DataFrame, n: int = N) -> DataFrame:
     return _arrow(docs, run, "doc_id long, n_shingles long, set_id binary")
 
 
-def frequent_map(docs: DataFrame, n: int, wide: int, bits: int) -> np.ndarray:
-    """A bitmap of hashes of n-grams that are frequent among the lower third of documents' n-grams by digest.
+def frequent_map(docs: DataFrame, n: int, wide: int, bits: int, share: int = 1) -> np.ndarray:
+    """A bitmap of hashes of n-grams that are frequent among the lowest 1/share of each document's n-grams by digest.
 
     It only orders n-grams (frequent ones last), so it decides the work and never the result. If more
     n-grams than an eighth of the bits are frequent, the bar is raised.
@@ -103,7 +105,7 @@ def frequent_map(docs: DataFrame, n: int, wide: int, bits: int) -> np.ndarray:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for f in frames:
-            parts = [s[:-(-len(s) // 3)] for s in (shingle(t.as_py()) for t in f.column("text"))]
+            parts = [s[:-(-len(s) // share)] for s in (shingle(t.as_py()) for t in f.column("text"))]
             g, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], names=["gram", "c"])
 
@@ -222,6 +224,15 @@ def _narrow_pairs(entries: DataFrame, wide: int, numer: int, denom: int) -> tupl
     return few.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long"), few
 
 
+def _split_columns(found: DataFrame, wide: int, numer: int, denom: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that meet in narrow columns, and the entries of wide ones: those marked, and those that turned out wide."""
+    entries = stored(found)
+    narrow, few = _narrow_pairs(entries, wide, numer, denom)
+    over = few.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > wide).select("gram")
+    cols = ["gram", "doc_id", "size", "room"]
+    return narrow, stored(entries.filter("frequent").select(cols).unionByName(few.join(over, "gram", "left_semi").select(cols)))
+
+
 def block_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
     """(doc_id, size, counts): how many n-grams of each document fall into each block of columns, a byte each; 255
     stands for that many or more."""
@@ -286,23 +297,23 @@ def links(reps: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, w
 
     The product of the incidence with its transpose is taken over the first n-grams of each document only
     (linked ones share one of them), rare n-grams first. A column of few documents is multiplied in full.
-    A wide one is first multiplied with a few pivots; where that links its documents, they need no further
+    Documents of wide columns are ordered once more, by counts of all their n-grams: edits bring rare n-grams, which
+    then come first, so that much-edited copies leave no room for the overlap that a link needs.
+    A wide column is first multiplied with a few pivots; where that links its documents, they need no further
     pairs; only pairs of documents that are still in different components are listed and bounded.
     Candidates are bounded by the sizes of the sets and of their parts in each block of columns; what is left
     is counted exactly.
     """
-    frequent = frequent_map(reps, n, wide, bits)
-    entries = stored(prefixes(reps, frequent, n, numer, denom))
-    narrow, few = _narrow_pairs(entries, wide, numer, denom)
-    # columns that turned out wide although not marked, and the marked ones
-    over = few.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > wide).select("gram")
-    cols = ["gram", "doc_id", "size", "room"]
-    broad = stored(entries.filter("frequent").select(cols).unionByName(few.join(over, "gram", "left_semi").select(cols)))
-    pivots = broad.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("s")).agg(F.min(F.struct(F.hash("doc_id").alias("h"), "doc_id", "size", "room")).alias("p"))
+    narrow, broad = _split_columns(prefixes(reps, frequent_map(reps, n, wide, bits, SHARE), n, numer, denom), wide, numer, denom)
+    # pairs that meet in no narrow column lie among the documents of wide ones; there all n-grams are counted
+    inner = reps.join(broad.select("doc_id").distinct(), "doc_id", "left_semi")
+    narrower, broad = _split_columns(prefixes(inner, frequent_map(inner, n, wide, bits), n, numer, denom), wide, numer, denom)
+    pivots = broad.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("s")).agg(
+        F.min(F.struct((F.col("size") - F.col("room")).alias("rare"), F.hash("doc_id").alias("h"), "doc_id", "size", "room")).alias("p"))
     pivots = stored(pivots.select("gram", "p.doc_id", "p.size", "p.room"))
     star = broad.alias("x").join(pivots.alias("p"), (F.col("x.gram") == F.col("p.gram")) & (F.col("x.doc_id") != F.col("p.doc_id")) & _possible("x", "p", numer, denom)).select(
         F.least("x.doc_id", "p.doc_id").alias("a"), F.greatest("x.doc_id", "p.doc_id").alias("b"))
-    pairs = stored(narrow.unionByName(star).distinct())
+    pairs = stored(narrow.unionByName(narrower).unionByName(star).distinct())
     found = stored(_verified(pairs, reps, n, blocks, numer, denom))
     comp = stored(connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     # entries of wide columns with the component reached so far; columns of one component are done
