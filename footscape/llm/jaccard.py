@@ -81,18 +81,23 @@ def _arrow(docs: DataFrame, fn, schema: str, **more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fn, schema, **more)
 
 
-def shingle_digests(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_shingles, set_id): the size of each text's set and a digest of the set (null if empty)."""
+def shingle_digests(docs: DataFrame, n: int = N, blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, n_shingles, set_id, counts): the size of each text's set, a digest of the set (null if empty), and how many
+    n-grams fall into each block of columns, a byte each; 255 stands for that many or more."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for f in frames:
-            sets = [shingle(t.as_py()) for t in f.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [f.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "set_id"])
+            size, digest, counts = [], [], []
+            for t in f.column("text"):
+                s = shingle(t.as_py())
+                size.append(len(s))
+                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                counts.append(np.bincount((s % np.uint64(blocks)).astype(np.int64), minlength=blocks).clip(0, 255).astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([f.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["doc_id", "n_shingles", "set_id", "counts"])
 
-    return _arrow(docs, run, "doc_id long, n_shingles long, set_id binary")
+    return _arrow(docs, run, "doc_id long, n_shingles long, set_id binary, counts binary")
 
 
 def frequent_map(docs: DataFrame, n: int, wide: int, bits: int, share: int = 1) -> np.ndarray:
@@ -126,14 +131,14 @@ def frequent_map(docs: DataFrame, n: int, wide: int, bits: int, share: int = 1)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, n: int, numer: int, denom: int) -> DataFrame:
-    """The incidence's entries that matter: (gram, doc_id, size, room, frequent), the first n-grams of each document in the
-    order of (frequent, digest); `room` is how many of its n-grams come after that one."""
+    """The part of the incidence that matters, a row per document: (doc_id, size, few, grams), its first n-grams in the order
+    of (frequent, digest), of which the first `few` are not frequent."""
     shift = np.uint64(64 - (len(frequent) * 32).bit_length() + 1)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for f in frames:
-            g, d, z, room, hot = [], [], [], [], []
+            d, z, few, g = [], [], [], []
             for doc, t in zip(f.column("doc_id").to_pylist(), f.column("text")):
                 s = shingle(t.as_py())
                 if not len(s):
@@ -142,16 +147,22 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, n: int, numer: int, denom: i
                 often = (frequent[b >> np.uint64(5)] >> (b & np.uint64(31)).astype(np.uint32)) & 1 > 0
                 k = prefix_length(len(s), numer, denom)
                 first = np.concatenate([np.flatnonzero(~often)[:k], np.flatnonzero(often)[:k]])[:k]
+                d.append(doc)
+                z.append(len(s))
+                few.append(int((~often[first]).sum()))
                 g.append(s[first])
-                hot.append(often[first])
-                d.append(np.full(k, doc))
-                z.append(np.full(k, len(s)))
-                room.append(len(s) - 1 - np.arange(k))
-            cat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.empty(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(g) if g else np.empty(0, np.uint64)).view(np.int64)), pa.array(cat(d, np.int64)), pa.array(cat(z, np.int32)),
-                                              pa.array(cat(room, np.int32)), pa.array(cat(hot, bool))], names=["gram", "doc_id", "size", "room", "frequent"])
+            off = np.concatenate([[0], np.cumsum([len(x) for x in g])]).astype(np.int32)
+            flat = pa.array(np.concatenate([*g, np.empty(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(z, pa.int32()), pa.array(few, pa.int32()), pa.ListArray.from_arrays(pa.array(off), flat)],
+                                             names=["doc_id", "size", "few", "grams"])
+
+    return _arrow(docs, run, "doc_id long, size int, few int, grams array<long>")
+
 
-    return _arrow(docs, run, "gram long, doc_id long, size int, room int, frequent boolean")
+def _entries(rows: DataFrame) -> DataFrame:
+    """(gram, doc_id, size, room, frequent), one row per n-gram; `room` is how many of its document's n-grams come after it."""
+    each = rows.select("doc_id", "size", "few", F.posexplode("grams").alias("at", "gram"))
+    return each.select("gram", "doc_id", "size", (F.col("size") - 1 - F.col("at")).alias("room"), (F.col("at") >= F.col("few")).alias("frequent"))
 
 
 def _possible(a: str, b: str, numer: int, denom: int) -> Column:
@@ -226,27 +237,13 @@ def _narrow_pairs(entries: DataFrame, wide: int, numer: int, denom: int) -> tupl
 
 def _split_columns(found: DataFrame, wide: int, numer: int, denom: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that meet in narrow columns, and the entries of wide ones: those marked, and those that turned out wide."""
-    entries = stored(found)
+    entries = _entries(stored(found))
     narrow, few = _narrow_pairs(entries, wide, numer, denom)
     over = few.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > wide).select("gram")
     cols = ["gram", "doc_id", "size", "room"]
     return narrow, stored(entries.filter("frequent").select(cols).unionByName(few.join(over, "gram", "left_semi").select(cols)))
 
 
-def block_counts(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """(doc_id, size, counts): how many n-grams of each document fall into each block of columns, a byte each; 255
-    stands for that many or more."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for f in frames:
-            sets = [shingle(t.as_py()) for t in f.column("text")]
-            counts = [np.bincount((s % np.uint64(blocks)).astype(np.int64), minlength=blocks).clip(0, 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([f.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(counts, pa.binary())], names=["doc_id", "size", "counts"])
-
-    return _arrow(docs, run, "doc_id long, size int, counts binary")
-
-
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, grams): the sets themselves."""
 
@@ -280,20 +277,24 @@ def _bounded(pairs: DataFrame, counts: DataFrame, blocks: int, numer: int, denom
     return first.join(counts.select(F.col("doc_id").alias("b"), F.col("size").alias("zb"), F.col("counts").alias("cb")), "b").select("a", "b", "za", "zb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, n: int, blocks: int, numer: int, denom: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, n: int, blocks: int, numer: int, denom: int) -> DataFrame:
     """The pairs (a, b) that are linked."""
     touched = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    counts = block_counts(reps.join(touched, "doc_id", "left_semi"), n, blocks)
+    counts = own.filter(F.col("set_id").isNotNull()).join(touched, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("size"), "counts")
     left = stored(_bounded(pairs, counts, blocks, numer, denom))
-    ends = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(shingle_sets(reps.join(ends, "doc_id", "left_semi"), n))
+    ends = stored(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = stored(shingle_sets(docs.join(ends, "doc_id", "left_semi"), n))
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
     overlap = F.size(F.array_intersect("ga", "gb"))
     return both.filter(overlap * (numer + denom) >= (F.size("ga") + F.size("gb")) * numer).select("a", "b")
 
 
-def links(reps: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, wide: int = WIDE, bits: int = MAP_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) between documents of different sets that give the same components as all links.
+def links(docs: DataFrame, own: DataFrame, reps: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, wide: int = WIDE, bits: int = MAP_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """Links (a, b) between documents of different sets that give the same components as all links: of `docs`, whose
+    digests are `own`, those with the ids `reps`.
+
+    Texts stay where they are read: what is made of them is joined with the ids, not the texts themselves. Only the
+    few documents that need a second look are picked first, by ids stored on their own, so that Spark can tell their size.
 
     The product of the incidence with its transpose is taken over the first n-grams of each document only
     (linked ones share one of them), rare n-grams first. A column of few documents is multiplied in full.
@@ -304,9 +305,10 @@ def links(reps: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, w
     Candidates are bounded by the sizes of the sets and of their parts in each block of columns; what is left
     is counted exactly.
     """
-    narrow, broad = _split_columns(prefixes(reps, frequent_map(reps, n, wide, bits, SHARE), n, numer, denom), wide, numer, denom)
+    first = prefixes(docs, frequent_map(docs, n, wide, bits, SHARE), n, numer, denom).join(reps, "doc_id", "left_semi")
+    narrow, broad = _split_columns(first, wide, numer, denom)
     # pairs that meet in no narrow column lie among the documents of wide ones; there all n-grams are counted
-    inner = reps.join(broad.select("doc_id").distinct(), "doc_id", "left_semi")
+    inner = docs.join(stored(broad.select("doc_id").distinct()), "doc_id", "left_semi")
     narrower, broad = _split_columns(prefixes(inner, frequent_map(inner, n, wide, bits), n, numer, denom), wide, numer, denom)
     pivots = broad.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("s")).agg(
         F.min(F.struct((F.col("size") - F.col("room")).alias("rare"), F.hash("doc_id").alias("h"), "doc_id", "size", "room")).alias("p"))
@@ -314,7 +316,7 @@ def links(reps: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, w
     star = broad.alias("x").join(pivots.alias("p"), (F.col("x.gram") == F.col("p.gram")) & (F.col("x.doc_id") != F.col("p.doc_id")) & _possible("x", "p", numer, denom)).select(
         F.least("x.doc_id", "p.doc_id").alias("a"), F.greatest("x.doc_id", "p.doc_id").alias("b"))
     pairs = stored(narrow.unionByName(narrower).unionByName(star).distinct())
-    found = stored(_verified(pairs, reps, n, blocks, numer, denom))
+    found = stored(_verified(pairs, docs, own, n, blocks, numer, denom))
     comp = stored(connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     # entries of wide columns with the component reached so far; columns of one component are done
     tagged = broad.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -325,10 +327,10 @@ def links(reps: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, w
     more = off.alias("x").join(tagged.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y", numer, denom)).select(
         F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-    return found.unionByName(_verified(more, reps, n, blocks, numer, denom))
+    return found.unionByName(_verified(more, docs, own, n, blocks, numer, denom))
 
 
-def components(docs: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM) -> DataFrame:
+def components(docs: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM, wide: int = WIDE) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs` (doc_id, text, ...).
 
     Two documents link when the Jaccard similarity of their sets of word n-grams is at least numer/denom; a shorter
@@ -338,8 +340,8 @@ def components(docs: DataFrame, n: int = N, numer: int = NUMER, denom: int = DEN
     """
     own = stored(shingle_digests(docs, n))
     sets = stored(own.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")))
-    reps = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    edges = links(reps, n, numer, denom)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    edges = links(texts, own, stored(sets.select(F.col("rep").alias("doc_id")).distinct()), n, numer, denom, wide)
     comp = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "rep")
     named = stored(sets.join(comp, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id")))
     return own.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

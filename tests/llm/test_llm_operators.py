@@ -120,11 +120,7 @@ def test_jaccard_equals_brute_force(spark, empty):
     rows += [(len(rows) + k, " ".join([*passage, *(word() for _ in range(rng.integers(0, 14)))])) for k in range(60)]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, size string")
     for n, numer, denom, wide in ((4, 85, 100, 24), (4, 85, 100, 3), (5, 80, 100, 3)):
-        jaccard_wide, jaccard.WIDE = jaccard.WIDE, wide
-        try:
-            got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df, n, numer, denom).collect()}
-        finally:
-            jaccard.WIDE = jaccard_wide
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df, n, numer, denom, wide).collect()}
         assert got == brute_components(rows, n, numer, denom)
     kept = {r.doc_id for r in jaccard.one_of_each(df).collect()}
     assert kept == {c for _, c in brute_components(rows, 4, 85, 100).values()}
