@@ -173,75 +173,79 @@ def _possible(a: str, b: str, numer: int, denom: int) -> Column:
     return (F.least(sa, sb) * denom >= F.greatest(sa, sb) * numer) & (F.least(f"{a}.room", f"{b}.room") + 1 >= need)
 
 
-def _narrow_pairs(entries: DataFrame, wide: int, numer: int, denom: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that meet in a column of at most `wide` documents, and the entries of wider columns.
+def _column_products(entries: DataFrame, wide: int, numer: int, denom: int) -> DataFrame:
+    """(a, b, gram, size, room): pairs (a, b) that meet in a column of at most `wide` documents, with a null gram, and
+    the entries of wider columns as they came, their document in `a`.
 
     A task has its columns sorted, multiplies each narrow one with itself, and passes on the rows of wide
-    ones; of a column that doesn't fit into its block, only the first `wide` + 1 rows are held.
+    ones, so one shuffle serves both. Of a column that doesn't fit into its batch, at most `wide` rows are held.
     """
 
+    def batch(pairs: tuple[np.ndarray, np.ndarray], over: list[np.ndarray]) -> pa.RecordBatch:
+        (a, b), (g, d, z, room) = pairs, over
+        none = pa.nulls(len(a))
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([a, d])), pa.concat_arrays([pa.array(b), pa.nulls(len(d), pa.int64())]),
+            pa.concat_arrays([none.cast(pa.int64()), pa.array(g)]), pa.concat_arrays([none.cast(pa.int32()), pa.array(z)]),
+            pa.concat_arrays([none.cast(pa.int32()), pa.array(room)])], names=["a", "b", "gram", "size", "room"])
+
+    def product(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]:
+        """A batch for the columns that are complete, the rows of the one that may go on, and the wide columns' grams."""
+        g, d, z, room = cols
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
+        keep = 0
+        if not last and len(start) and len(g) - start[-1] <= wide:
+            keep = len(g) - start[-1]
+            start = start[:-1]
+        end = len(g) - keep
+        count = np.diff(np.r_[start, end]) if len(start) else np.empty(0, np.int64)
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size in np.unique(count[(count > 1) & (count <= wide)]):
+            at = start[count == size]
+            i, j = np.triu_indices(size, 1)
+            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            zx, zy = z[x].astype(np.int64), z[y].astype(np.int64)
+            ok = (np.minimum(zx, zy) * denom >= np.maximum(zx, zy) * numer) & (np.minimum(room[x], room[y]) + 1 >= least_overlap(zx, zy, numer, denom)) & (d[x] != d[y])
+            out_a.append(np.minimum(d[x[ok]], d[y[ok]]))
+            out_b.append(np.maximum(d[x[ok]], d[y[ok]]))
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        if len(a):
+            o = np.lexsort((b, a))
+            a, b = a[o], b[o]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            a, b = a[new], b[new]
+        over = np.repeat(count > wide, count)
+        return batch((a, b), [c[:end][over] for c in cols]), [c[end:] for c in cols], g[start[count > wide]]
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = ["gram", "doc_id", "size", "room"]
-
-        def product(cols: list[np.ndarray], last: bool):
-            g, d, z, room = cols
-            start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
-            keep = 0
-            if not last and len(start):  # the last column may go on
-                keep = len(g) - start[-1]
-                if keep <= wide:
-                    start = start[:-1]
-                else:
-                    keep = 0
-            end = len(g) - keep
-            count = np.diff(np.r_[start, end])
-            out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for size in np.unique(count[(count > 1) & (count <= wide)]):
-                at = start[count == size]
-                i, j = np.triu_indices(size, 1)
-                x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                zx, zy = z[x].astype(np.int64), z[y].astype(np.int64)
-                ok = (np.minimum(zx, zy) * denom >= np.maximum(zx, zy) * numer) & (np.minimum(room[x], room[y]) + 1 >= least_overlap(zx, zy, numer, denom)) & (d[x] != d[y])
-                out_a.append(np.minimum(d[x[ok]], d[y[ok]]))
-                out_b.append(np.maximum(d[x[ok]], d[y[ok]]))
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            if len(a):
-                o = np.lexsort((b, a))
-                a, b = a[o], b[o]
-                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-                a, b = a[new], b[new]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]), [c[end:] for c in cols], g[start[count > wide]] if len(start) else g[:0]
-
-        done: np.ndarray | None = None  # a wide column that was passed over and may go on
+        none = np.empty(0, np.int64)
+        held: list[np.ndarray] | None = None
+        going: int | None = None  # a wide column whose first rows were passed on and that may go on
         for f in frames:
-            cols = [f.column(n).to_numpy(zero_copy_only=False) for n in names]
+            cols = [f.column(n).to_numpy(zero_copy_only=False) for n in ("gram", "doc_id", "size", "room")]
+            if going is not None:
+                more = cols[0] == going
+                if more.any():
+                    yield batch((none, none), [c[more] for c in cols])
+                    cols = [c[~more] for c in cols]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            if done is not None and len(cols[0]):
-                rest = cols[0] != done
-                cols = [c[rest] for c in cols]
-            batch, held, over = product(cols, False)
+            out, held, over = product(cols, False)
             if len(over):
-                done = over[-1]
-            yield batch
+                going = over[-1]
+            yield out
         if held is not None:
-            if done is not None and len(held[0]):
-                rest = held[0] != done
-                held = [c[rest] for c in held]
             yield product(held, True)[0]
 
-    few = entries.filter(~F.col("frequent")).select("gram", "doc_id", "size", "room")
-    return few.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long"), few
+    return entries.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, gram long, size int, room int")
 
 
 def _split_columns(found: DataFrame, wide: int, numer: int, denom: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that meet in narrow columns, and the entries of wide ones: those marked, and those that turned out wide."""
-    entries = _entries(stored(found))
-    narrow, few = _narrow_pairs(entries, wide, numer, denom)
-    over = few.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > wide).select("gram")
-    cols = ["gram", "doc_id", "size", "room"]
-    return narrow, stored(entries.filter("frequent").select(cols).unionByName(few.join(over, "gram", "left_semi").select(cols)))
+    entries, cols = _entries(stored(found)), ["gram", "doc_id", "size", "room"]
+    met = stored(_column_products(entries.filter(~F.col("frequent")).select(cols), wide, numer, denom))
+    turned = met.filter(F.col("gram").isNotNull()).select("gram", F.col("a").alias("doc_id"), "size", "room")
+    return met.filter(F.col("gram").isNull()).select("a", "b"), stored(entries.filter("frequent").select(cols).unionByName(turned))
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
