@@ -24,17 +24,16 @@ def build_network(raw_nodes: DataFrame, ways: DataFrame, params: P.Params = P.DE
     parts = N.split_by_length(N.junction_split(vertices), params.max_segment_length_m)
     weld = N.weld_endpoints(vertices, weld_m)
     info = W.display_name(W.display_name(W.project_relevant_tags(kept), "en", "street_name"), "el", "street_name_el").select(
-        "way_id", F.col("version").alias("osm_version"), F.col("ts").alias("osm_ts"), "tags", "kind", "side", "is_carriageway",
+        "region_id", "way_id", F.col("version").alias("osm_version"), F.col("ts").alias("osm_ts"), "tags", "kind", "side", "is_carriageway",
         "street_name", "street_name_el")
 
     def welded(col, name):
-        m = weld.select(F.col("node_id").alias(col), F.col("welded_id").alias(f"_{name}"))
-        return m
+        return weld.select("region_id", F.col("node_id").alias(col), F.col("welded_id").alias(f"_{name}"))
 
-    out = parts.join(welded("from_osm", "f"), "from_osm", "left").join(welded("to_osm", "t"), "to_osm", "left")
+    out = parts.join(welded("from_osm", "f"), ["region_id", "from_osm"], "left").join(welded("to_osm", "t"), ["region_id", "to_osm"], "left")
     out = out.withColumns({
         "from_node": F.concat(F.lit("n"), F.coalesce("_f", "from_osm")), "to_node": F.concat(F.lit("n"), F.coalesce("_t", "to_osm"))})
-    out = out.filter((F.col("from_node") != F.col("to_node")) & (F.col("_len") >= 0.5)).join(info, "way_id")
+    out = out.filter((F.col("from_node") != F.col("to_node")) & (F.col("_len") >= 0.5)).join(info, ["region_id", "way_id"])
     segments = out.select(
         "region_id", F.concat(F.lit("w"), F.concat_ws("_", "way_id", "from_osm", "to_osm")).alias("segment_id"), "way_id", "osm_version",
         "osm_ts", "from_node", "to_node", "from_osm", "to_osm", "geometry", G.line_midpoint(F.col("geometry")).alias("centre"),

@@ -213,7 +213,7 @@ oracle("poi_pressure", ["poisum"], f"SELECT segment_id, {half_up('poi_sum', 3)}
 # --- network -------------------------------------------------------------------------
 fragment("kept", ["ways"], "SELECT * FROM ways WHERE walk AND NOT (kind = 'road_walkable' AND apart)")
 fragment("vertex", ["kept"], """SELECT k AS way_id, kind, region_id, unnest([0, 1, 2]) AS pos, unnest([k, k + 1, CASE WHEN sz % 4 = 0 THEN k + 2 ELSE k + 41 END]) AS node_id, last_key FROM kept""")
-fragment("marked", ["vertex"], "SELECT *, pos <> 1 OR uses > 1 AS is_junction, node_id > last_key AS missing FROM (SELECT *, count(*) OVER (PARTITION BY node_id) AS uses FROM vertex)")
+fragment("marked", ["vertex"], "SELECT *, pos <> 1 OR uses > 1 AS is_junction, node_id > last_key AS missing FROM (SELECT *, count(*) OVER (PARTITION BY region_id, node_id) AS uses FROM vertex)")
 oracle("junctions", ["marked"], "SELECT way_id, pos, node_id, is_junction, missing FROM marked")
 fragment("hops", ["marked"], """SELECT a.way_id, a.kind, a.node_id AS f, b.node_id AS t, a.missing OR b.missing OR (NOT m.is_junction AND (m.missing OR e.any_missing)) AS bad
   FROM marked a JOIN marked b ON a.way_id = b.way_id AND b.pos = a.pos + 1 JOIN marked m ON m.way_id = a.way_id AND m.pos = 1

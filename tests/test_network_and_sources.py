@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from footscape.functions import geo as G
@@ -55,6 +56,26 @@ def test_extract_to_network(spark, tmp_path):
     assert pois == {"node20": "hospital", "way30": "townhall"}
 
 
+def test_overlapping_regions_keep_their_ways(spark):
+    """A way that lies in two regions gives the same segments in both, and uses are counted in each region alone."""
+    nodes = spark.createDataFrame([(i, LNG + i * 20 * M, LAT) for i in range(1, 6)], "node_id long, lng double, lat double")
+    tags = F.create_map(F.lit("highway"), F.lit("footway"))
+    ways = spark.createDataFrame([("r1", 10, [1, 2, 3]), ("r2", 10, [1, 2, 3]), ("r2", 11, [2, 4])], "region_id string, way_id long, nodes array<long>").select(
+        "*", F.lit(1).alias("version"), F.lit("2024-01-01").cast("timestamp").alias("ts"), tags.alias("tags"))
+    got = {(r.region_id, r.segment_id) for r in build_network(nodes, ways)[0].collect()}
+    assert got == {("r1", "w10_1_3"), ("r2", "w10_1_2"), ("r2", "w10_2_3"), ("r2", "w11_2_4")}
+
+
+def test_a_long_line_is_cut_in_linear_time(spark):
+    cum = [7.0 * i for i in range(2000)]
+    assert N._cuts(np.diff(cum), 50.0) == py_cuts(cum, 50.0)
+    line = [{"lng": LNG, "lat": LAT + 7.0 * i * M} for i in range(2000)]
+    df = spark.createDataFrame([(line,), ([],), (line[:1],)], f"geometry {G.LINE}")
+    got = [r.cuts for r in df.withColumn("cuts", N.length_cuts(F.col("geometry"), 50.0)).collect()]
+    assert got[0][-1] == 1999 and max(b - a for a, b in zip([0] + got[0], got[0])) <= 7
+    assert got[1] is None and got[2] == [0]
+
+
 def py_cuts(cum, limit):
     cuts, at, last = [], 0, len(cum) - 1
     if last < 2 or cum[-1] <= limit:
