@@ -162,7 +162,8 @@ def reading_quality(spark, sf):
 
 @query
 def observations_newest(spark, sf):
-    return linked(spark, sf).select("segment_id", "observation_id", "rn")
+    newest = O.observations_by_segment(O.filter_active(D.observations(spark, sf)), P.NEWEST_OBSERVATIONS)
+    return newest.select("segment_id", "observation_id", "rn")
 
 
 @query

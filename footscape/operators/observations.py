@@ -166,10 +166,34 @@ def newest_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank:
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def observations_by_segment(obs: DataFrame, limit: int = P.NEWEST_OBSERVATIONS) -> DataFrame:
-    """One row per (segment, observation), newest capture first, at most `limit` per segment."""
+def newest_first() -> list[Column]:
+    return [F.desc_nulls_last("captured_at"), F.asc("observation_id")]
+
+
+def observations_by_segment(obs: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per (segment, observation); with a `limit`, so many per segment, newest capture first, numbered in `rn`."""
     long = obs.withColumn("segment_id", F.explode(F.array_distinct("segment_ids"))).drop("segment_ids")
-    return newest_n(long, ["segment_id"], [F.desc_nulls_last("captured_at"), F.asc("observation_id")], limit)
+    return long if limit is None else newest_n(long, ["segment_id"], newest_first(), limit)
+
+
+def _newest_notes(linked: DataFrame) -> DataFrame:
+    """Per segment, the lists that depend on order: qualities of the newest images (all, and those that tell something),
+    the newest obstacle text and the first eight findings. Each is cut to its length before rows gather by segment."""
+    o = F.col("observation")
+    base = linked.select("segment_id", "captured_at", "observation_id", o["image_quality"].alias("q"), (~is_empty(o)).alias("told"),
+                         F.trim(o["obstacle"]["description"]).alias("d"), o["uncertain_findings"].alias("u"))
+    newest = F.struct(F.col("captured_at").isNull().alias("undated"), (-F.unix_micros("captured_at")).alias("age"), "observation_id")
+    images = newest_n(base, ["segment_id", "told"], newest_first(), P.COUNTED_IMAGES).groupBy("segment_id").agg(
+        F.sort_array(F.collect_list(F.struct(newest.alias("at"), "q", "told"))).alias("images"))
+    texts = newest_n(base.filter(F.col("d") != ""), ["segment_id"], newest_first(), 1).select("segment_id", F.col("d").alias("obstacle_text"))
+    said = base.select("segment_id", newest.alias("at"), F.posexplode("u").alias("pos", "finding")).groupBy("segment_id", "finding").agg(
+        F.min(F.struct("at", "pos")).alias("first"))
+    findings = newest_n(said, ["segment_id"], [F.asc("first")], 8).groupBy("segment_id").agg(
+        F.sort_array(F.collect_list(F.struct("first", "finding"))).alias("said"))
+    return (images.join(texts, "segment_id", "left").join(findings, "segment_id", "left").select(
+        "segment_id", F.slice(F.transform("images", lambda r: r["q"]), 1, P.COUNTED_IMAGES).alias("image_qualities"),
+        F.transform(F.filter("images", lambda r: r["told"]), lambda r: r["q"]).alias("informative_qualities"), "obstacle_text",
+        F.coalesce(F.transform("said", lambda r: r["finding"]), F.array().cast("array<string>")).alias("uncertain_findings")))
 
 
 def first_observation_segment(obs: DataFrame) -> DataFrame:
@@ -204,10 +228,6 @@ def vote_features(linked: DataFrame) -> DataFrame:
         F.count_distinct("source_type").alias("n_source_types"),
         F.min("source_type").alias("any_source_type"),
         F.max(F.coalesce("captured_at", "analysed_at")).alias("last_observed_at"),
-        # bounded: at most NEWEST_OBSERVATIONS rows reach a group
-        F.sort_array(F.collect_list(F.struct(
-            "rn", o["image_quality"].alias("q"), (~is_empty(o)).alias("told"), o["obstacle"]["description"].alias("d"),
-            o["uncertain_findings"].alias("u")))).alias("ordered"),
     )
     votes = {}
     for path, values in WORST_FIRST.items():
@@ -227,15 +247,8 @@ def vote_features(linked: DataFrame) -> DataFrame:
             F.when(informative > 0, top / informative).otherwise(F.lit(0.0)).alias("agreement"),
             ((informative > 0) & tied).alias("tie"),
         )
-    ordered = F.col("ordered")
-    keep = [c for c in counted.columns if not c.startswith("n__") and c != "ordered"]
-    return counted.select(
-        *keep, *[c.alias(n) for n, c in votes.items()],
-        F.transform(ordered, lambda r: r["q"]).alias("image_qualities"),
-        F.transform(F.filter(ordered, lambda r: r["told"]), lambda r: r["q"]).alias("informative_qualities"),
-        F.get(F.filter(F.transform(ordered, lambda r: F.trim(r["d"])), lambda d: d != ""), F.lit(0)).alias("obstacle_text"),
-        F.slice(F.array_distinct(F.flatten(F.transform(ordered, lambda r: r["u"]))), 1, 8).alias("uncertain_findings"),
-    )
+    keep = [c for c in counted.columns if not c.startswith("n__")]
+    return counted.select(*keep, *[c.alias(n) for n, c in votes.items()]).join(_newest_notes(linked), "segment_id", "left")
 
 
 def votes_long(votes: DataFrame) -> DataFrame:
@@ -351,7 +364,7 @@ def derive_visual_evidence(votes: DataFrame) -> DataFrame:
     })
 
 
-def visual_evidence(obs: DataFrame, limit: int = P.NEWEST_OBSERVATIONS) -> DataFrame:
+def visual_evidence(obs: DataFrame, limit: int | None = None) -> DataFrame:
     """Active observations to one evidence row per segment."""
     votes = vote_features(observations_by_segment(filter_active(obs), limit))
     return derive_visual_evidence(observation_summary(observation_agreement(votes)))

@@ -42,7 +42,7 @@ def reports_by_segment(reports: DataFrame) -> DataFrame:
 
 
 def assess_inputs(segments: DataFrame, obs: DataFrame, reports: DataFrame,
-                  limit: int = P.NEWEST_OBSERVATIONS) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Every segment with its reduced visual and report evidence.
 
     Both evidence sides are aggregated to one row per segment before the join.

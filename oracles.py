@@ -246,7 +246,7 @@ SELECT *, NOT ((pedestrian_path_visible NOT IN ('unknown', 'not_visible')) OR pe
       OR curb_ramp_visible NOT IN ('unknown', 'not_visible') OR stairs_visible <> 'unknown' OR surface_type <> 'unknown'
       OR surface_condition <> 'unknown' OR obstacle_visible <> 'unknown' OR obstacle_severity <> 'unknown'
       OR crossing_visible NOT IN ('unknown', 'not_visible') OR clear_passage_classification <> 'unknown' OR len(features) > 0) AS empty
-FROM linked WHERE rn <= 20""")
+FROM linked""")
 WORST = {
     "pedestrian_path_visible": ["no", "yes"], "pedestrian_path_condition": ["blocked", "restricted", "clear"],
     "curb_ramp_visible": ["no", "yes"], "stairs_visible": ["yes", "no"],
@@ -279,7 +279,7 @@ fragment("summary", ["near"], """
 SELECT segment_id, count(*) AS observation_count, count(*) FILTER (NOT empty) AS informative_count,
        count(*) FILTER (source_type = 'mapillary') AS n_map, count(*) FILTER (source_type = 'citizen') AS n_cit,
        CASE WHEN count(DISTINCT source_type) = 1 THEN min(source_type) ELSE 'visual' END AS label,
-       max(coalesce(captured_at, analysed_at)) AS last_observed_at, list(quality ORDER BY rn) AS qualities,
+       max(coalesce(captured_at, analysed_at)) AS last_observed_at, list(quality ORDER BY rn) FILTER (rn <= 3) AS qualities,
        count(*) FILTER (list_contains(features, 'tactile_paving')) AS f_tactile, count(*) FILTER (list_contains(features, 'dropped_kerb')) AS f_kerb,
        count(*) FILTER (list_contains(features, 'traffic_signals') OR list_contains(features, 'marked_crossing')) AS f_cross
 FROM near GROUP BY 1""")

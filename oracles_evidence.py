@@ -48,7 +48,7 @@ oracle("normalise_observations", ["raw"], """SELECT observation_id, CASE WHEN ra
   array_to_string(features, ',') AS features, CASE WHEN description = '' THEN 0 ELSE 140 END AS description_chars, 0 AS n_uncertain FROM raw""")
 oracle("reading_quality", ["obs"], """SELECT observation_id, quality <> 'poor' AND pedestrian_path_visible <> 'not_visible' AND len(uncertain) <= 2 AS sufficient,
   false AS is_empty FROM obs""")
-oracle("observations_newest", ["near"], "SELECT segment_id, observation_id, rn FROM near")
+oracle("observations_newest", ["near"], "SELECT segment_id, observation_id, rn FROM near WHERE rn <= 20")
 oracle("first_segment", ["obs"], "SELECT observation_id, own AS segment_id FROM obs")
 oracle("feature_votes", ["votes"], f"SELECT segment_id, path, value, support, informative, {half_up('agreement', 4)} AS agreement, tie FROM votes")
 oracle("vote_ranks", ["ranked"], "SELECT segment_id, path, value, support, rank FROM ranked")
