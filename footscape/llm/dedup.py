@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footscape.llm.common import lower_az, stored
@@ -13,6 +13,26 @@ TRACKED, WINNERS = 4096, 512
 HEAVY_SHARE = 1 / 1000
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(lower_az(F.coalesce(text, F.lit(""))), 256))
+
+
+def _grouped(docs: DataFrame, tracked: int, winners: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored digests of all rows (doc_id, d, rid); the heavy ones (d, group_size, keep); and the rows of the others with
+    their group (doc_id, d, rid, group_size, keep)."""
+    digests = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("d"), F.monotonically_increasing_id().alias("rid")))
+    row = F.struct("doc_id", "rid")
+    items = digests.select(F.hex("d").alias("d")).agg(F.expr(f"approx_top_k(d, {winners}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
+    candidates = items.select(F.explode("top").alias("t"), "n").select(F.unhex(F.col("t.item")).alias("d"), "n")
+    heavy = (digests.join(F.broadcast(candidates), "d").groupBy("d", "n").agg(F.count(F.lit(1)).alias("group_size"), F.max(row).alias("keep"))
+             .filter((F.col("group_size") > 1) & (F.col("group_size") >= F.col("n") * share)).select("d", "group_size", "keep"))
+    heavy = stored(heavy)
+    w = Window.partitionBy("d")
+    rest = digests.join(F.broadcast(heavy.select("d")), "d", "left_anti").select(
+        "*", F.count(F.lit(1)).over(w).alias("group_size"), F.max(row).over(w).alias("keep"))
+    return digests, heavy, rest
+
+
 def exact_groups(docs: DataFrame, tracked: int = TRACKED, winners: int = WINNERS, share: float = HEAVY_SHARE) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of `docs` (doc_id, text, ...).
 
@@ -23,28 +43,32 @@ def exact_groups(docs: DataFrame, tracked: int = TRACKED, winners: int = WINNERS
     read. No key of the shuffle that is left holds more than max(1/tracked, share) of the rows or so.
     Further columns of `docs` are ignored; an empty table gives an empty result.
     """
-    digests = stored(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(lower_az(F.coalesce(F.col("text"), F.lit(""))), 256)).alias("d"),
-        F.monotonically_increasing_id().alias("rid")))
-    row = F.struct("doc_id", "rid")
-    items = digests.select(F.hex("d").alias("d")).agg(F.expr(f"approx_top_k(d, {winners}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
-    candidates = items.select(F.explode("top").alias("t"), "n").select(F.unhex(F.col("t.item")).alias("d"), "n")
-    heavy = (digests.join(F.broadcast(candidates), "d").groupBy("d", "n").agg(F.count(F.lit(1)).alias("group_size"), F.max(row).alias("keep"))
-             .filter((F.col("group_size") > 1) & (F.col("group_size") >= F.col("n") * share)).select("d", "group_size", "keep"))
-    heavy = stored(heavy)
+    digests, heavy, rest = _grouped(docs, tracked, winners, share)
     settled = digests.join(F.broadcast(heavy), "d")
-    w = Window.partitionBy("d")
-    rest = digests.join(F.broadcast(heavy.select("d")), "d", "left_anti").select(
-        "*", F.count(F.lit(1)).over(w).alias("group_size"), F.max(row).over(w).alias("keep"))
     both = settled.select("doc_id", "d", "rid", "group_size", "keep").unionByName(rest)
     return both.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep.rid") == F.col("rid")).alias("kept"),
                        F.lower(F.hex("d")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text no row with a larger id repeats; all columns stay."""
-    dropped = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+def drop_copies(docs: DataFrame, tracked: int = TRACKED, winners: int = WINNERS, share: float = HEAVY_SHARE) -> DataFrame:
+    """One row of each text: that with the largest doc_id (a null id is the smallest; of rows that repeat an id, one); all
+    columns stay.
+
+    Rows are told apart by id and digest: those whose id isn't their group's largest go, and of a largest id that stands
+    on several rows of a text, one is taken by an aggregate, which reduces them where they are read.
+    """
+    _, heavy, rest = _grouped(docs, tracked, winners, share)
+    lost = stored(rest.filter(F.col("keep.rid") != F.col("rid")).groupBy(F.col("doc_id").alias("_lost_id"), F.col("d").alias("_lost_d"))
+                  .agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))).alias("_again")))
+    marked = docs.select("*", F.col("doc_id").cast("long").alias("_id"), _digest(F.col("text")).alias("_d"))
+    marked = marked.join(F.broadcast(heavy.select(F.col("d").alias("_heavy"), F.col("keep.doc_id").alias("_keep"))), F.col("_d") == F.col("_heavy"), "left")
+    light = marked.filter(F.col("_heavy").isNull())
+    same = F.col("_id").eqNullSafe(F.col("_lost_id")) & F.col("_d").eqNullSafe(F.col("_lost_d"))
+    again = marked.filter(F.col("_heavy").isNotNull() & F.col("_id").eqNullSafe(F.col("_keep")))
+    repeats = lost.filter("_again")
+    if not repeats.isEmpty():
+        again = again.unionByName(light.join(repeats, same, "left_semi"))
+    return light.join(lost, same, "left_anti").unionByName(again.dropDuplicates(["_d"])).select(*docs.columns)
 
 
 ORACLE = """

@@ -215,6 +215,17 @@ def test_exact_groups(spark, docs, empty):
     assert dedup.drop_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("share", [1 / 1000, 2])  # with and without heavy digests
+def test_drop_copies_decides_by_row(spark, empty, share):
+    rows = [(1, "twice"), (1, "TWICE"), (2, "a copy"), (2, "own text"), (3, "A copy"), (4, None), (None, ""), (None, "nameless"), (None, "Nameless"), (6, "alone")]
+    rows += [(7, "hot")] * 40 + [(k % 7, "hot") for k in range(40)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, keep string")
+    got = Counter((r.doc_id, (r.text or "").lower(), r.keep) for r in dedup.drop_copies(df, share=share).collect())
+    want = [(1, "twice"), (2, "own text"), (3, "a copy"), (4, ""), (None, "nameless"), (6, "alone"), (7, "hot")]
+    assert got == Counter((k, t, "x") for k, t in want)
+    assert dedup.drop_copies(empty).count() == 0
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
