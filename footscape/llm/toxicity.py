@@ -16,14 +16,13 @@ from footscape.llm.bpe import batches
 from footscape.llm.common import fold_of, stored
 from footscape.llm.quality import labelled_sample, score_column
 
-#: Characters in an n-gram, the discount, and the size of each hashed table of counts (fixed, so that what the driver
-#: gathers and sends out is bounded whatever the corpus).
-ORDER, DISCOUNT, SLOTS = 5, 0.75, 1 << 19
+#: Characters in an n-gram, and the discount.
+ORDER, DISCOUNT = 5, 0.75
 #: Backoff counts that each class's contexts get besides the discounted ones: evidence of a few counts stays small.
 BACKOFF = 20
 #: So many of a text's most toxic words are summed.
 TOP = 3
-#: Counts come from all labelled rows of the first folds; the scale of the score from at most so many rows of the last.
+#: Counts come from all labelled rows of the first folds; the scale of the score from at most so many documents of the last.
 COUNT_FOLDS, SCALE_FOLDS, SCALE_SAMPLE = (1, 2, 3), (4,), 4000
 THRESHOLD = 0.5
 CACHE_WORDS = 1 << 18
@@ -34,8 +33,8 @@ FLOOR = 1e-4
 
 
 def char_grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For each character of "word$", read after "^": the word's position, and for k = 1..ORDER the hashes of the last
-    k characters (gram) and of those before the character among them (context). Where a word has fewer, the hash
+    """For each character of "word$", read after "^": the word's position, and for k = 1..ORDER the 64-bit digests of the last
+    k characters (gram) and of those before the character among them (context). Where a word has fewer, the digest
     is that of all it has, with its start sign."""
     raw = ["^" + w + "$" for w in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -53,41 +52,94 @@ def char_grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.
             if back:
                 c = np.where(ok, (c ^ ch) * _MIX, c)
             g = np.where(ok, (g ^ ch) * _MIX, g)
-        salt = np.uint64(k)
-        grams.append((((g ^ salt) * _MIX) >> np.uint64(20)) % np.uint64(SLOTS))
-        contexts.append((((c ^ salt) * _MIX) >> np.uint64(20)) % np.uint64(SLOTS))
-    return np.repeat(np.arange(len(raw)), size)[at], [g.astype(np.int64) for g in grams], [c.astype(np.int64) for c in contexts]
+        grams.append(g)
+        contexts.append(c)
+    return np.repeat(np.arange(len(raw)), size)[at], grams, contexts
 
 
-def gram_rows(counted: DataFrame) -> DataFrame:
-    """From (toxic, word, n): distinct (toxic, k, gram, context, longer) with n, where `longer` is the gram of order k + 1
-    that ends in the same way (0 for the last order)."""
+def gram_digests(chars: np.ndarray) -> np.ndarray:
+    """The digests that char_grams gives, of n-grams as rows of code points, 0 where there is none."""
+    h = np.zeros(len(chars), np.uint64)
+    for ch in chars.T.astype(np.uint64):
+        h = np.where(ch > 0, (h ^ (ch + np.uint64(1))) * _MIX, h)
+    return h
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            owner, grams, contexts = char_grams(f["word"].tolist())
-            parts = []
-            for k in range(ORDER):
-                parts.append(pd.DataFrame({"toxic": f["toxic"].to_numpy()[owner], "k": k, "gram": grams[k], "context": contexts[k], "longer": grams[k + 1] if k + 1 < ORDER else 0, "n": f["n"].to_numpy()[owner]}))
-            yield pd.concat(parts).groupby(["toxic", "k", "gram", "context", "longer"], as_index=False)["n"].sum()
 
-    rows = counted.mapInPandas(run, "toxic int, k int, gram long, context long, longer long, n long")
-    return rows.groupBy("toxic", "k", "gram", "context", "longer").agg(F.sum("n").alias("n"))
+def gram_rows(counted: DataFrame) -> DataFrame:
+    """From (toxic, word, n): (gram, ordinary, toxic), one row per distinct n-gram of the longest order, with its counts in both
+    classes. N-grams of lower orders are ends of these."""
+    raw = F.concat(F.lit("^"), "word", F.lit("$"))
+    at = F.sequence(F.lit(2), F.char_length(raw))
+    grams = F.transform(at, lambda k: F.substring(raw, F.greatest(F.lit(1), k - (ORDER - 1)), F.least(F.lit(ORDER), k)))
+    count = lambda x: F.sum(F.when(F.col("toxic") == x, F.col("n")).otherwise(0))
+    return counted.select("toxic", "n", F.explode(grams).alias("gram")).groupBy("gram").agg(count(0).alias("ordinary"), count(1).alias("toxic"))
+
+
+class Table:
+    """Values by 64-bit digest, as many as there are distinct ones; rows of digests that aren't in it are zeros."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.concatenate([values[order], np.zeros((1, values.shape[1]))])
+        # the digests are uniform: their first bits tell where to look
+        self.shift = np.uint64(64 - max(1, len(keys)).bit_length())
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        head = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        found, left = np.full(len(keys), len(self.keys)), np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == keys[left]
+            found[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return self.values[found]
+
+
+def _by(keys: np.ndarray, values: list[np.ndarray]) -> Table:
+    """A table of sums by key."""
+    distinct, group = np.unique(keys, return_inverse=True)
+    return Table(distinct, np.stack([np.bincount(group, v, len(distinct)) for v in values], 1))
+
+
+def tables(grams: list[str], counts: np.ndarray) -> Model:
+    """The model of distinct n-grams of the longest order, and their counts (ordinary, toxic)."""
+    chars = np.array(grams, f"<U{ORDER}").view("<u4").reshape(len(grams), ORDER)
+    size = (chars > 0).sum(1)
+
+    def ends(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The last k characters, as far as there are, and those without the last."""
+        at = np.maximum(size - k, 0)[:, None] + np.arange(k)
+        end = np.where(at < size[:, None], np.take_along_axis(chars, np.minimum(at, ORDER - 1), 1), 0)
+        return end, np.where(np.arange(k) < np.minimum(size, k)[:, None] - 1, end, 0)
+
+    own = [ends(k) for k in range(1, ORDER + 1)]
+    digests = [(gram_digests(g), gram_digests(c)) for g, c in own]
+    left, left_context = [], []
+    for k in range(ORDER - 1):
+        at = np.unique(digests[k + 1][0], return_index=True)[1]  # each longer gram once
+        g, c = digests[k][0][at], digests[k][1][at]
+        left.append(_by(g, [np.ones(len(g))]))
+        first = np.zeros(len(g))
+        first[np.unique(g, return_index=True)[1]] = 1
+        left_context.append(_by(c, [np.ones(len(c)), first]))
+    g, c = digests[-1]
+    n = counts.astype(float)
+    return Model(_by(g, [n[:, 0], n[:, 1]]), _by(c, [n[:, 0], n[:, 1], n[:, 0] > 0, n[:, 1] > 0]), left, left_context)
 
 
 @dataclass
 class Model:
-    """Tables by hashed gram or context. Per class, order ORDER: counts, their sums by context and the number of
-    distinct grams by context. Shared, orders below: in how many different ways a gram is extended to the left."""
+    """Tables by gram or context. At order ORDER: counts of both classes (`gram`); their sums, and the number of distinct
+    grams, by context. Shared, orders below: in how many different ways a gram is extended to the left; by context, the
+    sum of that and the number of distinct grams."""
 
-    gram: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
+    gram: Table
+    context: Table
     left: list
-    left_total: list
-    left_kinds: list
+    left_context: list
     scale: np.ndarray = field(default_factory=lambda: np.zeros(5))
 
     def scorer(self) -> Scorer:
@@ -102,9 +154,9 @@ class Model:
         owner, grams, contexts = char_grams(words)
         p = np.full(len(owner), FLOOR)
         for k in range(ORDER - 1):
-            p = _smooth(self.left[k][grams[k]], self.left_total[k][contexts[k]], self.left_kinds[k][contexts[k]], p, 0)
-        g, c = grams[-1], contexts[-1]
-        tox, ordinary = (np.log(_smooth(self.gram[x][g], self.total[x][c], self.kinds[x][c], p, BACKOFF)) for x in (1, 0))
+            p = _smooth(self.left[k](grams[k])[:, 0], *self.left_context[k](contexts[k]).T, p, 0)
+        g, c = self.gram(grams[-1]), self.context(contexts[-1])
+        tox, ordinary = (np.log(_smooth(g[:, x], c[:, x], c[:, 2 + x], p, BACKOFF)) for x in (1, 0))
         return np.bincount(owner, tox - ordinary, len(words))
 
 
@@ -154,15 +206,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ s[:-1] + s[-1], -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton steps; the features are brought to unit size first."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic regression of weighted rows by Newton steps; the features are brought to unit size first."""
     size = np.maximum(np.abs(x).mean(0), 1e-9)
     a = np.column_stack([x / size, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hess = (a * (p * (1 - p))[:, None]).T @ a + ridge * len(a) * np.diag([1e-2] * x.shape[1] + [1e-4])
-        w += np.linalg.solve(hess, a.T @ (y - p) - ridge * len(a) * np.diag([1e-2] * x.shape[1] + [1e-4]) @ w)
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * len(a) * np.diag([1e-2] * x.shape[1] + [1e-4])
+        w += np.linalg.solve(hess, a.T @ (weight * (y - p)) - ridge * len(a) * np.diag([1e-2] * x.shape[1] + [1e-4]) @ w)
     return np.append(w[:-1] / size, w[-1])
 
 
@@ -188,38 +240,17 @@ def word_counts(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int
     return rows.mapInPandas(run, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
 
 
-def _table(df: DataFrame, key: str, value: str) -> np.ndarray:
-    """A hashed table of at most SLOTS rows as an array."""
-    f = df.select(F.col(key).cast("int").alias("i"), F.col(value).cast("float").alias("v")).toArrow()
-    out = np.zeros(SLOTS, np.float32)
-    out[f.column("i").to_numpy()] = f.column("v").to_numpy()
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Counts over all labelled rows of COUNT_FOLDS, summed by Spark into tables of SLOTS entries; the scale of the score
-    by logistic regression on at most SCALE_SAMPLE rows of SCALE_FOLDS. The held-out fold takes no part."""
-    grams = stored(gram_rows(word_counts(docs, labels, label, COUNT_FOLDS)))
-    last = grams.filter(F.col("k") == ORDER - 1)
-    per = [last.filter(F.col("toxic") == x) for x in (0, 1)]
-    gram = [_table(p.groupBy("gram").agg(F.sum("n").alias("v")), "gram", "v") for p in per]
-    by = [p.groupBy("context").agg(F.sum("n").alias("v"), F.count_distinct("gram").alias("u")) for p in per]
-    total, kinds = [_table(b, "context", "v") for b in by], [_table(b, "context", "u") for b in by]
-    left, left_total, left_kinds = [], [], []
-    for k in range(ORDER - 1):
-        shared = grams.filter(F.col("k") == k).select("gram", "context", "longer").distinct()
-        ext = shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("v"))
-        left.append(_table(ext.groupBy("gram").agg(F.sum("v").alias("v")), "gram", "v"))
-        c = ext.groupBy("context").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("u"))
-        left_total.append(_table(c, "context", "v"))
-        left_kinds.append(_table(c, "context", "u"))
-    model = Model(np.stack(gram), np.stack(total), np.stack(kinds), left, left_total, left_kinds)
+    """Counts of all n-grams over all labelled rows of COUNT_FOLDS, summed by Spark; the scale of the score by logistic
+    regression on at most SCALE_SAMPLE rows of SCALE_FOLDS. The held-out fold takes no part."""
+    got = gram_rows(word_counts(docs, labels, label, COUNT_FOLDS)).toArrow()
+    model = tables(got.column("gram").to_pylist(), np.stack([got.column(c).to_numpy() for c in ("ordinary", "toxic")], 1))
     rows = labelled_sample(docs, labels, label, SCALE_SAMPLE, SCALE_FOLDS)
     y = np.array([float(r["_label"] > 0) for r in rows])
     if len(set(y.tolist())) == 2:
         scorer = model.scorer()
         x = np.concatenate([scorer.features(g) for g in batches([r["text"] for r in rows])])
-        model.scale = _logistic(x, y)
+        model.scale = _logistic(x, y, np.ones(len(y)))
     return model
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -166,6 +167,53 @@ def test_classifiers_on_held_out_rows(spark, module, label, threshold):
     assert blank.count() == 0
 
 
+def test_language_model_equals_one_of_exact_keys(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(rng.choice([97, 98, 99, 228, 0x4F60, 0x1F600])) for _ in range(rng.integers(1, 9)))
+    counted = [(int(rng.integers(2)), w, int(rng.integers(1, 9))) for w in sorted({word() for _ in range(300)})]
+    got = toxicity.gram_rows(spark.createDataFrame(counted, "toxic int, word string, n long")).collect()
+    model = toxicity.tables([r.gram for r in got], np.array([[r.ordinary, r.toxic] for r in got]))
+    tail = lambda w, i, k: w[max(0, i + 1 - k):i + 1]
+    n, ways = [Counter(), Counter()], [set() for _ in range(4)]
+    for x, w, c in counted:
+        w = f"^{w}$"
+        for i in range(1, len(w)):
+            n[x][tail(w, i, 5)] += c
+            for k in range(4):
+                ways[k].add((tail(w, i, k + 1), tail(w, i, k + 2)))
+    assert {r.gram: (r.ordinary, r.toxic) for r in got} == {g: (n[0][g], n[1][g]) for g in {*n[0], *n[1]}}
+    left = [Counter(g for g, _ in s) for s in ways]
+
+    def ratio(w):
+        w, out = f"^{w}$", 0.0
+        for i in range(1, len(w)):
+            p = toxicity.FLOOR
+            for k in range(4):
+                g = tail(w, i, k + 1)
+                under = [v for h, v in left[k].items() if h[:-1] == g[:-1]]
+                p = toxicity._smooth(left[k][g], sum(under), len(under), p, 0)
+            g, logs = tail(w, i, 5), []
+            for x in (0, 1):
+                under = [v for h, v in n[x].items() if h[:-1] == g[:-1]]
+                logs.append(np.log(toxicity._smooth(n[x][g], sum(under), len(under), p, toxicity.BACKOFF)))
+            out += logs[1] - logs[0]
+        return out
+
+    words = [w for _, w, _ in counted[:60]] + [word() for _ in range(60)] + ["z", "ab" * 9]
+    assert np.allclose(model.word_ratios(words), [ratio(w) for w in words])
+
+
+def test_tables_of_the_language_model_grow_with_its_grams():
+    letters = [chr(97 + k) for k in range(15)]
+    grams = ["".join(g) for g in itertools.product(letters, repeat=5)]  # 759,375
+    counts = np.column_stack([np.full(len(grams), 3), np.zeros(len(grams), int)])
+    counts[::100_000] = 0, 50
+    model = toxicity.tables(grams, counts)
+    at = np.arange(0, len(grams), 50_000)
+    digests = toxicity.gram_digests(np.array([[ord(c) for c in grams[k]] for k in at]))
+    assert len(model.gram.keys) == len(grams) and (model.gram(digests) == counts[at]).all()
+
+
 def test_licenses_equal_brute_force(spark, empty):
     texts = [*TEXTS, "MIT License mit license", "The Apache License, Version 2.0; CC-BY-NC 4.0", "gnu\ngeneral.public:license v3 or later", "cc by cc by cc", "Licensed under the MIT License. " * 400, "smit license", "ämit license", "mit licenseé", "Permission is hereby granted, free of charge"]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, labels string")
