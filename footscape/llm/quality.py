@@ -145,6 +145,13 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def one_text(docs: DataFrame, ids: DataFrame) -> list:
+    """Rows (doc_id, text, _label) of the documents `ids` (doc_id, _label), by id. Of rows that repeat an id, the least text is
+    taken, by an aggregate that each task begins, so that the number of rows is bounded by that of ids."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    return sorted(rows.select("doc_id", "text", "_label").collect(), key=lambda r: r["doc_id"])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, folds: tuple[int, ...] = (1, 2, 3, 4)) -> list:
     """Rows (text, label) of labelled documents in these folds, at most `limit`: those whose ids hash lowest.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from footscape.llm.bpe import batches
 from footscape.llm.common import fold_of, stored
-from footscape.llm.quality import labelled_sample, score_column
+from footscape.llm.quality import one_text, score_column
 
 #: Characters in an n-gram, and the discount.
 ORDER, DISCOUNT = 5, 0.75
@@ -25,6 +25,8 @@ TOP = 3
 #: Counts come from all labelled rows of the first folds; the scale of the score from at most so many documents of the last.
 COUNT_FOLDS, SCALE_FOLDS, SCALE_SAMPLE = (1, 2, 3), (4,), 4000
 THRESHOLD = 0.5
+#: The log odds of every text where labels don't show both classes: nothing is predicted toxic.
+UNKNOWN = -4.0
 CACHE_WORDS = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -140,7 +142,7 @@ class Model:
     context: Table
     left: list
     left_context: list
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    scale: np.ndarray = field(default_factory=lambda: np.array([0, 0, 0, 0, UNKNOWN]))
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -240,24 +242,51 @@ def word_counts(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int
     return rows.mapInPandas(run, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
 
 
+def scale_sample(docs: DataFrame, present: DataFrame, folds: tuple[int, ...], limit: int = SCALE_SAMPLE) -> tuple[list, np.ndarray]:
+    """Rows (text, _label) of at most `limit` documents of these folds, as many of one class as of the other where there are
+    so many, those whose ids hash lowest; and per row, of how many of its class it speaks, to a mean of 1. `present` has
+    (doc_id, _label, fold)."""
+    own = present.filter(F.col("fold").isin(*folds))
+    size = {int(r["_label"]): r["count"] for r in own.groupBy("_label").count().collect()}
+    toxic = min(size[1], max(limit // 2, limit - size[0]))
+    lowest = lambda x, n: own.filter(F.col("_label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "_label")
+    ids = lowest(1, toxic).unionByName(lowest(0, limit - toxic))
+    rows = one_text(docs, ids)
+    y = np.array([r["_label"] for r in rows])
+    taken = np.bincount(y, minlength=2)
+    weight = np.array([size[int(k)] / taken[k] for k in y], float)
+    return rows, weight / weight.mean()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Counts of all n-grams over all labelled rows of COUNT_FOLDS, summed by Spark; the scale of the score by logistic
-    regression on at most SCALE_SAMPLE rows of SCALE_FOLDS. The held-out fold takes no part."""
-    got = gram_rows(word_counts(docs, labels, label, COUNT_FOLDS)).toArrow()
+    regression on at most SCALE_SAMPLE documents of SCALE_FOLDS. The held-out fold takes no part.
+
+    Where one of these two has documents of one class only, both are made of all folds but the held-out one; where these
+    have one class only, or none, every score is that of UNKNOWN, below the threshold.
+    """
+    folds = (*COUNT_FOLDS, *SCALE_FOLDS)
+    one = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold_of(F.col("doc_id")).isin(*folds))
+           .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("_label")))
+    present = stored(one.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id").withColumn("fold", fold_of(F.col("doc_id"))))
+    seen = {(r["fold"], r["_label"]) for r in present.select("fold", "_label").distinct().collect()}
+    both = lambda fs: {x for f, x in seen if f in fs} == {0, 1}
+    if not both(folds):
+        return tables([], np.zeros((0, 2)))
+    apart = both(COUNT_FOLDS) and both(SCALE_FOLDS)
+    got = gram_rows(word_counts(docs, labels, label, COUNT_FOLDS if apart else folds)).toArrow()
     model = tables(got.column("gram").to_pylist(), np.stack([got.column(c).to_numpy() for c in ("ordinary", "toxic")], 1))
-    rows = labelled_sample(docs, labels, label, SCALE_SAMPLE, SCALE_FOLDS)
-    y = np.array([float(r["_label"] > 0) for r in rows])
-    if len(set(y.tolist())) == 2:
-        scorer = model.scorer()
-        x = np.concatenate([scorer.features(g) for g in batches([r["text"] for r in rows])])
-        model.scale = _logistic(x, y, np.ones(len(y)))
+    rows, weight = scale_sample(docs, present, SCALE_FOLDS if apart else folds)
+    scorer = model.scorer()
+    x = np.concatenate([scorer.features(g) for g in batches([r["text"] for r in rows])])
+    model.scale = _logistic(x, np.array([float(r["_label"]) for r in rows]), weight)
     return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of `docs` (doc_id, text, ...).
 
-    A null text is scored as an empty one. Without labelled rows of both classes every score is 0.5.
+    A null text is scored as an empty one. Without labelled rows of both classes no text is predicted toxic.
     Repeated rows repeat, other columns are ignored, and an empty table gives no rows.
     """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id")) == 0).alias("held_out"), score_column(model, F.col("text")).alias("score"))

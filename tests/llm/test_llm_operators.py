@@ -167,6 +167,32 @@ def test_classifiers_on_held_out_rows(spark, module, label, threshold):
     assert blank.count() == 0
 
 
+def test_a_corpus_without_toxic_labels_is_kept_whole(spark):
+    docs, labels = labelled(spark)
+    for some in (labels.limit(0), labels.filter("toxic is null"), labels.filter("toxic = 0"), labels.filter("toxic = 1")):
+        assert toxicity.keep_clean(docs, toxicity.fit(docs, some)).count() == docs.count()
+
+
+def test_toxic_labels_in_one_part_of_the_folds_are_used(spark):
+    docs, labels = labelled(spark)
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    for fold in ("crc32(cast(doc_id as string)) % 5 <> 4", "crc32(cast(doc_id as string)) % 5 = 4"):
+        rows = toxicity.score_documents(docs, toxicity.fit(docs, labels.filter(f"toxic = 0 or {fold}"))).filter("held_out").collect()
+        held = [r for r in rows if r.doc_id in truth]
+        assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held) > 0
+
+
+def test_scale_sample_holds_both_classes_and_only_present_documents(spark):
+    docs = spark.createDataFrame([(k, "t", "x") for k in range(300)] * 2, "doc_id long, text string, score string")
+    present = spark.createDataFrame([(k, int(k in (7, 8, 9)), 4) for k in range(300)], "doc_id long, _label int, fold int")
+    rows, weight = toxicity.scale_sample(docs, present, (4,), 20)
+    y = np.array([r["_label"] for r in rows])
+    assert len(rows) == 20 and {r["doc_id"] for r in rows if r["_label"]} == {7, 8, 9}
+    assert np.allclose(weight[y == 0] / weight[y == 1][0], 297 / 17)
+    labels = spark.createDataFrame([(k, int(k % 2 == 0 or k >= 600)) for k in range(3000)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs.filter("doc_id % 2 = 1"), toxicity.fit(docs.filter("doc_id % 2 = 1"), labels)).count() == 300
+
+
 def test_language_model_equals_one_of_exact_keys(spark):
     rng = np.random.default_rng(9)
     word = lambda: "".join(chr(rng.choice([97, 98, 99, 228, 0x4F60, 0x1F600])) for _ in range(rng.integers(1, 9)))
