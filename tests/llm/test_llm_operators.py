@@ -274,6 +274,16 @@ def test_urls(spark):
     assert hosts.judged(pages.limit(0), outcomes.limit(0)).count() == 0 and hosts.judged(pages, outcomes.limit(0)).count() == len(urls)
 
 
+def test_hosts_without_outcomes_take_those_above_them(spark):
+    outcomes = spark.createDataFrame([(f"{k}.spam.biz", 1) for k in range(20)] * 3 + [(f"{k}.fine.org", 0) for k in range(20)] * 3 + [("good.mixed.org", 0)] * 30 + [("bad.mixed.org", 1)] * 30, "host string, bad int")
+    urls = {1: "http://new.spam.biz/1", 2: "http://spam.biz/1", 3: "http://other.biz/1", 4: "http://new.fine.org/1", 5: "http://new.mixed.org/", 6: "http://other.org/", 7: "http://x.unseen/", 8: None, 9: "http://3.spam.biz/"}
+    pages = spark.createDataFrame(list(urls.items()) * 2, "page_id long, url string")
+    rows = hosts.judged(pages, outcomes).collect()
+    assert len(rows) == len(pages.collect())
+    assert {r.page_id: r.verdict for r in rows} == {k: "block" if k in (1, 2, 3, 9) else "allow" for k in urls}
+    assert all((r.lower is None) == (r.page_id == 8) for r in rows)
+
+
 def test_exact_groups(spark, docs, empty):
     got = dedup.exact_groups(docs).collect()
     assert len(got) == len(TEXTS) + 2 and sum(r.kept for r in got) == len({(t or "").translate({c: c + 32 for c in range(65, 91)}) for t in TEXTS})
