@@ -18,10 +18,14 @@ SAMPLE = 240
 PATH_DIM, WORD_DIM, HIDDEN, EPOCHS, RATE, SEED = 96, 24, 16, 6, 0.01, 11
 #: Pages labelled together; longer pages go in smaller runs.
 BATCH_BLOCKS = 4096
-#: Elements by HTML's own rules. Text of RAW is no text; INLINE elements don't end a block; VOID ones have no
-#: end; a new element of CLOSES' key ends an open one of its values.
-RAW = ("script", "style", "template", "noscript", "iframe", "object", "svg", "math", "textarea", "title", "select")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Elements by HTML's own rules. Text of RAW and UNSHOWN is no text, but HTML reads only RAW ones to the end of
+#: the page if they have no end; FOREIGN ones hold elements of another language, of which OWN_TEXT ones hold HTML again, and
+#: those of BREAKS end it; INLINE elements don't end a block; VOID ones have no end; a new element of CLOSES' key ends an
+#: open one of its values.
+RAW, UNSHOWN = ("script", "style", "iframe", "textarea", "title"), ("template", "noscript", "select")
+FOREIGN, OWN_TEXT = ("math", "svg"), frozenset("mi mo mn ms mtext foreignobject desc".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INLINE = frozenset("math svg object a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _P_ENDS = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 CLOSES = {t: ("p",) for t in _P_ENDS} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
@@ -29,9 +33,9 @@ CLOSES = {t: ("p",) for t in _P_ENDS} | {"li": ("li", "p"), "dt": ("dt", "dd", "
 #: the weak labels and the training pages.
 BESIDE = ("nav menu navbar breadcrumb breadcrumbs header masthead banner footer sidebar aside related widget notice cookie consent alert promo ad ads advert advertisement sponsor sponsored "
           "form search newsletter subscribe login comment comments reply replies respond discussion share social toolbar pagination pager tags disclaimer copyright popup modal complementary contentinfo navigation").split()
-_SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+_SCAN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\s/>=]++(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+))?+|[\s/=])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in (*RAW, *UNSHOWN)}
 _SPACE = re.compile(r"\s+")
 
 
@@ -56,7 +60,7 @@ def blocks(page: str | None) -> list[Block]:
     white space become one space."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # name, names, whether it is of another language
     text: list[str] = []
     lead: list[str] = []  # path of the block that is being read
 
@@ -70,7 +74,7 @@ def blocks(page: str | None) -> list[Block]:
     def add(raw: str) -> None:
         if raw:
             if not lead and not raw.isspace():
-                lead.extend(n for _, names in stack for n in names)
+                lead.extend(n for _, names, _ in stack for n in names)
             text.append(html.unescape(raw) if "&" in raw else raw)
 
     at, n = 0, len(page)
@@ -83,21 +87,31 @@ def blocks(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        foreign = bool(stack) and stack[-1][2] and stack[-1][0] not in OWN_TEXT
         if m[1]:
-            if tag not in INLINE:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if tag not in INLINE and not (foreign if k is None else stack[k][2]):
                 end_block()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if k is not None:
+                del stack[k:]
             continue
+        if foreign and tag in BREAKS:
+            while stack and stack[-1][2] and stack[-1][0] not in OWN_TEXT:
+                stack.pop()
+            foreign = False
+        alone = m[3].rstrip().endswith("/")
         if tag in _RAW_END:
-            if not m[3].rstrip().endswith("/"):
+            if not alone:
                 close = _RAW_END[tag].search(page, at)
-                at = close.end() if close else n
-            if tag not in INLINE:
+                if close or tag in RAW and not foreign:
+                    at = close.end() if close else n
+            if tag not in INLINE and not foreign:
                 end_block()
             continue
+        if foreign or tag in FOREIGN:
+            if not alone:
+                stack.append((tag, _names(tag, m[3]) if tag in FOREIGN else (), True))
+            continue
         if tag == "br" or tag == "img":
             text.append(" ")
             continue
@@ -109,10 +123,10 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in ends:
                     del stack[k:]
                     break
-                if stack[k][0] not in INLINE and stack[k][0] not in ("p", "li", "td", "th", "dd", "dt", "tr", "option"):
+                if stack[k][2] or stack[k][0] == "object" or stack[k][0] not in INLINE and stack[k][0] not in ("p", "li", "td", "th", "dd", "dt", "tr", "option"):
                     break
         if tag not in VOID:
-            stack.append((tag, _names(tag, m[3])))
+            stack.append((tag, _names(tag, m[3]), False))
     add(page[at:])
     end_block()
     return out

@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -91,6 +92,31 @@ def test_page_extraction(spark):
     assert html_extract.extract(df.limit(0), html_extract.fit(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("inside,want", [
+    ("<p>Let <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> hold.<p>End.", ["Let x=2 hold.", "End."]),
+    ("<p>See <object data=a.pdf><p>the file</p></object><p>End.", ["See", "the file", "End."]),
+    ("<p>Chart <svg viewBox='0 0'><path d=x /><g><text>of trees</text></g></svg> here.", ["Chart of trees here."]),
+    ("<p>A <svg><path><p>B <math><mi>y<p>C <object>D<p>E", ["A", "B y", "C D", "E"]),
+    ("<p>A <template>B<p>C <select>D<p>E <noscript>F", ["A", "B", "C", "D", "E", "F"]),
+    ("<p>A <a title=don't href=/x>link</a> that's kept.<p>It isn't <b title='a>b' class=\"c>d\">lost</b>.", ["A link that's kept.", "It isn't lost."]),
+    ("<p>A <a title=\"open>B<p>C", ["A B", "C"]),
+    ("<p>A <svg><title>no</title><script>no</script></svg>B<script>no<p>no", ["A B"]),
+])
+def test_text_inside_the_article_stays(inside, want):
+    assert [b.text for b in html_extract.blocks(f"<article>{inside}")] == want
+
+
+def test_exact_texts_of_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = html_extract.extract(pages, html_extract.fit(pages)).collect()
+    source = {r.page_id: r.html for r in pages.collect()}
+    assert len(rows) == len(source)
+    for r in rows:
+        article = re.search("<article>(.*?)</article>", source[r.page_id], re.S)[1]
+        parts = [re.sub(r"\s+", " ", unescape(re.sub("<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split("</?(?:h1|p|ul|li|div)[^>]*>", article)]
+        assert r.text == "\n\n".join(x for x in parts if x)
+
+
 def brute_components(rows, n, numer, denom):
     sets = {}
     for k, t in rows:
