@@ -43,10 +43,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
     """(query_id, rank, vec_id, score): for each vector whose id `every` divides, the `k` others of highest inner product of
     floor(256 x), ties to the smaller id (`vectors` has vec_id, embedding, ...).
 
-    Vectors are grouped by their nearest pivot. A group's summary is its size, its radius, and its
-    k + 1 smallest distances to the pivot: q.p - |q| d bounds the score of such a member from below, q.p + |q| r
+    Vectors are grouped by their nearest pivot. A group's summary is its size, its radius, and the smallest distances
+    to the pivot of k + 1 different ids: q.p - |q| d bounds the score of such a member from below, q.p + |q| r
     that of any member from above. A query goes to a group only if the upper bound reaches the k-th best of
-    its lower bounds, so what it leaves out can't be in the answer. Groups are split into blocks of about
+    its lower bounds, those of its own id aside, so what it leaves out can't be in the answer. Groups are split into blocks of about
     `block_rows` by a hash of the id, so one vector that is a third of all rows is spread. Vectors of another
     length than a query's are no candidates for it. Repeated ids are rows of their own, but never answers to their
     own id. Extra columns are ignored; without vectors there are no rows.
@@ -74,12 +74,13 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
             yield out[["vec_id", "dim", "v", "cell", "dist"]]
 
     cells = stored(data.mapInPandas(grouped, "vec_id long, dim int, v array<long>, cell int, dist double"))
-    near = cells.select("dim", "cell", "dist", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("dist", "vec_id")).alias("r")).filter(F.col("r") <= k + 1)
-    near = near.groupBy("dim", "cell").agg(F.collect_list("dist").alias("near"))
+    nearest = cells.groupBy("dim", "cell", "vec_id").agg(F.min("dist").alias("dist"))
+    near = nearest.select("dim", "cell", "vec_id", "dist", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("dist", "vec_id")).alias("r")).filter(F.col("r") <= k + 1)
+    near = near.groupBy("dim", "cell").agg(F.collect_list(F.struct("dist", "vec_id")).alias("near"))
     summary = cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).join(near, ["dim", "cell"]).collect()
     groups: dict[int, list] = {}
     for r in summary:
-        groups.setdefault(r["dim"], []).append((r["cell"], -(-r["n"] // block_rows), r["radius"], sorted(r["near"])))
+        groups.setdefault(r["dim"], []).append((r["cell"], -(-r["n"] // block_rows), r["radius"], sorted((x["dist"], x["vec_id"]) for x in r["near"])))
     n_queries = cells.filter(F.col("vec_id") % every == 0).count()
     chunks = max(1, -(-n_queries // query_rows))
 
@@ -94,8 +95,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVO
                     need = np.ones((len(part), len(gs)), bool)
                 else:
                     dot, size = q @ c[[g[0] for g in gs]].T, np.linalg.norm(q, axis=1)
-                    low = np.concatenate([dot[:, [j]] - size[:, None] * np.array(g[3])[None] for j, g in enumerate(gs)], axis=1)
-                    bar = np.sort(low, axis=1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(part), -np.inf)
+                    low = np.concatenate([dot[:, [j]] - size[:, None] * np.array([d for d, _ in g[3]])[None] for j, g in enumerate(gs)], axis=1)
+                    low[part["vec_id"].to_numpy()[:, None] == np.array([i for g in gs for _, i in g[3]])[None]] = -np.inf
+                    bar = np.sort(low, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(part), -np.inf)
                     slack = 1e-6 * (1 + np.abs(dot) + size[:, None] * np.array([g[2] for g in gs])[None])
                     need = dot + size[:, None] * np.array([g[2] for g in gs])[None] + slack >= bar[:, None]
                 for j, (cell, blocks, _, _) in enumerate(gs):

@@ -72,6 +72,18 @@ def test_top_k_equals_brute_force(spark):
     assert knn.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_ids_equals_sql(spark):
+    rng = np.random.default_rng(2)
+    vs = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(1, 400) if k not in (50, 100)]
+    vs += [(50, [2.0, 2.0, 2.0, 2.0])] * 130 + [(100, [float(x) for x in 3 + rng.normal(size=4)]) for _ in range(40)] + [(150, [0.0, 4.0, 0.0, -4.0])] * 6
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", vs)
+    got = sorted(tuple(r) for r in knn.top_k(df, pivots=12, block_rows=60, query_rows=50).collect())
+    assert got == sorted(con.sql(knn.ORACLE).fetchall())
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var a="</p><p>no";</script><style>p{}</style></head><body>
 <div class="cookie notice">We use cookies</div><header><h2>Site name</h2></header><nav><ul><li><a href=/>Home</a><li>News</ul></nav>
 <article><h1>A &amp; B</h1><p>First  <b>bold</b>\n line.<br>Same block.<p>Second &lt;i&gt; block&hellip;<div class="share">Share this</div></article>
