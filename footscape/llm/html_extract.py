@@ -308,9 +308,9 @@ def training_pages(pages: list[list[Block]], seed: int = SEED) -> tuple[list[lis
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """Train on at most `sample` pages, chosen by the hash of their ids."""
+    """Train on at most `sample` pages, one an id, chosen by the hash of their ids; of rows that repeat an id, the least."""
     ids = pages.filter(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").orderBy("page_id", "html").collect()
+    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()
     read = [p for p in (blocks(r["html"]) for r in rows) if p]
     return train(*training_pages(read)) if read else train([[Block("text", ("article", "p"))]], [np.array([True])], epochs=1)
 

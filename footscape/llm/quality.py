@@ -153,7 +153,7 @@ def one_text(docs: DataFrame, ids: DataFrame) -> list:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, folds: tuple[int, ...] = (1, 2, 3, 4)) -> list:
-    """Rows (text, label) of labelled documents in these folds, at most `limit`: those whose ids hash lowest.
+    """Rows (text, label) of labelled documents in these folds, at most `limit`, one a document: those whose ids hash lowest.
 
     The ids are chosen from the labels, and only their texts are fetched. Null labels and rows without an
     id are passed over; of several labels of a document the largest counts.
@@ -161,8 +161,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     one = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold_of(F.col("doc_id")).isin(*folds))
            .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")))
     ids = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_label").collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    return one_text(docs, ids)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:

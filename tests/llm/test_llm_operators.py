@@ -129,6 +129,13 @@ def test_exact_texts_of_given_pages(spark):
         assert r.text == "\n\n".join(x for x in parts if x)
 
 
+def test_page_sample_holds_one_row_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_extract, "train", lambda xs, ys, **_: seen.append(len(xs)))
+    html_extract.fit(spark.createDataFrame([(1, f"<p>text {k}") for k in range(90)] + [(2, "<p>other")], "page_id long, html string"))
+    assert seen == [4]  # two pages and a variant of each
+
+
 def brute_components(rows, n, numer, denom):
     sets = {}
     for k, t in rows:
@@ -278,6 +285,13 @@ def test_tables_of_the_language_model_grow_with_its_grams():
     assert len(model.gram.keys) == len(grams) and (model.gram(digests) == counts[at]).all()
 
 
+def test_samples_hold_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}", "x") for k in range(300)] + [(2, None, "x"), (3, "other", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0)], "doc_id long, quality int")
+    rows = quality.labelled_sample(docs, labels, "quality", 10, (0, 1, 2, 3, 4))
+    assert [(r["doc_id"], r["text"], r["_label"]) for r in rows] == [(1, "text 0", 1), (2, "", 0), (3, "other", 1)]
+
+
 def test_licenses_equal_brute_force(spark, empty):
     texts = [*TEXTS, "MIT License mit license", "The Apache License, Version 2.0; CC-BY-NC 4.0", "gnu\ngeneral.public:license v3 or later", "cc by cc by cc", "Licensed under the MIT License. " * 400, "smit license", "ämit license", "mit licenseé", "Permission is hereby granted, free of charge"]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, labels string")
