@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footscape import params as P
 from footscape.functions import geo as G
 from footscape.functions.numbers import half_up, half_up_int, lookup
-from footscape.operators.network import connected_components
+from footscape.operators.components import connected_components
 from footscape.operators.spatial import snap_points
 from footscape.session import cut
 
