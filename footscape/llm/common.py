@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footscape.session import ensure_checkpoint_dir
+from footscape.session import stored  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,11 +24,11 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder of spark.checkpoint.dir and read it back: the lineage ends
-    there, and a lost executor takes nothing with it."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: DuckDB: a view-like table crcs (doc_id, crc) with the crc32 of each id as text, to stand first in a WITH.
+CRC_SQL = """
+crc_bits AS (SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i::UBIGINT) AS v
+             FROM range(256) x(i)),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_bits),
+crcs AS (SELECT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT),
+                                        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS crc
+         FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table)"""

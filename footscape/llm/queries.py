@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footscape.llm import bpe, dedup, hosts, html_extract, jaccard, knn, licenses, packing, quality, toxicity
+from footscape.llm import bpe, dedup, hosts, html_extract, jaccard, knn, licenses, manifest, packing, periodic, quality, simhash, toxicity
 from footscape.llm.common import table
 
 
@@ -55,8 +55,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_byte_bpe, op2_voronoi_top_k, op3_block_labeller, op4_jaccard_join, op5_subword_quality, op6_kneser_ney_toxicity, op7_license_rules, op8_host_reputation,
-    op9_exact_dedup, op10_best_fit_packing)}
+    op9_exact_dedup, op10_best_fit_packing, op11_periodic_runs, op12_simhash, op13_merkle_manifest)}
 
-ORACLES: dict[str, str] = {"op2_voronoi_top_k": knn.ORACLE, "op9_exact_dedup": dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_voronoi_top_k": knn.ORACLE, "op9_exact_dedup": dedup.ORACLE, "op11_periodic_runs": periodic.ORACLE,
+                           "op13_merkle_manifest": manifest.ORACLE}
