@@ -40,30 +40,32 @@ def _many(parents: DataFrame) -> DataFrame | None:
     return heavy_keys(stored(parents.groupBy(F.col("p").alias("x")).agg(F.count(F.lit(1)).alias("c"))), "x", "c")
 
 
-def _contracted(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(v, p): the vertex that each vertex of `edges` (a, b) becomes, and the edges (a, b) that are left.
+def contracted(edges: DataFrame, turn: int, *ids: str) -> tuple[DataFrame, DataFrame]:
+    """(v, p, ids): the vertex that each vertex of `edges` (a, b, ids) becomes, and the edges (a, b, ids) that are left.
 
     Each vertex picks the neighbour that comes first in an order by hash, another one every turn. Picks lead, two steps
     on, to vertices no later in that order, so they form trees whose only cycles are two vertices that pick each other.
     Of these, the one with more edges is the root, so a hub takes all its leaves at once. A vertex whose root is more
-    than two steps away stays what it is, with its edges, until the next turn.
+    than two steps away stays what it is, with its edges, until the next turn. `ids` are those of the edge that a
+    vertex has picked, and of the edges that are left the smallest ones.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    order = F.struct(F.xxhash64("b", F.lit(turn)), F.col("b").alias("p"))
-    picks = stored(both.groupBy(F.col("a").alias("v")).agg(F.min(order)["p"].alias("p"), F.count(F.lit(1)).alias("c")))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *ids))
+    order = F.struct(F.xxhash64("b", F.lit(turn)), F.col("b").alias("p"), *ids)
+    picks = stored(both.groupBy(F.col("a").alias("v")).agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("c")).select("v", "o.p", "c", *[f"o.{i}" for i in ids]))
     heavy = heavy_keys(picks, "v", "c")
     few = picks.count() < HEAVY_ROWS
     # a vertex that many pick has as many edges
     met = _jump(picks, None if heavy is None else heavy.withColumnRenamed("v", "x"))
     rank = lambda c, v: F.struct(-c, F.xxhash64(v, F.lit(turn)), v)
     root = (F.col("above.p") == F.col("v")) & (rank(F.col("c"), F.col("v")) < rank(F.col("above.c"), F.col("p")))
-    parents = stored(met.select("v", F.when(root, F.col("v")).otherwise(F.col("p")).alias("p")))
-    parents = stored(_jump(parents, None if few else _many(parents)).select("v", F.col("above.p").alias("p")))
+    parents = stored(met.select("v", F.when(root, F.col("v")).otherwise(F.col("p")).alias("p"), *ids))
+    parents = stored(_jump(parents, None if few else _many(parents)).select("v", F.col("above.p").alias("p"), *ids))
     parents = _jump(parents, None if few else _many(parents))
-    parents = stored(parents.select("v", F.when(F.col("p") == F.col("above.p"), F.col("p")).otherwise(F.col("v")).alias("p")))
-    at = lambda rows, c: lookup(rows.withColumnRenamed(c, "v"), "v", parents, heavy).drop("v").withColumnRenamed("p", c)
+    parents = stored(parents.select("v", F.when(F.col("p") == F.col("above.p"), F.col("p")).otherwise(F.col("v")).alias("p"), *ids))
+    at = lambda rows, c: lookup(rows.withColumnRenamed(c, "v"), "v", parents.select("v", "p"), heavy).drop("v").withColumnRenamed("p", c)
     left = at(at(edges, "a"), "b").filter(F.col("a") != F.col("b"))
-    return parents, stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = left.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(*[F.min(i).alias(i) for i in ids]) if ids else left.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return parents, stored(left.withColumnRenamed("x", "a").withColumnRenamed("y", "b"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     live = stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     turns: list[DataFrame] = []
     while not live.isEmpty():
-        parents, live = _contracted(live, len(turns))
+        parents, live = contracted(live, len(turns))
         turns.append(parents)
     alone = pairs.filter("a = b").select(F.col("a").alias("node")).distinct()
     if not turns:
