@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footscape.llm.common import CRC_SQL, lower_az, stored
+from footscape.operators.ranking import ranked
 
 FAN, HEX = 16, 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows whose crc32 of the id this divides are read again with their text lower-cased.
 TAMPER = 5
-#: A table of at most so many rows (about 60 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def _cell(value: Column) -> Column:
@@ -29,24 +28,6 @@ def leaf_digests(docs: DataFrame, tamper: int = TAMPER) -> DataFrame:
                        digest(F.col("text")).alias("leaf"), F.when(hit, digest(lower_az(F.col("text")))).alias("other"))
 
 
-def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """`rows` with `rank`, from 0, within its `grp` by `order`, and `n`, the group's size.
-
-    Rows are dealt out by ranges of group and order, so a group of any size is spread over tasks; equal rows are told
-    apart by where they were read. A rank is the place in the range, plus what the group has in ranges before.
-    """
-    keys = ["grp", *order, "_tie"]
-    parted = (rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
-              .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys]).withColumn("_at", F.monotonically_increasing_id()))
-    parted = stored(parted.withColumns({"_part": F.shiftright("_at", 33), "_pos": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_tie", "_at"))
-    per = parted.groupBy("grp", "_part").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("grp").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    per = stored(per.select("grp", "_part", (F.coalesce(F.sum("_c").over(w), F.lit(0)) - F.col("_first")).alias("_shift"),
-                            F.sum("_c").over(Window.partitionBy("grp")).alias("n")))
-    per = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
-    return parted.join(per, ["grp", "_part"]).withColumn("rank", F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
-
-
 def _joined(kids: Column, field: str) -> Column:
     return F.array_join(F.transform(kids, lambda k: F.lower(F.hex(k[field]))), "")
 
@@ -129,10 +110,10 @@ def manifest(docs: DataFrame, tamper: int = TAMPER) -> DataFrame:
     repeat an id come by their leaf; equal rows are leaves of their own, in any order, which changes no digest
     but theirs among each other. Other columns are ignored; an empty table gives an empty result.
     """
-    leaves = ranked(stored(leaf_digests(docs, tamper)), ["doc_id", "leaf"])
+    leaves = ranked(stored(leaf_digests(docs, tamper)), ["grp"], ["doc_id", "leaf"])
     levels = tree(leaves, ["doc_id", "other"])
     roots = tops(levels).withColumn("source", F.col("grp")).withColumn("grp", F.lit(""))
-    upper = tree(ranked(stored(roots), ["source"]), ["source"])
+    upper = tree(ranked(stored(roots), ["grp"], ["source"]), ["source"])
     start = tops(upper).select("grp", F.col("leaf").alias("root"), F.array().cast("array<struct<left:string,right:string>>").alias("path"))
     sources = stored(_leaf_paths(upper, start, ["root"]).select(F.col("kid.source").alias("grp"), F.col("kid.leaf").alias("subroot"), "root", "path"))
     rows = _leaf_paths(levels, sources, ["subroot", "root"])
