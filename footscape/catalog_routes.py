@@ -36,18 +36,24 @@ def least_cost_paths(spark, sf):
     return paths.select("search_id", "found", r("cost", 2).alias("cost"), r("length_m", 1).alias("length_m"), "reason")
 
 
+@shared
+def point_routes(spark, sf):
+    return PR.find_point_routes(assessed(spark, sf), D.point_requests(spark, sf))
+
+
 @query
 def planned_routes(spark, sf):
-    plan = PR.compare_routes(*found_routes(spark, sf))
+    """Routes between points of the map, off the network's nodes."""
+    plan = PR.compare_routes(*point_routes(spark, sf))
     return plan.select(
-        "search_id", "found", "distance_m", "duration_s", "accessibility_score", "assessed_share", "evidence_confidence",
+        "search_id", "found", "reason", "distance_m", "duration_s", "accessibility_score", "assessed_share", "evidence_confidence",
         "unknown_percent", "high_unknown", "extra_distance_m", "same_as_recommended", "warning",
         joined("barriers").alias("barriers"), joined("barriers_avoided").alias("avoided"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @shared
 def legs_of(spark, sf):
-    _, paths, edges = found_routes(spark, sf)
+    _, paths, edges = point_routes(spark, sf)
     return cut(R.route_edges(paths.filter("found"), edges))
 
 
@@ -129,8 +135,8 @@ def priority(spark, sf):
 
 @shared
 def queue(spark, sf):
-    """The stored queue carried over, without detours (they have a query of their own)."""
-    return cut(PP.prioritise(assessed(spark, sf), D.pois(spark, sf), stored_issues(spark, sf), detour=False))
+    """The stored queue carried over."""
+    return cut(PP.prioritise(assessed(spark, sf), D.pois(spark, sf), stored_issues(spark, sf), detours=detours(spark, sf)))
 
 
 @query

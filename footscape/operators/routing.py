@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from footscape.functions import geo as G
 from footscape.functions.numbers import half_up, half_up_int, lookup
 from footscape.operators.components import connected_components
 from footscape.operators.spatial import snap_points
-from footscape.session import cut
+from footscape.session import cut, stored
 
 VARIANTS = ["recommended", "balanced", "shortest"]
 
@@ -70,92 +72,128 @@ def edge_cost(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return x.withColumn("cost", F.when(~F.col("forbidden"), total)).drop("_len")
 
 
-def least_cost_paths(searches: DataFrame, edges: DataFrame, nodes: DataFrame, max_rounds: int = 5000) -> DataFrame:
+#: Tables of labels that are kept apart before they are put together, and edges that labels move on before they are compared.
+GENERATIONS, EDGES_A_ROUND = 12, 3
+
+
+def _least(tables: list[DataFrame]) -> DataFrame:
+    """The least label of each search and node."""
+    all_ = functools.reduce(DataFrame.unionByName, tables)
+    return all_.groupBy("search_id", "node").agg(F.min(F.struct("b", "prev", "arrived")).alias("m")).select("search_id", "node", "m.b", "m.prev", "m.arrived")
+
+
+def least_cost_paths(searches: DataFrame, edges: DataFrame, nodes: DataFrame, extra: DataFrame | None = None, reachable: bool = False) -> DataFrame:
     """Least-cost paths for many searches at once.
 
-    searches: (search_id, profile, prefer_verified, region_id, start, goal[, without]); `without` is a
-    segment to leave out.  edges: (segment_id, reversed, region_id, src, dst, length_m, profile,
-    prefer_verified, cost), forbidden ones removed.  nodes: (node, lng, lat).
-
-    Each round moves the frontier one edge on, keeps the cheapest label per (search, node) and drops
-    labels that cannot beat the best arrival so far: a label counts at least its cost plus the straight
-    distance to the goal at the cheapest cost per metre of its graph.  Labels are small and of fixed
-    size, are partitioned by search, and are bounded by the region graph of the search; lineage is cut
-    every round.  Equal costs are settled by length, number of edges and last edge, so results repeat.
-    Returns one row per search: found, cost, length_m, path (segment ids) and legs (the same with a
-    leading minus where a segment is walked backwards).
+    searches: (search_id, profile, prefer_verified, region_id, start, goal[, without][, goal_lng, goal_lat, start_at, goal_at]);
+    `without` is a segment to leave out, `start_at` and `goal_at` are nodes of the network that stand for ends off it when
+    components are compared.  edges: (segment_id, reversed, region_id, src, dst, length_m, profile,
+    prefer_verified, cost), forbidden ones removed.  nodes: (node, lng, lat).  extra: an overlay of further edges of single
+    searches (search_id, segment_id, reversed, src, dst, length_m, cost, span_m).  With `reachable` every goal is known to be.
+
+    Each round moves the frontier up to EDGES_A_ROUND edges on: along the shared edges of its graph and along the search's own overlay. Only
+    the frontier is shuffled. Labels of earlier rounds stay where they were written; a new label that one of them, or
+    a cheaper arrival, beats is dropped by a join that sends the new labels to them. A label counts at least
+    its cost plus the straight distance to the goal at the cheapest cost per metre of its graph.
+    Rounds go on until no label improves. Equal costs are settled by length, number of edges and last edge, so results repeat.
+    Returns one row per search: found, cost, length_m, path (segment ids), legs (the same with a
+    leading minus where a segment is walked backwards), and the reason where none is found.
     """
-    s = searches if "without" in searches.columns else searches.withColumn("without", F.lit(None).cast("string"))
+    for c, kind in (("without", "string"), ("goal_lng", "double"), ("goal_lat", "double"), ("start_at", "string"), ("goal_at", "string")):
+        searches = searches if c in searches.columns else searches.withColumn(c, F.lit(None).cast(kind))
     graph = F.concat_ws("|", "region_id", "profile", "prefer_verified").alias("graph")
     at = lambda name: nodes.select(F.col("node").alias(name), F.col("lng").alias(f"{name}_lng"), F.col("lat").alias(f"{name}_lat"))
-    e = edges.select(graph, F.col("src").alias("node"), "dst", "segment_id", "length_m", "cost",
-                     F.concat(F.when(F.col("reversed"), "-").otherwise(""), F.col("segment_id")).alias("leg"))
+    leg = F.concat(F.when(F.col("reversed"), "-").otherwise(""), F.col("segment_id")).alias("leg")
+    e = edges.select(graph, F.col("src").alias("node"), "dst", "segment_id", "length_m", "cost", leg)
     e = e.join(at("node"), "node").join(at("dst"), "dst")
     span = G.haversine(F.col("node_lng"), F.col("node_lat"), F.col("dst_lng"), F.col("dst_lat"))
-    e = cut(e.withColumn("rate", F.when(span > 0, F.col("cost") / span)).drop("node_lng", "node_lat"))
-    rates = e.groupBy("graph").agg((F.min("rate") * 0.999).alias("rate"))
-    s = s.select("search_id", graph, "start", "goal", "without").join(rates, "graph", "left").join(at("goal"), "goal", "left")
-    # a goal in another component is never reached: such searches would walk their whole component first
-    name = lambda c: F.concat_ws("|", "graph", c)
-    comp = cut(connected_components(e.select(name("node").alias("src"), name("dst").alias("dst"))))
-    s = s.withColumns({"_a": name("start"), "_z": name("goal")})
-    s = s.join(comp.select(F.col("node").alias("_a"), F.col("component").alias("_ca")), "_a", "left").join(
-        comp.select(F.col("node").alias("_z"), F.col("component").alias("_cz")), "_z", "left")
-    s = cut(s.withColumns({"rate": F.coalesce("rate", F.lit(0.0)), "_open": (F.col("start") == F.col("goal")) | F.coalesce(
-        F.col("_ca") == F.col("_cz"), F.lit(False))}).drop("_a", "_z", "_ca", "_cz"))
-    label = "struct<cost:double,len:double,round:int,leg:string>"
-    state = s.filter("_open").select("search_id", "graph", "goal", "without", "rate", "goal_lng", "goal_lat", F.col("start").alias("node"),
-                     F.struct(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit("")).cast(label).alias("b"), F.lit(None).cast("double").alias("bound"))
-    meta = ["graph", "goal", "without", "rate", "goal_lng", "goal_lat"]
-    frontier = state
-    e = e.drop("rate")
-    for n in range(1, max_rounds + 1):
-        step = frontier.join(e, ["graph", "node"]).filter(F.col("without").isNull() | (F.col("segment_id") != F.col("without")))
-        cost = F.col("b")["cost"] + F.col("cost")
+    # dealt out by graph and node once; rounds only read it
+    e = stored(e.withColumn("rate", F.when(span > 0, F.col("cost") / span)).drop("node_lng", "node_lat").repartition("graph", "node").sortWithinPartitions("graph", "node"))
+    s = searches.select("search_id", graph, "start", "goal", "without", "start_at", "goal_at", F.col("goal_lng").alias("_glng"), F.col("goal_lat").alias("_glat")).join(at("goal"), "goal", "left")
+    s = s.withColumns({"goal_lng": F.coalesce("_glng", "goal_lng"), "goal_lat": F.coalesce("_glat", "goal_lat"), "start_at": F.coalesce("start_at", "start"), "goal_at": F.coalesce("goal_at", "goal")}).drop("_glng", "_glat")
+    rates = e.select("graph", "rate")
+    if extra is not None:
+        extra = stored(extra.select("search_id", F.col("src").alias("node"), "dst", "segment_id", "length_m", "cost", leg, "span_m"))
+        rates = rates.unionByName(extra.filter("span_m > 0").join(s.select("search_id", "graph"), "search_id").select("graph", (F.col("cost") / F.col("span_m")).alias("rate")))
+    s = s.join(rates.groupBy("graph").agg((F.min("rate") * 0.999).alias("rate")), "graph", "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    if reachable:
+        s = stored(s.withColumn("_open", F.lit(True)))
+    else:
+        # a goal in another component is never reached: such searches would walk their whole component first
+        name = lambda c: F.concat_ws("|", "graph", c)
+        comp = stored(connected_components(e.select(name("node").alias("src"), name("dst").alias("dst"))))
+        s = s.withColumns({"_a": name("start_at"), "_z": name("goal_at")})
+        s = s.join(comp.select(F.col("node").alias("_a"), F.col("component").alias("_ca")), "_a", "left").join(
+            comp.select(F.col("node").alias("_z"), F.col("component").alias("_cz")), "_z", "left")
+        s = stored(s.withColumn("_open", (F.col("start") == F.col("goal")) | F.coalesce(F.col("_ca") == F.col("_cz"), F.lit(False))).drop("_a", "_z", "_ca", "_cz"))
+    meta = s.filter("_open").select("search_id", "graph", "goal", "without", "rate", "goal_lng", "goal_lat")
+    label = "struct<cost:double,len:double,edges:int,leg:string>"
+    start = F.struct(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit("")).cast(label).alias("b")
+    frontier = stored(s.filter("_open").select("search_id", F.col("start").alias("node"), start, F.lit(None).cast("string").alias("prev"), (F.col("start") == F.col("goal")).alias("arrived")))
+    settled, e = [frontier], e.drop("rate")
+    cols = ["search_id", *[c for c in meta.columns if c != "search_id"], "bound"]
+
+    def moved(labels: DataFrame) -> DataFrame:
+        """Labels one edge on, of those that haven't arrived and that the cheapest arrival so far doesn't beat."""
+        labels = labels.filter(F.col("node") != F.col("goal"))
+        step = labels.join(e, ["graph", "node"]).filter((F.col("without").isNull() | (F.col("segment_id") != F.col("without"))) & ~F.col("dst").eqNullSafe(F.col("prev")))
         left = F.col("rate") * F.coalesce(G.haversine(F.col("dst_lng"), F.col("dst_lat"), F.col("goal_lng"), F.col("goal_lat")), F.lit(0.0))
-        step = step.filter(F.col("bound").isNull() | (cost + left <= F.col("bound") + 1e-6))
-        moved = step.select("search_id", *meta, F.col("dst").alias("node"), F.struct(
-            cost, F.col("b")["len"] + F.col("length_m"), F.lit(n), F.col("leg")).cast(label).alias("b"), "bound")
-        merged = state.unionByName(moved).repartition("search_id").groupBy("search_id", "node").agg(
-            F.min("b").alias("b"), *[F.first(c, ignorenulls=True).alias(c) for c in meta])
+        step = step.select(*cols, "node", "b", "dst", "leg", "length_m", "cost", left.alias("left"))
+        if extra is not None:
+            step = step.unionByName(labels.join(extra, ["search_id", "node"]).select(*cols, "node", "b", "dst", "leg", "length_m", "cost", F.lit(0.0).alias("left")))
+        step = step.withColumn("cost", F.col("b")["cost"] + F.col("cost")).filter(F.col("bound").isNull() | (F.col("cost") + F.col("left") <= F.col("bound") + 1e-6))
+        return step.select(*cols, F.col("dst").alias("node"), F.col("node").alias("prev"),
+                           F.struct(F.col("cost"), F.col("b")["len"] + F.col("length_m"), F.col("b")["edges"] + 1, F.col("leg")).cast(label).alias("b"))
+
+    while not frontier.isEmpty():
+        known = functools.reduce(DataFrame.unionByName, settled)
         # the cheapest arrival so far bounds every other label of the search
-        arrived = F.min(F.when(F.col("node") == F.col("goal"), F.col("b")["cost"])).over(Window.partitionBy("search_id"))
-        state = cut(merged.withColumn("bound", arrived).filter(F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound"))))
-        frontier = state.filter((F.col("b")["round"] == n) & (F.col("node") != F.col("goal")))
-        if frontier.isEmpty():
-            break
-    else:
-        raise RuntimeError("routing did not settle within the round limit")
-    arrived = state.filter(F.col("node") == F.col("goal")).select("search_id", "goal", "b")
-    paths = reconstruct_paths(arrived, state.select("search_id", "node", "b"), e.select("graph", "leg", F.col("node").alias("prev")).drop("graph").distinct(), n)
+        best = known.filter("arrived").groupBy("search_id").agg(F.min("b.cost").alias("bound"))
+        live = frontier.join(meta, "search_id").join(best, "search_id", "left").select(*cols, "node", "prev", "b").filter(F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound")))
+        steps = [moved(live)]
+        for _ in range(EDGES_A_ROUND - 1):
+            steps.append(moved(steps[-1]))
+        step = functools.reduce(DataFrame.unionByName, steps)
+        new = stored(step.groupBy("search_id", "node").agg(F.min(F.struct("b", "prev")).alias("m"), F.first("goal").alias("goal")).select(
+            "search_id", "node", "m.b", "m.prev", (F.col("node") == F.col("goal")).alias("arrived")))
+        old = known.select("search_id", "node", F.col("b").alias("old"))
+        beaten = old.join(new.select("search_id", "node", "b"), ["search_id", "node"]).filter(F.col("old") <= F.col("b")).select("search_id", "node").distinct()
+        frontier = stored(new.join(beaten, ["search_id", "node"], "left_anti"))
+        settled.append(frontier)
+        if len(settled) > GENERATIONS:
+            settled = [stored(_least(settled))]
+    labels = stored(_least(settled))
+    arrived = labels.join(meta.select("search_id", F.col("goal").alias("node")), ["search_id", "node"])
+    paths = reconstruct_paths(arrived, labels)
     return s.join(paths, "search_id", "left").select(
         "search_id", F.col("legs").isNotNull().alias("found"), "cost", "length_m", "legs",
         F.transform("legs", lambda x: F.ltrim(x, F.lit("-"))).alias("path"), F.when(F.col("legs").isNull(), "no_path").alias("reason"))
 
 
-def reconstruct_paths(arrived: DataFrame, labels: DataFrame, leg_starts: DataFrame, max_hops: int, every: int = 8) -> DataFrame:
-    """Walk the last-edge pointers of the labels back from the goal; one join per edge of the longest path.
+def reconstruct_paths(arrived: DataFrame, labels: DataFrame) -> DataFrame:
+    """(search_id, cost, length_m, legs) of arrived labels, by pointer doubling.
 
-    Only the labels on the way are met, and finished searches leave the loop.
+    labels: (search_id, node, b, prev), each with the node before it.  Tables of the label 1, 2, 4, ... edges before each are made of
+    the labels of found searches, until no label has one so far back; then, from the longest jump to the shortest, every
+    label known to be on a path names the one that far before it. So joins are as many as the logarithm of the edges
+    of the longest path.
     """
-    back = labels.filter(F.col("b")["leg"] != "").select("search_id", "node", F.col("b")["leg"].alias("leg")).join(leg_starts, "leg")
-    back = cut(back)
-    open_ = arrived.select("search_id", F.col("b")["cost"].alias("cost"), F.col("b")["len"].alias("length_m"), F.col("goal").alias("node"),
-                           F.array().cast("array<string>").alias("legs"))
-    done = None
-    for i in range(0, max_hops + 1, every):
-        for _ in range(every):
-            j = open_.join(back, ["search_id", "node"], "left")
-            open_ = j.select("search_id", "cost", "length_m", F.coalesce("prev", "node").alias("node"),
-                             F.when(F.col("leg").isNull(), F.col("legs")).otherwise(F.concat(F.array("leg"), F.col("legs"))).alias("legs"),
-                             F.col("leg").isNull().alias("at_start"))
-        open_ = cut(open_)
-        finished = open_.filter("at_start").drop("at_start", "node")
-        done = finished if done is None else done.unionByName(finished)
-        open_ = open_.filter("not at_start").drop("at_start")
-        if open_.isEmpty():
+    own = labels.filter("prev IS NOT NULL").join(arrived.select("search_id").distinct(), "search_id", "left_semi")
+    jumps = [stored(own.select("search_id", "node", F.col("prev").alias("far")))]
+    while True:
+        last = jumps[-1]
+        twice = stored(last.join(last.select("search_id", F.col("node").alias("far"), F.col("far").alias("further")), ["search_id", "far"]).select("search_id", "node", F.col("further").alias("far")))
+        if twice.isEmpty():
             break
-    return done
+        jumps.append(twice)
+    on = arrived.select("search_id", "node", F.lit(0).alias("back"))
+    for k in range(len(jumps) - 1, -1, -1):
+        more = on.join(jumps[k], ["search_id", "node"]).select("search_id", F.col("far").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        on = stored(on.unionByName(more))
+    legs = on.join(labels.select("search_id", "node", F.col("b")["leg"].alias("leg")), ["search_id", "node"]).filter("leg <> ''")
+    legs = legs.groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "leg"))).alias("l")).select("search_id", F.col("l.leg").alias("legs"))
+    ends = arrived.select("search_id", F.col("b")["cost"].alias("cost"), F.col("b")["len"].alias("length_m"))
+    return ends.join(legs, "search_id", "left").withColumn("legs", F.coalesce("legs", F.array().cast("array<string>")))
 
 
 def route_searches(requests: DataFrame) -> DataFrame:
@@ -174,13 +212,15 @@ def virtual_endpoints(requests: DataFrame, edges: DataFrame, radius_m: float = P
 
     The snapped edge is split at the foot point; the halves inherit its
     attributes.  When both ends fall on one edge they are also linked directly.
-    `edges` holds each segment once, in its own direction.
+    `edges` holds each segment once, in its own direction; where requests have a region, only its edges count.
+    Every extra edge has its own `leg_id`, and is `reversed` where it runs against its segment.
     """
-    sides = requests.select("request_id", F.explode(F.array(
+    region = ["region_id"] if "region_id" in requests.columns else []
+    sides = requests.select("request_id", *region, F.explode(F.array(
         F.struct(F.lit("origin").alias("side"), F.col("origin").alias("p")),
         F.struct(F.lit("destination").alias("side"), F.col("destination").alias("p")))).alias("s"))
-    points = sides.select(F.concat_ws("|", "request_id", "s.side").alias("point_id"), "s.p.lng", "s.p.lat")
-    snaps = cut(snap_points(points, edges, radius_m)).select(
+    points = sides.select(F.concat_ws("|", "request_id", "s.side").alias("point_id"), "s.p.lng", "s.p.lat", *region)
+    snaps = cut(snap_points(points, edges, radius_m, within=bool(region))).select(
         F.element_at(F.split("point_id", "\\|"), 1).alias("request_id"), F.element_at(F.split("point_id", "\\|"), 2).alias("side"),
         "dist", "segment_id", "idx", "t", "foot")
     attrs = edges.drop("length_m", "from_node", "to_node", "geometry")
@@ -188,24 +228,30 @@ def virtual_endpoints(requests: DataFrame, edges: DataFrame, radius_m: float = P
     virtual = F.concat(F.lit("@"), F.col("request_id"), F.lit("|"), F.col("side"))
     head = F.concat(F.slice("geometry", 1, F.col("idx") + 1), F.array("foot"))
     tail = F.concat(F.array("foot"), F.slice("geometry", F.col("idx") + 2, F.greatest(F.size("geometry") - F.col("idx") - 1, F.lit(1))))
+
+    def both_ways(src: Column, dst: Column, line: Column, suffix: str, owner: Column) -> list[Column]:
+        tag = F.concat(F.lit(f"{suffix}@"), owner)
+        return [F.struct(src.alias("src"), dst.alias("dst"), line.alias("geometry"), F.lit(False).alias("reversed"), F.lit(suffix).alias("suffix"), tag.alias("tag")),
+                F.struct(dst.alias("src"), src.alias("dst"), F.reverse(line).alias("geometry"), F.lit(True).alias("reversed"), F.lit(suffix).alias("suffix"), tag.alias("tag"))]
+
+    own = F.concat_ws("|", "request_id", "side")
     halves = at.select("request_id", "segment_id", F.explode(F.array(
-        F.struct(F.col("from_node").alias("src"), virtual.alias("dst"), head.alias("geometry"), F.lit("#a").alias("suffix")),
-        F.struct(virtual.alias("src"), F.col("from_node").alias("dst"), F.reverse(head).alias("geometry"), F.lit("#a").alias("suffix")),
-        F.struct(virtual.alias("src"), F.col("to_node").alias("dst"), tail.alias("geometry"), F.lit("#b").alias("suffix")),
-        F.struct(F.col("to_node").alias("src"), virtual.alias("dst"), F.reverse(tail).alias("geometry"), F.lit("#b").alias("suffix")))).alias("h"))
+        *both_ways(F.col("from_node"), virtual, head, "#a", own), *both_ways(virtual, F.col("to_node"), tail, "#b", own))).alias("h"))
     o = at.filter("side = 'origin'").select("request_id", "segment_id", "geometry", F.struct("idx", "t", "foot").alias("a"), virtual.alias("va"))
     d = at.filter("side = 'destination'").select("request_id", "segment_id", F.struct("idx", "t", "foot").alias("b"), virtual.alias("vb"))
     both = o.join(d, ["request_id", "segment_id"])
     first, second = F.least("a", "b"), F.greatest("a", "b")
     middle = F.concat(F.array(first["foot"]), F.slice("geometry", first["idx"] + 2, F.greatest(second["idx"] - first["idx"], F.lit(0))), F.array(second["foot"]))
     forward = F.col("a") <= F.col("b")
-    link = both.withColumn("m", middle).select("request_id", "segment_id", F.explode(F.array(
-        F.struct(F.col("va").alias("src"), F.col("vb").alias("dst"), F.when(forward, F.col("m")).otherwise(F.reverse("m")).alias("geometry"), F.lit("#direct").alias("suffix")),
-        F.struct(F.col("vb").alias("src"), F.col("va").alias("dst"), F.when(forward, F.reverse("m")).otherwise(F.col("m")).alias("geometry"), F.lit("#direct").alias("suffix")))).alias("h"))
+    link = both.withColumn("m", middle).select("request_id", "segment_id", F.explode(F.array(*both_ways(
+        F.when(forward, F.col("va")).otherwise(F.col("vb")), F.when(forward, F.col("vb")).otherwise(F.col("va")), F.col("m"), "#direct", F.col("request_id")))).alias("h"))
     extra = halves.unionByName(link).select("request_id", "segment_id", "h.*").join(attrs, "segment_id").withColumns({
-        "edge_id": F.concat("segment_id", "suffix"), "length_m": G.line_length(F.col("geometry"))}).drop("suffix")
-    where = snaps.groupBy("request_id").pivot("side", ["origin", "destination"]).agg(F.first("segment_id"))
-    j = requests.join(where.withColumnRenamed("origin", "origin_segment").withColumnRenamed("destination", "destination_segment"), "request_id", "left")
+        "edge_id": F.concat("segment_id", "suffix"), "leg_id": F.concat("segment_id", "tag"), "length_m": G.line_length(F.col("geometry"))}).drop("suffix", "tag")
+    side = lambda x, c: F.max(F.when(F.col("side") == x, F.col(c)))
+    where = at.groupBy("request_id").agg(
+        side("origin", "segment_id").alias("origin_segment"), side("destination", "segment_id").alias("destination_segment"), side("origin", "from_node").alias("start_at"),
+        side("destination", "from_node").alias("goal_at"), side("destination", "foot").alias("goal_foot"), side("origin", "dist").alias("origin_m"), side("destination", "dist").alias("destination_m"))
+    j = requests.drop("origin_node", "goal_node").join(where, "request_id", "left")
     ok = F.col("origin_segment").isNotNull() & F.col("destination_segment").isNotNull()
     snapped = j.filter(ok).withColumns({
         "origin_node": F.concat(F.lit("@"), F.col("request_id"), F.lit("|origin")),
@@ -300,7 +346,8 @@ def route_steps(legs: DataFrame) -> DataFrame:
     b = barrier_set(legs).withColumns({
         "_out": G.bearing(F.get(g, F.lit(0)), F.get(g, F.lit(1))), "_in": G.bearing(F.get(g, F.size(g) - 2), F.get(g, F.size(g) - 1))})
     w = Window.partitionBy("search_id").orderBy("pos")
-    turn = G.signed_turn(F.lag("_in").over(w), F.col("_out"))
+    turn = half_up(G.signed_turn(F.lag("_in").over(w), F.col("_out")), 6)
+    turn = F.when(turn >= 180, turn - 360).otherwise(turn)  # turning round counts as left
     side = F.when(turn > 0, "right").otherwise("left")
     move = (F.when(F.col("pos") == 0, F.lit("depart")).when(F.abs(turn) >= P.SHARP_TURN_DEG, F.concat(F.lit("sharp_"), side))
             .when(F.abs(turn) >= P.TURN_DEG, F.concat(F.lit("turn_"), side)).otherwise("continue"))

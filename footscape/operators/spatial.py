@@ -75,12 +75,15 @@ def images_near_segments(images: DataFrame, segments: DataFrame) -> DataFrame:
         F.min(F.struct("dist", "idx", "t", "a", "b")).alias("near"), *[F.first(c).alias(c) for c in attrs])
 
 
-def snap_points(points: DataFrame, edges: DataFrame, radius_m: float = P.SNAP_RADIUS_M, key: str = "point_id") -> DataFrame:
-    """The nearest edge of every point within the radius; points without one are absent.
+def snap_points(points: DataFrame, edges: DataFrame, radius_m: float = P.SNAP_RADIUS_M, key: str = "point_id", within: bool = False) -> DataFrame:
+    """The nearest edge of every point within the radius; points without one are absent. `within`: only edges of the point's region count.
 
     A plain minimum per point, so it is combined before the shuffle.
     """
-    pairs = points_near_lines(points, edges, radius_m, max(0.0006, 0.002 * radius_m / P.SNAP_RADIUS_M), [key], ["segment_id"])
+    own, theirs = ([key, "_region"], ["segment_id", "region_id"]) if within else ([key], ["segment_id"])
+    points = points.withColumnRenamed("region_id", "_region") if within else points
+    pairs = points_near_lines(points, edges, radius_m, max(0.0006, 0.002 * radius_m / P.SNAP_RADIUS_M), own, theirs)
+    pairs = pairs.filter("_region = region_id") if within else pairs
     best = pairs.groupBy(key).agg(F.min(F.struct("dist", "segment_id", "idx", "t", "a", "b")).alias("n"))
     n = F.col("n")
     return best.select(key, n["dist"].alias("dist"), n["segment_id"].alias("segment_id"), n["idx"].alias("idx"), n["t"].alias("t"),

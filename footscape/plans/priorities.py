@@ -33,7 +33,7 @@ def discover_imagery(segments: DataFrame, images: DataFrame, now: Column, box: C
         *segments.columns, "in_search_area", "needs_visual", "imagery")
 
 
-def prioritise(assessments: DataFrame, pois: DataFrame, stored: DataFrame | None = None, detour: bool = True,
+def prioritise(assessments: DataFrame, pois: DataFrame, stored: DataFrame | None = None,
                detours: DataFrame | None = None, params: P.Params = P.DEFAULT) -> DataFrame:
     """Issues with score, breakdown and band for every segment that is worth one.
 
@@ -42,11 +42,8 @@ def prioritise(assessments: DataFrame, pois: DataFrame, stored: DataFrame | None
     worthy = M.issue_worthy(assessments)
     pairs = SP.nearby_pois(worthy, pois)
     j = worthy.join(M.poi_pressure(pairs), "segment_id", "left").join(SP.nearest_pois(pairs), "segment_id", "left")
-    if detour:
-        d = detours if detours is not None else detour_ratio(worthy, assessments)
-        j = j.join(d.select("segment_id", F.col("ratio").alias("detour_ratio"), "detour_m", F.col("reason").alias("detour_reason")), "segment_id", "left")
-    else:
-        j = j.withColumn("detour_ratio", F.lit(None).cast("double"))
+    d = detours if detours is not None else detour_ratio(worthy, assessments)
+    j = j.join(d.select("segment_id", F.col("ratio").alias("detour_ratio"), "detour_m", F.col("reason").alias("detour_reason")), "segment_id", "left")
     j = M.issue_id(j)
     if stored is None:
         return M.priority_score(j.withColumn("manual_boost", F.lit(0.0)), params)

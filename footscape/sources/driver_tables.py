@@ -316,6 +316,16 @@ def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         ))
 
 
+def point_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trips between points; some start or end off the network, some within one street segment."""
+    k = F.substring("request_id", 4, 20).cast("long")
+    o, d = F.col("origin"), F.col("destination")
+    far = lambda n: F.when(k % n == 0, 0.5).otherwise(0.0)
+    return route_requests(spark, sf_dir).select(
+        "request_id", "region_id", "profile", "prefer_verified", point(o["lng"] + far(29), o["lat"]).alias("origin"),
+        F.when(k % 11 == 0, point(o["lng"] + F.lit(0.0001), o["lat"])).otherwise(point(d["lng"] + far(31), d["lat"])).alias("destination"))
+
+
 def ways(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(raw_nodes, ways): part k is a way of three nodes k, k+1, k+41 with a little noise."""
     part = table(spark, sf_dir, "part")

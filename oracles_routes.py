@@ -15,15 +15,16 @@ _vals = lambda rows: "VALUES " + ", ".join(rows)
 fragment("mult", [], "SELECT * FROM (" + _vals([f"('{p}', '{s}', {m if m is not None else 'NULL'}::DOUBLE)" for p in P.PROFILES for s, m in P.STATUS_MULTIPLIER[p].items()]) + ") t(profile, status, m)")
 fragment("bmet", [], "SELECT * FROM (" + _vals([f"('{p}', '{b}', {m})" for p in P.PROFILES for b, m in P.BARRIER_METRES[p].items()]) + ") t(profile, barrier, metres)")
 fragment("prof", [], "SELECT * FROM (" + _vals([f"('{p}', {pv}, {P.UNKNOWN_RATE[p]}::DOUBLE, {P.STALE_RATE[p]}::DOUBLE)" for p in P.PROFILES for pv in ("false", "true")]) + ") t(profile, pv, ur, sr)")
-fragment("priced", ["edge", "mult", "bmet", "prof"], """
+PRICED = """
 SELECT e.*, p.profile, p.pv, list_concat(CASE WHEN p.profile = 'wheelchair' THEN list_filter(blocks, lambda z: z IN ('steps', 'wheelchair_tagged_no')) ELSE [] END,
          CASE WHEN m.m IS NULL THEN ['status:' || e.status] ELSE [] END) AS blocked_by,
        length_m * m.m + coalesce(bm.metres, 0) + CASE WHEN e.status = 'unverified' THEN length_m * (p.ur * CASE WHEN pv THEN 2 ELSE 1 END) ELSE 0 END
        + length_m * p.sr * CASE freshness_state WHEN 'stale' THEN 1e0 WHEN 'none' THEN 1.3e0 ELSE 0e0 END AS cost
-FROM edge e CROSS JOIN prof p JOIN mult m ON m.profile = p.profile AND m.status = e.status
-LEFT JOIN (SELECT segment_id, rev, profile, CAST(sum(metres) AS DOUBLE) AS metres FROM (SELECT segment_id, rev, unnest(blocks) AS barrier FROM edge) JOIN bmet USING (barrier) GROUP BY ALL) bm
+FROM {edge} e CROSS JOIN prof p JOIN mult m ON m.profile = p.profile AND m.status = e.status
+LEFT JOIN (SELECT segment_id, rev, profile, CAST(sum(metres) AS DOUBLE) AS metres FROM (SELECT segment_id, rev, unnest(blocks) AS barrier FROM {edge}) JOIN bmet USING (barrier) GROUP BY ALL) bm
   ON bm.segment_id = e.segment_id AND bm.rev = e.rev AND bm.profile = p.profile
-UNION ALL SELECT e.*, '__shortest__', false, [], length_m FROM edge e""")
+UNION ALL SELECT e.*, '__shortest__', false, [], length_m FROM {edge} e"""
+fragment("priced", ["edge", "mult", "bmet", "prof"], PRICED.replace("{edge}", "edge"))
 oracle("edge_costs", ["priced"], f"""SELECT segment_id, profile, pv AS prefer_verified, len(blocked_by) > 0 AS forbidden, CASE WHEN len(blocked_by) = 0 THEN {half_up('cost', 2)} END AS cost,
   {TXT('blocked_by')} AS blocked_by FROM priced WHERE NOT rev""")
 fragment("search", ["requests"], """SELECT request_id || '|recommended' AS search_id, request_id, 'recommended' AS variant, region_id, origin_node AS start, goal_node AS goal, profile, prefer_verified AS pv, NULL::VARCHAR AS without FROM requests
@@ -33,23 +34,27 @@ fragment("dsearch", ["assess"], """SELECT segment_id AS search_id, region_id, fr
   FROM assess WHERE status = 'inaccessible' OR (status = 'partial' AND barriers <> '')""")
 
 
-def paths(name: str, source: str) -> None:
-    """Cheapest label (cost, length, edges, last edge) per search and node, and the path it points back along."""
+def paths(name: str, source: str, overlay: str = "") -> None:
+    """Cheapest label (cost, length, edges, last edge) per search and node, and the path it points back along. `overlay`: edges of single searches."""
     HEADS[name] = f"{name}(search_id, node, b, goal) USING KEY (search_id, node)"
     fragment(f"{name}_e", ["priced"], "SELECT region_id, profile, pv, src, dst, segment_id, length_m, cost, CASE WHEN rev THEN '-' ELSE '' END || segment_id AS leg FROM priced WHERE len(blocked_by) = 0")
-    fragment(name, [source, f"{name}_e"], f"""
+    more = [overlay] if overlay else []
+    own = f" UNION ALL SELECT d.search_id, e.dst, d.b, e.cost, e.length_m, e.leg, d.goal, d.node FROM {name} d JOIN {overlay} e ON e.search_id = d.search_id AND e.src = d.node" if overlay else ""
+    fragment(name, [source, f"{name}_e", *more], f"""
 SELECT search_id, start, {{'cost': 0e0, 'len': 0e0, 'hops': 0, 'leg': ''}}, goal FROM {source}
 UNION (SELECT n.search_id, n.dst, min(n.nb), any_value(n.goal) FROM (
-   SELECT d.search_id, e.dst, {{'cost': d.b.cost + e.cost, 'len': d.b.len + e.length_m, 'hops': d.b.hops + 1, 'leg': e.leg}} AS nb, d.goal
-   FROM {name} d JOIN {source} s USING (search_id) JOIN {name}_e e ON e.region_id = s.region_id AND e.profile = s.profile AND e.pv = s.pv AND e.src = d.node
+   SELECT d.search_id, d.dst, {{'cost': d.b.cost + d.cost, 'len': d.b.len + d.length_m, 'hops': d.b.hops + 1, 'leg': d.leg}} AS nb, d.goal
+   FROM (SELECT d.search_id, e.dst, d.b, e.cost, e.length_m, e.leg, d.goal, d.node FROM {name} d JOIN {source} s USING (search_id)
+         JOIN {name}_e e ON e.region_id = s.region_id AND e.profile = s.profile AND e.pv = s.pv AND e.src = d.node WHERE s.without IS NULL OR e.segment_id <> s.without{own}) d
    LEFT JOIN recurring.{name} g ON g.search_id = d.search_id AND g.node = d.goal
-   WHERE (s.without IS NULL OR e.segment_id <> s.without) AND d.node <> d.goal AND (g.b IS NULL OR d.b.cost + e.cost <= g.b.cost)) n
+   WHERE d.node <> d.goal AND (g.b IS NULL OR d.b.cost + d.cost <= g.b.cost)) n
  LEFT JOIN recurring.{name} r ON r.search_id = n.search_id AND r.node = n.dst
  WHERE r.b IS NULL OR n.nb < r.b GROUP BY 1, 2)""")
     HEADS[f"{name}_b"] = f"{name}_b(search_id, node, path)"
-    fragment(f"{name}_b", [name, f"{name}_e"], f"""SELECT search_id, node, []::VARCHAR[] FROM {name} WHERE node = goal
+    ends = f"SELECT DISTINCT leg, src FROM {name}_e" + (f" UNION SELECT leg, src FROM {overlay}" if overlay else "")
+    fragment(f"{name}_b", [name, f"{name}_e", *more], f"""SELECT search_id, node, []::VARCHAR[] FROM {name} WHERE node = goal
 UNION ALL SELECT x.search_id, e.src, list_prepend(p.b.leg, x.path) FROM {name}_b x JOIN {name} p ON p.search_id = x.search_id AND p.node = x.node AND p.b.leg <> ''
-JOIN (SELECT DISTINCT leg, src FROM {name}_e) e ON e.leg = p.b.leg""")
+JOIN ({ends}) e ON e.leg = p.b.leg""")
     fragment(f"{name}_p", [f"{name}_b"], f"SELECT search_id, arg_max(path, len(path)) AS path FROM {name}_b GROUP BY 1")
 
 
@@ -57,8 +62,38 @@ paths("sp", "search")
 paths("dp", "dsearch")
 fragment("routed", ["search", "sp", "sp_p"], "SELECT s.*, p.b IS NOT NULL AS found, p.b.cost AS cost, p.b.len AS length_m, q.path FROM search s LEFT JOIN sp p ON p.search_id = s.search_id AND p.node = s.goal LEFT JOIN sp_p q ON q.search_id = s.search_id")
 oracle("least_cost_paths", ["routed"], f"""SELECT search_id, found, {half_up('cost', 2)} AS cost, {half_up('length_m', 1)} AS length_m, CASE WHEN NOT found THEN 'no_path' END AS reason FROM routed""")
-fragment("leg", ["routed", "edge"], """SELECT r.search_id, r.pos, e.* FROM (SELECT search_id, unnest(path) AS leg, unnest(range(len(path))) AS pos FROM routed WHERE found) r
-  JOIN edge e ON e.segment_id = ltrim(r.leg, '-') AND e.rev = starts_with(r.leg, '-')""")
+
+# --- routes between points: each request's halves of its snapped edges are an overlay of its own -----------------
+fragment("prequests", ["requests"], """SELECT request_id, region_id, profile, prefer_verified, olat, olng + CASE WHEN k % 29 = 0 THEN 0.5e0 ELSE 0e0 END AS olng,
+  CASE WHEN k % 11 = 0 THEN olng + 0.0001e0 ELSE dlng + CASE WHEN k % 31 = 0 THEN 0.5e0 ELSE 0e0 END END AS dlng, CASE WHEN k % 11 = 0 THEN olat ELSE dlat END AS dlat
+  FROM (SELECT *, CAST(substr(request_id, 4) AS BIGINT) AS k FROM requests)""")
+fragment("pendpoint", ["prequests"], "SELECT request_id || '|o' AS pid, request_id, region_id AS preg, 'origin' AS side, olng AS lng, olat AS lat FROM prequests UNION ALL SELECT request_id || '|d', request_id, region_id, 'destination', dlng, dlat FROM prequests")
+fragment("psnapc", ["pendpoint", "seg"], OP.near_pairs("pendpoint", "pid", 250, "p.request_id, p.side, p.preg, s.region_id,"))
+fragment("psnap", ["psnapc"], """SELECT request_id, side, '@' || request_id || '|' || side AS v, n.s, n.t, n.a + (n.c - n.a) * n.t AS fx, n.b + (n.d - n.b) * n.t AS fy FROM (
+  SELECT request_id, side, arg_min({'s': segment_id, 'a': lng1, 'b': lat1, 'c': lng2, 'd': lat2, 't': tt}, {'d': dist, 's': segment_id}) AS n FROM psnapc WHERE dist <= 250 AND preg = region_id GROUP BY 1, 2)""")
+fragment("pboth", ["psnap"], "SELECT o.request_id, o.s AS os, d.s AS ds, o.v AS ov, d.v AS dv, o.t <= d.t AS fwd, o.fx, o.fy, d.fx AS gx, d.fy AS gy FROM psnap o JOIN psnap d ON o.request_id = d.request_id AND o.side = 'origin' AND d.side = 'destination'")
+_keep = "e.region_id, {src} AS src, {dst} AS dst, false AS rev, status, score, confidence, freshness_state, blocks, street_name, {line}"
+_x = lambda tag, src, dst, line: "SELECT x.request_id, e.segment_id || " + tag + " AS segment_id, " + _keep.format(src=src, dst=dst, line=line)
+fragment("xhalf", ["psnap", "pboth", "edge0"], " UNION ALL ".join([
+    _x("'#a@' || x.request_id || '|' || side", "e.src", "v", "a, b, fx AS c, fy AS d") + " FROM psnap x JOIN edge0 e ON e.segment_id = x.s",
+    _x("'#b@' || x.request_id || '|' || side", "v", "e.dst", "fx, fy, c, d") + " FROM psnap x JOIN edge0 e ON e.segment_id = x.s",
+    _x("'#direct@' || x.request_id", "CASE WHEN fwd THEN ov ELSE dv END", "CASE WHEN fwd THEN dv ELSE ov END", "CASE WHEN fwd THEN fx ELSE gx END, CASE WHEN fwd THEN fy ELSE gy END, CASE WHEN fwd THEN gx ELSE fx END, CASE WHEN fwd THEN gy ELSE fy END")
+    + " FROM pboth x JOIN edge0 e ON e.segment_id = x.os WHERE os = ds"]))
+fragment("xedge0", ["xhalf"], f"SELECT segment_id, region_id, src, dst, rev, {haversine('a', 'b', 'c', 'd')} AS length_m, status, score, confidence, freshness_state, blocks, street_name, a, b, c, d, request_id FROM xhalf")
+fragment("xedge", ["xedge0"], "SELECT * FROM xedge0 UNION ALL SELECT segment_id, region_id, dst, src, true, length_m, status, score, confidence, freshness_state, blocks, street_name, c, d, a, b, request_id FROM xedge0")
+fragment("xpriced", ["xedge", "mult", "bmet", "prof"], PRICED.replace("{edge}", "xedge"))
+_variants = " UNION ALL ".join(f"SELECT request_id || '|{v}' AS search_id, request_id, '{v}' AS variant, region_id, {{ends}}, {p} AS profile, {pv} AS pv, NULL::VARCHAR AS without FROM {{source}}"
+                               for v, p, pv in (("recommended", "profile", "prefer_verified"), ("balanced", "'balanced'", "false"), ("shortest", "'__shortest__'", "false")))
+fragment("psearch", ["prequests", "pboth"], _variants.format(ends="ov AS start, dv AS goal", source="prequests JOIN pboth USING (request_id)"))
+fragment("pp_x", ["psearch", "xpriced"], """SELECT s.search_id, p.src, p.dst, p.length_m, p.cost, CASE WHEN p.rev THEN '-' ELSE '' END || p.segment_id AS leg
+  FROM xpriced p JOIN psearch s ON s.request_id = p.request_id AND s.profile = p.profile AND s.pv = p.pv WHERE len(p.blocked_by) = 0""")
+paths("pp", "psearch", "pp_x")
+fragment("plost", ["prequests", "psnap"], _variants.format(ends="NULL::VARCHAR AS start, NULL::VARCHAR AS goal", source="prequests WHERE request_id NOT IN (SELECT request_id FROM psnap GROUP BY 1 HAVING count(*) = 2)"))
+fragment("prouted", ["psearch", "pp", "pp_p", "plost", "psnap"], """SELECT s.*, p.b IS NOT NULL AS found, p.b.cost AS cost, p.b.len AS length_m, q.path, CASE WHEN p.b IS NULL THEN 'no_path' END AS reason
+  FROM psearch s LEFT JOIN pp p ON p.search_id = s.search_id AND p.node = s.goal LEFT JOIN pp_p q ON q.search_id = s.search_id
+UNION ALL SELECT *, false, NULL, NULL, NULL, CASE WHEN request_id IN (SELECT request_id FROM psnap WHERE side = 'origin') THEN 'destination_off_network' ELSE 'origin_off_network' END FROM plost""")
+fragment("leg", ["prouted", "edge", "xedge"], """SELECT r.search_id, r.pos, e.* FROM (SELECT search_id, unnest(path) AS leg, unnest(range(len(path))) AS pos FROM prouted WHERE found) r
+  JOIN (SELECT * FROM edge UNION ALL SELECT * EXCLUDE (request_id) FROM xedge) e ON e.segment_id = ltrim(r.leg, '-') AND e.rev = starts_with(r.leg, '-')""")
 _sm = ", ".join(f"coalesce(sum(length_m) FILTER (status = '{s}'), 0e0) AS {s}_m" for s in P.STATUSES)
 fragment("legsum", ["leg"], f"""SELECT search_id, {_sm}, coalesce(sum(length_m) FILTER (freshness_state IN ('stale', 'none')), 0e0) AS stale_m, sum(length_m) AS total_m,
   coalesce(sum(score * length_m) FILTER (score IS NOT NULL AND status <> 'unverified'), 0e0) AS sw, coalesce(sum(length_m) FILTER (score IS NOT NULL AND status <> 'unverified'), 0e0) AS sm,
@@ -66,19 +101,19 @@ fragment("legsum", ["leg"], f"""SELECT search_id, {_sm}, coalesce(sum(length_m)
 oracle("route_status_metres", ["legsum"], "SELECT search_id, " + ", ".join(f"{half_up(c, 1)} AS {c}" for c in [f"{s}_m" for s in P.STATUSES] + ["stale_m", "total_m"]) + " FROM legsum")
 oracle("route_barrier_metres", ["leg"], f"SELECT search_id, barrier, CAST({half_up('sum(length_m)')} AS INT) AS metres FROM (SELECT search_id, length_m, unnest(blocks) AS barrier FROM leg) GROUP BY 1, 2")
 SPEED = "CASE profile " + " ".join(f"WHEN '{p}' THEN {v}e0" for p, v in P.SPEED_MPS.items()) + " ELSE 1.2e0 END"
-fragment("routesum", ["routed", "legsum"], f"""
+fragment("routesum", ["prouted", "legsum"], f"""
 SELECT *, CAST({half_up('total_m')} AS INT) AS distance_m, CAST({half_up(f'total_m / {SPEED}')} AS INT) AS duration_s,
   CASE WHEN sm / total_m >= 0.5e0 AND sm > 0 THEN CAST({half_up('sw / sm')} AS INT) END AS rscore, {half_up('sm / total_m', 3)} AS assessed_share,
   CAST({half_up('cw / total_m')} AS INT) AS rconf, CAST({half_up('unverified_m / total_m * 100')} AS INT) AS unknown_percent, unverified_m / total_m >= 0.4e0 AS high_unknown,
   CAST({half_up('total_m - short_m')} AS INT) AS extra_distance_m, list_filter(short_blocks, lambda z: NOT list_contains(blocks, z)) AS avoided FROM (
 SELECT r.*, l.* EXCLUDE (search_id), max(l.total_m) FILTER (variant = 'shortest') OVER w AS short_m, max(l.blocks) FILTER (variant = 'shortest') OVER w AS short_blocks,
   max(r.found) FILTER (variant = 'shortest') OVER w AS short_found, max(r.found) FILTER (variant = 'recommended') OVER w AS rec_found, max(r.path) FILTER (variant = 'recommended') OVER w AS rec_path
-FROM routed r LEFT JOIN legsum l USING (search_id) WINDOW w AS (PARTITION BY request_id))""")
+FROM prouted r LEFT JOIN legsum l USING (search_id) WINDOW w AS (PARTITION BY request_id))""")
 _rs = [("variant = 'shortest'", "shortest_only_distance"), (f"{half_up('accessible_m')} / distance_m >= 0.7e0", "mostly_assessed_accessible"), ("len(avoided) > 0", "barriers_avoided"),
        ("len(blocks) > 0", "barriers_remaining"), ("high_unknown", "high_unknown"), ("NOT high_unknown AND unknown_percent > 0", "some_unknown"), ("extra_distance_m > 20", "extra_distance"),
        ("extra_distance_m <= 20 AND variant <> 'shortest'", "no_extra_distance"), (f"{half_up('stale_m')} > 0", "stale_evidence"), ("pv", "prefer_verified")]
 _reasons = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN 'route.reason.{k}' END" for c, k in _rs) + "], lambda z: z IS NOT NULL), ',')"
-oracle("planned_routes", ["routesum"], f"""SELECT search_id, found, distance_m, duration_s, rscore AS accessibility_score, CASE WHEN found THEN assessed_share END AS assessed_share, rconf AS evidence_confidence, unknown_percent, high_unknown, extra_distance_m,
+oracle("planned_routes", ["routesum"], f"""SELECT search_id, found, reason, distance_m, duration_s, rscore AS accessibility_score, CASE WHEN found THEN assessed_share END AS assessed_share, rconf AS evidence_confidence, unknown_percent, high_unknown, extra_distance_m,
   CASE WHEN variant <> 'recommended' THEN path IS NOT DISTINCT FROM rec_path END AS same_as_recommended,
   CASE WHEN NOT rec_found AND short_found THEN 'no_accessible_route' WHEN NOT rec_found THEN 'no_route' WHEN variant = 'recommended' AND high_unknown THEN 'high_unknown_coverage' END AS warning,
   CASE WHEN found THEN {TXT('blocks')} END AS barriers, CASE WHEN found THEN {TXT('avoided')} END AS avoided, CASE WHEN found THEN {_reasons} END AS reasons FROM routesum""")
@@ -86,7 +121,7 @@ _bear = OP._bear.format(a="a", b="b", c="c", d="d")
 fragment("turned", ["leg"], f"""SELECT *, sum(CASE WHEN move <> 'continue' OR street_name IS DISTINCT FROM prev_name THEN 1 ELSE 0 END) OVER (PARTITION BY search_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS step FROM (
   SELECT *, CASE WHEN pos = 0 THEN 'depart' WHEN abs(turn) >= 110 THEN 'sharp_' || side WHEN abs(turn) >= 35 THEN 'turn_' || side ELSE 'continue' END AS move FROM (
   SELECT *, CASE WHEN turn > 0 THEN 'right' ELSE 'left' END AS side FROM (
-  SELECT *, ((bear - lag(bear) OVER w + 540) % 360) - 180 AS turn, lag(street_name) OVER w AS prev_name FROM (SELECT *, {_bear} AS bear FROM leg) WINDOW w AS (PARTITION BY search_id ORDER BY pos))))""")
+  SELECT * REPLACE (CASE WHEN turn >= 180e0 THEN turn - 360e0 ELSE turn END AS turn) FROM (SELECT *, floor((((bear - lag(bear) OVER w + 540) % 360) - 180) * 1e6 + 0.5e0) / 1e6 AS turn, lag(street_name) OVER w AS prev_name FROM (SELECT *, {_bear} AS bear FROM leg) WINDOW w AS (PARTITION BY search_id ORDER BY pos)))))""")
 fragment("steps", ["turned"], f"""SELECT search_id, step, arg_min(move, pos) AS manoeuvre, arg_min(street_name, pos) AS street_name, CAST({half_up('sum(length_m)')} AS INT) AS distance_m,
   arg_max(status, CASE status WHEN 'accessible' THEN 0 WHEN 'partial' THEN 1 WHEN 'unverified' THEN 2 ELSE 3 END) AS status, {TXT('list_distinct(flatten(list(blocks)))')} AS barriers FROM turned GROUP BY 1, 2""")
 oracle("route_steps", ["steps"], """SELECT search_id, CAST(step AS BIGINT) AS step, manoeuvre, street_name, distance_m, status, barriers FROM steps
@@ -132,17 +167,17 @@ scored("prio", ["worthy", "poisum", "detour"], "ratio", "0e0", "LEFT JOIN detour
 oracle("priority", ["prio"], f"SELECT segment_id, priority_score, priority_band, {half_up('sev * 30e0', 1)} AS severity, {half_up('alt * 20e0', 1)} AS no_alternative, {half_up('saf * 10e0', 1)} AS safety FROM prio")
 fragment("stored", [], """SELECT 'issue_w' || p_partkey || 'E' AS issue_id, 'w' || p_partkey || 'E' AS segment_id, CASE p_partkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'assigned' WHEN 2 THEN 'resolved' WHEN 3 THEN 'in_progress' ELSE 'verified' END AS old_status,
   CASE WHEN p_partkey % 4 = 0 THEN 0.5e0 ELSE 0e0 END AS old_boost, CASE WHEN p_partkey % 5 = 1 THEN 'roads' END AS dept FROM part""")
-scored("prio2", ["worthy", "poisum", "stored"], "NULL::DOUBLE", "coalesce(old_boost, 0e0)", "LEFT JOIN stored USING (segment_id)")
+scored("prio2", ["worthy", "poisum", "stored", "detour"], "ratio", "coalesce(old_boost, 0e0)", "LEFT JOIN stored USING (segment_id) LEFT JOIN detour USING (segment_id)")
 fragment("queue", ["prio2", "stored"], """SELECT coalesce(s.issue_id, 'issue_' || n.segment_id) AS issue_id, coalesce(n.segment_id, s.segment_id) AS segment_id, n.region_id,
   CASE WHEN n.segment_id IS NULL THEN 'resolved' WHEN s.issue_id IS NULL OR old_status = 'resolved' THEN 'new' ELSE old_status END AS workflow_status, coalesce(n.priority_score, 0) AS priority_score,
-  coalesce(n.priority_band, 'low') AS priority_band, coalesce(old_boost, 0e0) AS manual_boost, dept AS assigned_department, CASE WHEN n.segment_id IS NULL THEN 'evidence_no_longer_shows_barrier' END AS resolved_reason, n.barriers
+  coalesce(n.priority_band, 'low') AS priority_band, coalesce(old_boost, 0e0) AS manual_boost, dept AS assigned_department, CASE WHEN n.segment_id IS NULL THEN 'evidence_no_longer_shows_barrier' END AS resolved_reason, n.barriers, n.ratio
   FROM prio2 n FULL JOIN stored s ON s.segment_id = n.segment_id""")
 oracle("issue_queue", ["queue"], "SELECT issue_id, workflow_status, priority_score, priority_band, manual_boost, assigned_department, resolved_reason FROM queue")
 oracle("top_barriers", ["queue"], "SELECT issue_id, priority_score, barriers <> '' AS has_barrier FROM queue WHERE workflow_status NOT IN ('resolved', 'rejected') AND priority_score > 0 ORDER BY priority_score DESC, issue_id LIMIT 4")
 oracle("open_critical_issues", ["queue"], "SELECT issue_id, priority_score FROM queue WHERE workflow_status = 'new' AND priority_band = 'high' ORDER BY priority_score DESC, issue_id LIMIT 50")
 oracle("patched_issues", ["stored"], """SELECT issue_id, CASE WHEN ok AND k % 3 = 0 THEN 'assigned' ELSE old_status END AS workflow_status, CASE WHEN ok AND k % 2 = 0 THEN 'parks' ELSE dept END AS assigned_department,
   CASE WHEN ok AND k % 7 = 0 THEN (k % 3) / 2e0 ELSE old_boost END AS manual_boost, ok AND k % 7 = 0 AS boost_changed FROM (SELECT *, k % 3 <> 1 AS ok FROM (SELECT *, CAST(substr(segment_id, 2, length(segment_id) - 2) AS BIGINT) AS k FROM stored))""")
-oracle("issue_export", ["queue"], """SELECT segment_id, priority_score || '|' || priority_band || '|' || segment_id || '|none found|' || workflow_status || '|' || coalesce(assigned_department, '') AS line
+oracle("issue_export", ["queue"], """SELECT segment_id, priority_score || '|' || priority_band || '|' || segment_id || '|' || coalesce(CAST(ratio AS VARCHAR), 'none found') || '|' || workflow_status || '|' || coalesce(assigned_department, '') AS line
   FROM queue WHERE priority_score > 0 ORDER BY priority_score DESC, segment_id""")
 
 # --- coverage -----------------------------------------------------------------------
