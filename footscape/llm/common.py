@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that `docs` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    more = "_"
+    while any((more + n).lower() in taken for n in names):
+        more += "_"
+    return [more + n for n in names]
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only; texts of single-byte characters take the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footscape.llm.bpe import batches
-from footscape.llm.common import fold_of
+from footscape.llm.common import fold_of, stored
 
 #: At most so many labelled rows are used for training: a bound, whatever the size of the corpus.
 SAMPLE = 4000
@@ -23,6 +24,8 @@ NGRAMS = (3, 4, 5)
 #: A word that repeats the one before counts as so many features of its own kind.
 REPEAT_WEIGHT, REPEAT_BUCKET = 8, 0
 THRESHOLD = 0.3
+#: The log odds of every text where labels don't show both classes: nothing is rejected.
+UNKNOWN = 0.0
 CACHE_WORDS = 1 << 18
 
 
@@ -80,10 +83,10 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, rate: float = RATE, seed: int = SEED) -> Model:
-    """Embeddings averaged per document, softmax over the two classes. One class alone gives its share of 1."""
+    """Embeddings averaged per document, softmax over the two classes. One class alone, or none, gives UNKNOWN."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
+        return Model(np.zeros(BUCKETS, np.float32), UNKNOWN)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
     out, bias = np.zeros((2, dim)), np.log(np.bincount(y, minlength=2) / len(y))
@@ -145,29 +148,46 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def one_text(docs: DataFrame, ids: DataFrame) -> list:
-    """Rows (doc_id, text, _label) of the documents `ids` (doc_id, _label), by id. Of rows that repeat an id, the least text is
+def one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, _label, text) of the documents `ids` (doc_id, _label), a bounded list. Of rows that repeat an id, the least text is
     taken, by an aggregate that each task begins, so that the number of rows is bounded by that of ids."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
-    return sorted(rows.select("doc_id", "text", "_label").collect(), key=lambda r: r["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, folds: tuple[int, ...] = (1, 2, 3, 4)) -> list:
-    """Rows (text, label) of labelled documents in these folds, at most `limit`, one a document: those whose ids hash lowest.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, folds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """(doc_id, _label, text) of labelled documents in these folds, at most `limit`, one row a document: of each class those whose
+    ids hash lowest, in the classes' proportion, but at least `limit` / 20 of a class that has so many.
 
-    The ids are chosen from the labels, and only their texts are fetched. Null labels and rows without an
-    id are passed over; of several labels of a document the largest counts.
+    The ids are chosen from the labels of documents that are there, and only their texts are fetched. Null labels and rows
+    without an id are passed over; of several labels of a document the largest counts.
     """
     one = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold_of(F.col("doc_id")).isin(*folds))
-           .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")))
-    ids = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return one_text(docs, ids)
+           .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("_label")))
+    there = stored(one.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"))
+    size = {r["_label"]: r["count"] for r in there.groupBy("_label").count().collect()}
+    total = sum(size.values())
+    parts = []
+    for k in sorted(size):
+        most = max(limit * size[k] // max(total, 1), min(limit // 20, size[k]))
+        parts.append(there.filter(F.col("_label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(most, limit - limit // 20 * (len(size) - 1))))
+    return one_text(docs, functools.reduce(DataFrame.unionByName, parts) if parts else there.limit(0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Train on at most `sample` labelled rows outside the held-out fold."""
-    rows = labelled_sample(docs, labels, label, sample)
-    return train([r["text"] for r in rows], [r["_label"] for r in rows])
+    """Train on at most `sample` labelled rows outside the held-out fold, in one task; only the weights come to the driver.
+
+    Where the labels show one class only, or none, nothing is known of the other: every score is that of UNKNOWN, above
+    the threshold, so that no document is rejected.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*frames, pd.DataFrame({"doc_id": [], "_label": [], "text": []})]).sort_values("doc_id")
+        model = train(rows["text"].tolist(), rows["_label"].astype(int).tolist())
+        yield pd.DataFrame({"weight": [model.weight.astype("<f4").tobytes()], "bias": [model.bias]})
+
+    got = labelled_sample(docs, labels, label, sample).coalesce(1).mapInPandas(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(got["weight"], "<f4"), got["bias"]) if got else train([], [])
 
 
 def score_column(model, text: Column) -> Column:

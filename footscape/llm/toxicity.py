@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footscape.llm.bpe import batches
@@ -28,6 +29,8 @@ THRESHOLD = 0.5
 #: The log odds of every text where labels don't show both classes: nothing is predicted toxic.
 UNKNOWN = -4.0
 CACHE_WORDS = 1 << 18
+#: Buckets of 2 ** 15 ids whose labels are sent to the texts at once: 64 MB.
+BUCKETS_AT_ONCE = 8192
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A probability below the last backoff order: one character of an open alphabet.
@@ -106,9 +109,9 @@ def _by(keys: np.ndarray, values: list[np.ndarray]) -> Table:
     return Table(distinct, np.stack([np.bincount(group, v, len(distinct)) for v in values], 1))
 
 
-def tables(grams: list[str], counts: np.ndarray) -> Model:
-    """The model of distinct n-grams of the longest order, and their counts (ordinary, toxic)."""
-    chars = np.array(grams, f"<U{ORDER}").view("<u4").reshape(len(grams), ORDER)
+def tables(chars: np.ndarray, counts: np.ndarray) -> Model:
+    """The model of distinct n-grams of the longest order, rows of ORDER code points with zeros behind, and their counts
+    (ordinary, toxic)."""
     size = (chars > 0).sum(1)
 
     def ends(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,36 +173,38 @@ def _smooth(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarr
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.of = np.empty((0, 3))  # of each known word between spaces: sum and maximum of its words' ratios, their number
+        self.model, self.known, self.ratios = model, {}, np.empty(0)
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: mean log ratio a word; the highest of a word; the TOP highest together; log(1 + words).
 
         The mean compares the length-normalised likelihoods of the whole text, the others those of its most toxic
-        words, each a passage of one word, which a long text doesn't dilute.
+        words, each a passage of one word, which a long text doesn't dilute. All texts are summed at once.
         """
         if len(self.known) > CACHE_WORDS:
-            self.known, self.of = {}, np.empty((0, 3))
-        cut = [t.split() for t in texts]
+            self.known, self.ratios = {}, np.empty(0)
+        cut = [_WORD.findall(t.lower()) for t in texts]
         new = list(set().union(*cut).difference(self.known))
         if new:
-            inner = [_WORD.findall(w.lower()) for w in new]
-            flat = list(set().union(*inner))
-            value = dict(zip(flat, self.model.word_ratios(flat).tolist())) if flat else {}
-            got = [[value[w] for w in ws] for ws in inner]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.of = np.concatenate([self.of, np.array([(sum(g), max(g, default=0.0), len(g)) for g in got])])
+            self.ratios = np.concatenate([self.ratios, self.model.word_ratios(new)])
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
         out = np.zeros((len(texts), 4))
-        for k, words in enumerate(cut):
-            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            if not len(ids):
-                continue
-            total, high, count = self.of[ids].T
-            n = count.sum()
-            high = np.maximum(high, 0)
-            top = high if len(high) <= TOP else np.partition(high, len(high) - TOP)[-TOP:]
-            out[k] = total.sum() / max(n, 1), high.max(), top.sum(), np.log1p(n)
+        full = np.flatnonzero(size)
+        if not len(full):
+            return out
+        n, get = size[full], self.known.__getitem__
+        r = self.ratios[np.concatenate([np.fromiter(map(get, w), np.int64, len(w)) for w in cut if w])]
+        start, owner = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        out[full, 0] = np.add.reduceat(r, start) / n
+        out[full, 3] = np.log1p(n)
+        r = np.maximum(r, 0)
+        for k in range(TOP):
+            high = np.maximum.reduceat(r, start)
+            out[full, 1] = np.maximum(out[full, 1], high)
+            out[full, 2] += high
+            at = np.flatnonzero(r == high[owner])
+            r[at[np.r_[True, owner[at[1:]] != owner[at[:-1]]]]] = 0  # of equal ones, the first goes
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -220,11 +225,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60,
     return np.append(w[:-1] / size, w[-1])
 
 
+def label_bits(labels: DataFrame, label: str, folds: tuple[int, ...]) -> DataFrame:
+    """(bucket, known, toxic): bitmaps of the labelled ids of these folds, and of the toxic ones among them, a row for each
+    2 ** 15 ids in a row. Of several labels of an id the largest counts."""
+    one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold_of(F.col("doc_id")).isin(*folds))
+    one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).alias("toxic"))
+    place = F.bitmap_bit_position("doc_id")
+    return one.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(
+        F.bitmap_construct_agg(place).alias("known"), F.bitmap_construct_agg(F.when(F.col("toxic"), place)).alias("bad"))
+
+
+def _bit(bits: str, place: Column) -> Column:
+    """Whether a bit of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int, ...], room: int = BUCKETS_AT_ONCE) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled documents of these folds. The labels are sent to the texts as bitmaps, `room`
+    buckets (8 KB each) at a time; texts are read once for so many, and never shuffled."""
+    bits = stored(label_bits(labels, label, folds))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(fold_of(F.col("doc_id")).isin(*folds))
+    rows = rows.withColumns({"bucket": F.bitmap_bucket_number("doc_id"), "place": F.bitmap_bit_position("doc_id")})
+    passes = max(1, -(-bits.count() // room))
+    parts = [bits] if passes == 1 else [bits.filter(F.pmod(F.xxhash64("bucket"), F.lit(passes)) == k) for k in range(passes)]
+    found = [rows.join(F.broadcast(p), "bucket").filter(_bit("known", F.col("place"))).select("doc_id", "text", _bit("bad", F.col("place")).cast("int").alias("toxic")) for p in parts]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def word_counts(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int, ...]) -> DataFrame:
     """(toxic, word, n) over all labelled rows of these folds, summed in each task before the shuffle."""
-    one = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold_of(F.col("doc_id")).isin(*folds))
-           .groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic")))
-    rows = docs.filter(fold_of(F.col("doc_id")).isin(*folds)).select("doc_id", "text").join(one, "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def frame(counts: dict) -> pd.DataFrame:
@@ -239,23 +269,29 @@ def word_counts(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int
                     counts = {0: Counter(), 1: Counter()}
         yield frame(counts)
 
-    return rows.mapInPandas(run, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
+    return labelled_texts(docs, labels, label, folds).select("toxic", "text").mapInPandas(run, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
 
 
-def scale_sample(docs: DataFrame, present: DataFrame, folds: tuple[int, ...], limit: int = SCALE_SAMPLE) -> tuple[list, np.ndarray]:
-    """Rows (text, _label) of at most `limit` documents of these folds, as many of one class as of the other where there are
-    so many, those whose ids hash lowest; and per row, of how many of its class it speaks, to a mean of 1. `present` has
-    (doc_id, _label, fold)."""
+def scale_sample(docs: DataFrame, present: DataFrame, folds: tuple[int, ...], limit: int = SCALE_SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, _label, text) of at most `limit` documents of these folds, as many of one class as of the other where there are
+    so many, those whose ids hash lowest; and how many there are of each class. `present` has (doc_id, _label, fold)."""
     own = present.filter(F.col("fold").isin(*folds))
     size = {int(r["_label"]): r["count"] for r in own.groupBy("_label").count().collect()}
     toxic = min(size[1], max(limit // 2, limit - size[0]))
     lowest = lambda x, n: own.filter(F.col("_label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "_label")
-    ids = lowest(1, toxic).unionByName(lowest(0, limit - toxic))
-    rows = one_text(docs, ids)
-    y = np.array([r["_label"] for r in rows])
-    taken = np.bincount(y, minlength=2)
-    weight = np.array([size[int(k)] / taken[k] for k in y], float)
-    return rows, weight / weight.mean()
+    return one_text(docs, lowest(1, toxic).unionByName(lowest(0, limit - toxic))), size
+
+
+def sample_features(rows: DataFrame, model: Model) -> pd.DataFrame:
+    """The features of a bounded sample (doc_id, _label, text), made where its texts are; only they come to the driver."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = model.scorer()
+        for f in frames:
+            x = [scorer.features(g) for g in batches(f["text"].tolist())]
+            yield pd.DataFrame(np.concatenate([*x, np.zeros((0, 4))]), columns=list("abcd")).assign(_label=f["_label"].to_numpy())
+
+    return rows.mapInPandas(run, "a double, b double, c double, d double, _label int").toPandas().sort_values(list("abcd")).reset_index(drop=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -272,14 +308,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     seen = {(r["fold"], r["_label"]) for r in present.select("fold", "_label").distinct().collect()}
     both = lambda fs: {x for f, x in seen if f in fs} == {0, 1}
     if not both(folds):
-        return tables([], np.zeros((0, 2)))
+        return tables(np.zeros((0, ORDER), np.uint32), np.zeros((0, 2)))
     apart = both(COUNT_FOLDS) and both(SCALE_FOLDS)
-    got = gram_rows(word_counts(docs, labels, label, COUNT_FOLDS if apart else folds)).toArrow()
-    model = tables(got.column("gram").to_pylist(), np.stack([got.column(c).to_numpy() for c in ("ordinary", "toxic")], 1))
-    rows, weight = scale_sample(docs, present, SCALE_FOLDS if apart else folds)
-    scorer = model.scorer()
-    x = np.concatenate([scorer.features(g) for g in batches([r["text"] for r in rows])])
-    model.scale = _logistic(x, np.array([float(r["_label"]) for r in rows]), weight)
+    chars = F.encode(F.rpad("gram", ORDER, "\0"), "UTF-32").alias("chars")
+    got = gram_rows(word_counts(docs, labels, label, COUNT_FOLDS if apart else folds)).select(chars, "ordinary", "toxic").toArrow().combine_chunks()
+    points = np.frombuffer(b"".join(c.buffers()[2][4 * ORDER * c.offset:4 * ORDER * (c.offset + len(c))] for c in got.column("chars").chunks), ">u4").reshape(-1, ORDER).astype(np.uint32)
+    model = tables(points, np.stack([got.column(c).to_numpy() for c in ("ordinary", "toxic")], 1))
+    del got, points
+    rows, size = scale_sample(docs, present, SCALE_FOLDS if apart else folds)
+    x = sample_features(rows, model)
+    y = x["_label"].to_numpy()
+    weight = np.array([size[k] / max(int((y == k).sum()), 1) for k in (0, 1)])[y]
+    model.scale = _logistic(x[list("abcd")].to_numpy(), y.astype(float), weight / weight.mean())
     return model
 
 

@@ -230,20 +230,23 @@ def test_toxic_labels_in_one_part_of_the_folds_are_used(spark):
 def test_scale_sample_holds_both_classes_and_only_present_documents(spark):
     docs = spark.createDataFrame([(k, "t", "x") for k in range(300)] * 2, "doc_id long, text string, score string")
     present = spark.createDataFrame([(k, int(k in (7, 8, 9)), 4) for k in range(300)], "doc_id long, _label int, fold int")
-    rows, weight = toxicity.scale_sample(docs, present, (4,), 20)
-    y = np.array([r["_label"] for r in rows])
-    assert len(rows) == 20 and {r["doc_id"] for r in rows if r["_label"]} == {7, 8, 9}
-    assert np.allclose(weight[y == 0] / weight[y == 1][0], 297 / 17)
+    rows, size = toxicity.scale_sample(docs, present, (4,), 20)
+    rows = rows.collect()
+    assert len(rows) == 20 and {r["doc_id"] for r in rows if r["_label"]} == {7, 8, 9} and size == {0: 297, 1: 3}
     labels = spark.createDataFrame([(k, int(k % 2 == 0 or k >= 600)) for k in range(3000)], "doc_id long, toxic int")
     assert toxicity.keep_clean(docs.filter("doc_id % 2 = 1"), toxicity.fit(docs.filter("doc_id % 2 = 1"), labels)).count() == 300
 
 
+def code_points(grams):
+    return np.array(grams, "<U5").view("<u4").reshape(len(grams), 5)
+
+
 def test_language_model_equals_one_of_exact_keys(spark):
     rng = np.random.default_rng(9)
     word = lambda: "".join(chr(rng.choice([97, 98, 99, 228, 0x4F60, 0x1F600])) for _ in range(rng.integers(1, 9)))
     counted = [(int(rng.integers(2)), w, int(rng.integers(1, 9))) for w in sorted({word() for _ in range(300)})]
     got = toxicity.gram_rows(spark.createDataFrame(counted, "toxic int, word string, n long")).collect()
-    model = toxicity.tables([r.gram for r in got], np.array([[r.ordinary, r.toxic] for r in got]))
+    model = toxicity.tables(code_points([r.gram for r in got]), np.array([[r.ordinary, r.toxic] for r in got]))
     tail = lambda w, i, k: w[max(0, i + 1 - k):i + 1]
     n, ways = [Counter(), Counter()], [set() for _ in range(4)]
     for x, w, c in counted:
@@ -279,7 +282,7 @@ def test_tables_of_the_language_model_grow_with_its_grams():
     grams = ["".join(g) for g in itertools.product(letters, repeat=5)]  # 759,375
     counts = np.column_stack([np.full(len(grams), 3), np.zeros(len(grams), int)])
     counts[::100_000] = 0, 50
-    model = toxicity.tables(grams, counts)
+    model = toxicity.tables(code_points(grams), counts)
     at = np.arange(0, len(grams), 50_000)
     digests = toxicity.gram_digests(np.array([[ord(c) for c in grams[k]] for k in at]))
     assert len(model.gram.keys) == len(grams) and (model.gram(digests) == counts[at]).all()
@@ -288,7 +291,7 @@ def test_tables_of_the_language_model_grow_with_its_grams():
 def test_samples_hold_one_row_an_id(spark):
     docs = spark.createDataFrame([(1, f"text {k}", "x") for k in range(300)] + [(2, None, "x"), (3, "other", "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0)], "doc_id long, quality int")
-    rows = quality.labelled_sample(docs, labels, "quality", 10, (0, 1, 2, 3, 4))
+    rows = quality.labelled_sample(docs, labels, "quality", 10, (0, 1, 2, 3, 4)).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["text"], r["_label"]) for r in rows] == [(1, "text 0", 1), (2, "", 0), (3, "other", 1)]
 
 
