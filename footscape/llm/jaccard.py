@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footscape.llm.common import stored
-from footscape.operators.components import connected_components
+from footscape.llm.common import free, stored
+from footscape.operators.components import connected_components, heavy_keys, lookup
 
 N, NUMER, DENOM = 4, 85, 100
 #: A column of the incidence with more documents than this is wide: it is multiplied in another way (see `links`).
@@ -352,6 +352,22 @@ def components(docs: DataFrame, n: int = N, numer: int = NUMER, denom: int = DEN
 
 
 def one_of_each(docs: DataFrame, n: int = N, numer: int = NUMER, denom: int = DENOM) -> DataFrame:
-    """The rows of `docs` whose id is their component's: one of each group stays, with all columns."""
-    gone = components(docs, n, numer, denom).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """The rows of `docs` without near copies: of each component the row with the smallest id stays, with all columns.
+
+    Rows are told apart by id and text, so an id that stands on several texts is decided for each of them. Of rows that
+    repeat both, one stays. A null id comes after all others; rows of null ids are linked like any other. Null and
+    empty texts are linked with nothing, not even each other, and all different rows of them stay. An empty table stays one.
+    """
+    (key,) = free(docs, "row")
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    own = stored(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")))
+    comp = components(docs.select(row.alias("doc_id"), "text"), n, numer, denom).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    both = stored(comp.join(own, "row"))
+    first = stored(both.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("keep"), F.count(F.lit(1)).alias("c")))
+    gone = stored(lookup(both.select("row", "component"), "component", first.select("component", "keep"), heavy_keys(first, "component", "c")).filter("row <> keep").select(F.col("row").alias(key)))
+    left = docs.withColumn(key, row).join(gone, key, "left_anti")
+    twice = stored(own.filter("c > 1").select(F.col("row").alias(key)))
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(twice, key, "left_semi").dropDuplicates([key])
+    return left.join(twice, key, "left_anti").unionByName(once).select(*docs.columns)
