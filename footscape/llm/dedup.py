@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footscape.llm.common import lower_az, stored
+from footscape.llm.common import free, lower_az, stored
 
 #: Digests that the frequent-items sketch follows, and the most winners that are broadcast (about 50 bytes each).
 TRACKED, WINNERS = 4096, 512
@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, tracked: int = TRACKED, winners: int = WINNERS
     row with the largest doc_id stays (a null id is the smallest; of rows that repeat an id, one stays).
     A Misra-Gries sketch (Spark's frequent-items aggregate) names candidates, an exact count verifies them,
     and the at most `winners` verified ones are broadcast, so that their rows are settled where they are
-    read. No key of the shuffle that is left holds more than max(1/tracked, share) of the rows or so.
+    read. No key of the shuffle that is left holds more than max(1/winners, share) of the rows or so.
     Further columns of `docs` are ignored; an empty table gives an empty result.
     """
     digests, heavy, rest = _grouped(docs, tracked, winners, share)
@@ -58,17 +58,18 @@ def drop_copies(docs: DataFrame, tracked: int = TRACKED, winners: int = WINNERS,
     on several rows of a text, one is taken by an aggregate, which reduces them where they are read.
     """
     _, heavy, rest = _grouped(docs, tracked, winners, share)
-    lost = stored(rest.filter(F.col("keep.rid") != F.col("rid")).groupBy(F.col("doc_id").alias("_lost_id"), F.col("d").alias("_lost_d"))
-                  .agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))).alias("_again")))
-    marked = docs.select("*", F.col("doc_id").cast("long").alias("_id"), _digest(F.col("text")).alias("_d"))
-    marked = marked.join(F.broadcast(heavy.select(F.col("d").alias("_heavy"), F.col("keep.doc_id").alias("_keep"))), F.col("_d") == F.col("_heavy"), "left")
-    light = marked.filter(F.col("_heavy").isNull())
-    same = F.col("_id").eqNullSafe(F.col("_lost_id")) & F.col("_d").eqNullSafe(F.col("_lost_d"))
-    again = marked.filter(F.col("_heavy").isNotNull() & F.col("_id").eqNullSafe(F.col("_keep")))
-    repeats = lost.filter("_again")
+    own_id, own, big, keep, lost_id, lost_d, again = free(docs, "id", "d", "heavy", "keep", "lost_id", "lost_d", "again")
+    lost = stored(rest.filter(F.col("keep.rid") != F.col("rid")).groupBy(F.col("doc_id").alias(lost_id), F.col("d").alias(lost_d))
+                  .agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))).alias(again)))
+    marked = docs.select("*", F.col("doc_id").cast("long").alias(own_id), _digest(F.col("text")).alias(own))
+    marked = marked.join(F.broadcast(heavy.select(F.col("d").alias(big), F.col("keep.doc_id").alias(keep))), F.col(own) == F.col(big), "left")
+    light = marked.filter(F.col(big).isNull())
+    same = F.col(own_id).eqNullSafe(F.col(lost_id)) & F.col(own).eqNullSafe(F.col(lost_d))
+    once = marked.filter(F.col(big).isNotNull() & F.col(own_id).eqNullSafe(F.col(keep)))
+    repeats = lost.filter(again)
     if not repeats.isEmpty():
-        again = again.unionByName(light.join(repeats, same, "left_semi"))
-    return light.join(lost, same, "left_anti").unionByName(again.dropDuplicates(["_d"])).select(*docs.columns)
+        once = once.unionByName(light.join(repeats, same, "left_semi"))
+    return light.join(lost, same, "left_anti").unionByName(once.dropDuplicates([own])).select(*docs.columns)
 
 
 ORACLE = """
