@@ -10,6 +10,7 @@ from footscape.functions import text as X
 from footscape.operators import imagery as I
 from footscape.operators import municipal as M
 from footscape.operators import network as N
+from footscape.operators.bridges import bridges as find_bridges
 from footscape.operators import reports as R
 from footscape.operators import spatial as SP
 from footscape.plans import network as PN
@@ -162,7 +163,8 @@ def retired_frames(spark, sf):
 
 @query
 def analysis_estimate(spark, sf):
-    return I.analysis_estimate(discovered(spark, sf), 3000)
+    left = I.daily_usage(D.analysis_calls(spark, sf)).agg(F.max_by("remaining", "day")).scalar()  # of the last day
+    return I.analysis_estimate(discovered(spark, sf), left)
 
 
 @query
@@ -180,6 +182,18 @@ def daily_usage(spark, sf):
     return I.daily_usage(D.analysis_calls(spark, sf))
 
 
+def usage_reserved(spark, sf):
+    """Usage with what is reserved: a little more than has been called."""
+    calls = D.analysis_calls(spark, sf)
+    reserved = I.daily_usage(calls).select("day", (F.col("calls") + F.dayofmonth(F.to_date("day")) % 3).alias("reserved"))
+    return I.daily_usage(calls, reservations=reserved)
+
+
+@query
+def usage_left(spark, sf):
+    return usage_reserved(spark, sf)
+
+
 @query
 def usage_week(spark, sf):
     return I.usage_history(I.daily_usage(D.analysis_calls(spark, sf)), 7)
@@ -187,8 +201,7 @@ def usage_week(spark, sf):
 
 @query
 def leaked_reservations(spark, sf):
-    usage = I.daily_usage(D.analysis_calls(spark, sf)).withColumn("reserved", F.col("calls") + F.dayofmonth(F.to_date("day")) % 3)
-    return I.leaked_reservations(usage).select("day", "reserved", "leaked")
+    return I.leaked_reservations(usage_reserved(spark, sf)).select("day", "reserved", "leaked")
 
 
 def frame_tasks(spark, sf):
@@ -380,6 +393,19 @@ def components(spark, sf):
     return components_of(spark, sf)
 
 
+@query
+def network_components(spark, sf):
+    """Components of the whole network, every kind of way."""
+    num = lambda c: F.substring(c, 2, 20).cast("long")
+    return N.connected_components(D.segments(spark, sf).select(num("from_node").alias("src"), num("to_node").alias("dst")))
+
+
+@query
+def bridges(spark, sf):
+    """Segments of the footpaths without which their ends are no longer connected."""
+    return find_bridges(footpaths(spark, sf).select(F.col("segment_id").alias("edge_id"), F.col("from_node").alias("src"), F.col("to_node").alias("dst")))
+
+
 @query
 def connectivity(spark, sf):
     return N.connectivity_report(components_of(spark, sf))

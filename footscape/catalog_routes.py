@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from footscape import params as P
 from footscape.catalog import assessed, joined, query, r, shared
+from footscape.catalog_places import discovered
 from footscape.functions import geo as G
 from footscape.operators import municipal as M
 from footscape.operators import network as N
@@ -154,22 +155,35 @@ def open_critical_issues(spark, sf):
     return M.list_issues(queue(spark, sf), "new", "high", 50).select("issue_id", "priority_score")
 
 
-@query
-def patched_issues(spark, sf):
+def issue_patches(spark, sf):
     k = F.col("p_partkey")
-    patches = D.table(spark, sf, "part").select(
+    return D.table(spark, sf, "part").select(
         F.concat(F.lit("issue_w"), k, F.lit("E")).alias("issue_id"), D.pick(k % 3, ["assigned", "lost"]).alias("status"),
         F.when(k % 2 == 0, "parks").alias("assigned_department"), F.when(k % 7 == 0, k % 3 / 2.0).alias("manual_boost"),
         F.lit("note").alias("notes"), F.to_timestamp(F.lit("2024-01-05 00:00:00")).alias("patched_at"))
+
+
+@query
+def patched_issues(spark, sf):
     issues = stored_issues(spark, sf).withColumnRenamed("status", "workflow_status")
-    out, _ = M.apply_issue_patches(issues, patches)
+    out, _ = M.apply_issue_patches(issues, issue_patches(spark, sf))
     return out.select("issue_id", "workflow_status", "assigned_department", "manual_boost", "boost_changed")
 
 
+@query
+def boosted_issues(spark, sf):
+    """Patched issues of the stored queue: a new boost gives a new score, breakdown and band."""
+    out, _ = PP.patch_issues(queue(spark, sf), issue_patches(spark, sf), assessed(spark, sf), D.pois(spark, sf), detours(spark, sf))
+    boost = F.filter("breakdown", lambda b: b["key"] == "priority.municipal_boost")
+    return out.select("issue_id", "boost_changed", "manual_boost", "priority_score", "priority_band",
+                      F.when(F.col("boost_changed"), F.coalesce(F.get(boost, F.lit(0))["points"], F.lit(0.0))).alias("boost_points"))
+
+
 # --- coverage ------------------------------------------------------------------------
 @query
 def coverage_by_region(spark, sf):
-    return M.coverage(assessed(spark, sf), all_regions=True).drop("with_imagery")
+    found = discovered(spark, sf).select("segment_id", F.col("imagery")["image_count"].alias("image_count"))
+    return M.coverage(assessed(spark, sf).drop("image_count").join(found, "segment_id", "left"), all_regions=True)
 
 
 @query
@@ -249,7 +263,7 @@ def street_index(spark, sf):
 def street_suggest(spark, sf):
     queries = D.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("query_id"), F.lower(F.left("c_mktsegment", 1 + F.col("c_custkey").cast("int") % 3)).alias("query"))
-    return M.suggest_streets(queries, M.street_index(D.segments(spark, sf))).select("query_id", "key", "rank")
+    return M.suggest_streets(queries, M.prefix_index(M.street_index(D.segments(spark, sf)))).select("query_id", "key", "rank")
 
 
 # --- projection ------------------------------------------------------------------------
@@ -317,6 +331,21 @@ def audit_changes(spark, sf):
                     F.map_contains_key("next", "api_token").alias("leaks"))
 
 
+@query
+def audit_redaction(spark, sf):
+    """Nested values of an audit row: secrets inside go at every level, long texts and lists are cut."""
+    o = F.col("o_orderkey")
+    attempt = lambda i: F.create_map(F.lit("no"), (o + i).cast("string"), F.lit("authToken"), F.lit("t"))
+    request = F.struct(F.repeat(F.concat(F.lit("order "), o), (o % 60 + 1).cast("int")).alias("note"), F.lit("s").alias("client_secret"),
+                       F.transform(F.sequence(F.lit(1), F.lit(33)), attempt).alias("attempts"))
+    log = D.table(spark, sf, "orders").select(o.alias("job_id"), F.struct(F.col("o_orderstatus").alias("status"), request.alias("request")).alias("previous"),
+                                              F.struct(F.lit("done").alias("status"), F.lit("k").alias("apiKey")).alias("next"))
+    a = M.redact_audit(log)
+    first = F.get("previous.request.attempts", F.lit(0))
+    return a.select("job_id", F.col("previous.request.note").alias("note"), F.size("previous.request.attempts").alias("attempts"),
+                    F.array_join(F.map_keys(first), ",").alias("keys"), first["no"].alias("first_no"), F.to_json("next").alias("next"))
+
+
 @query
 def saved_places(spark, sf):
     e = D.table(spark, sf, "events").select("user_id", (F.col("event_id") % 400).alias("place_id"), F.col("ts").alias("saved_at"), "event_type")

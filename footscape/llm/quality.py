@@ -27,6 +27,8 @@ THRESHOLD = 0.3
 #: The log odds of every text where labels don't show both classes: nothing is rejected.
 UNKNOWN = 0.0
 CACHE_WORDS = 1 << 18
+#: Documents whose features are held in one block, and characters of texts scored at once.
+BLOCK, SCORED_CHARS = 200, 1 << 20
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +92,20 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int =
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
     out, bias = np.zeros((2, dim)), np.log(np.bincount(y, minlength=2) / len(y))
-    seen = [document_features(t) for t in texts]
+    # features lie in large blocks, so that their memory goes back to the system after training
+    seen, blocks = [], []
+    for k in range(0, len(texts), BLOCK):
+        part = [document_features(t) for t in texts[k:k + BLOCK]]
+        blocks.append((np.concatenate([f for f, _ in part]), np.concatenate([n for _, n in part]).clip(0, 65535).astype(np.uint16)))
+        end = np.cumsum([len(f) for f, _ in part])
+        seen += [(k // BLOCK, e - len(f), e) for e, (f, _) in zip(end.tolist(), part)]
     steps, done = epochs * len(y), 0
     for _ in range(epochs):
         for k in rng.permutation(len(y)):
             lr = rate * (1 - done / steps)
             done += 1
-            at, times = seen[k]
+            block, start, stop = seen[k]
+            at, times = blocks[block][0][start:stop], blocks[block][1][start:stop].astype(np.float64)
             share = times / max(times.sum(), 1)
             rows = emb[at]
             hidden = share @ rows
@@ -197,7 +206,7 @@ def score_column(model, text: Column) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = model.scorer()
         for part in parts:
-            yield pd.Series([s for group in batches([t or "" for t in part]) for s in scorer.score(group)], dtype="float64")
+            yield pd.Series([s for group in batches([t or "" for t in part], SCORED_CHARS) for s in scorer.score(group)], dtype="float64")
 
     return run(F.coalesce(text, F.lit("")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footscape.operators.components import contracted, heavy_keys, lookup
+from footscape.operators.components import contractions, heavy_keys, lookup
 from footscape.operators.ranking import ranked
 from footscape.session import stored
 
@@ -17,14 +17,12 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     live = stored(edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("edge_id").alias("e")))
     nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    forest, tree, turn = None, nodes.withColumn("tree", F.col("node")), 0
-    while not live.isEmpty():
-        parents, live = contracted(live, turn, "e")
+    forest, tree = None, nodes.withColumn("tree", F.col("node"))
+    for parents in contractions(live, "e"):
         got = parents.filter("v <> p").select(F.col("e").alias("edge_id"))
         forest = got if forest is None else forest.unionByName(got)
         counts = stored(tree.groupBy("tree").agg(F.count(F.lit(1)).alias("c")))
         tree = stored(lookup(tree, "tree", parents.select(F.col("v").alias("tree"), "p"), heavy_keys(counts, "tree", "c"), "left").select("node", F.coalesce("p", "tree").alias("tree")))
-        turn += 1
     return (edges.select("edge_id").limit(0) if forest is None else stored(forest)), tree
 
 

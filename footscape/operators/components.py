@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from footscape.session import stored
 HEAVY_SHARE = 1 / 2000
 #: Below so many rows a key is never heavy.
 HEAVY_ROWS = 1000
+#: When no more edges than this are left, one task settles them: a bound, whatever the size of the graph.
+TAIL_EDGES = 4000
 
 
 def heavy_keys(counts: DataFrame, key: str, count: str) -> DataFrame | None:
@@ -53,14 +58,13 @@ def contracted(edges: DataFrame, turn: int, *ids: str) -> tuple[DataFrame, DataF
     order = F.struct(F.xxhash64("b", F.lit(turn)), F.col("b").alias("p"), *ids)
     picks = stored(both.groupBy(F.col("a").alias("v")).agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("c")).select("v", "o.p", "c", *[f"o.{i}" for i in ids]))
     heavy = heavy_keys(picks, "v", "c")
-    few = picks.count() < HEAVY_ROWS
     # a vertex that many pick has as many edges
     met = _jump(picks, None if heavy is None else heavy.withColumnRenamed("v", "x"))
     rank = lambda c, v: F.struct(-c, F.xxhash64(v, F.lit(turn)), v)
     root = (F.col("above.p") == F.col("v")) & (rank(F.col("c"), F.col("v")) < rank(F.col("above.c"), F.col("p")))
     parents = stored(met.select("v", F.when(root, F.col("v")).otherwise(F.col("p")).alias("p"), *ids))
-    parents = stored(_jump(parents, None if few else _many(parents)).select("v", F.col("above.p").alias("p"), *ids))
-    parents = _jump(parents, None if few else _many(parents))
+    parents = stored(_jump(parents, _many(parents)).select("v", F.col("above.p").alias("p"), *ids))
+    parents = _jump(parents, _many(parents))
     parents = stored(parents.select("v", F.when(F.col("p") == F.col("above.p"), F.col("p")).otherwise(F.col("v")).alias("p"), *ids))
     at = lambda rows, c: lookup(rows.withColumnRenamed(c, "v"), "v", parents.select("v", "p"), heavy).drop("v").withColumnRenamed("p", c)
     left = at(at(edges, "a"), "b").filter(F.col("a") != F.col("b"))
@@ -68,20 +72,57 @@ def contracted(edges: DataFrame, turn: int, *ids: str) -> tuple[DataFrame, DataF
     return parents, stored(left.withColumnRenamed("x", "a").withColumnRenamed("y", "b"))
 
 
+def settled(edges: DataFrame, *ids: str) -> DataFrame:
+    """(v, p, ids) for the last few edges (a, b, ids): each vertex's root, and the edge by which it was joined to others."""
+    kinds = dict(edges.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict = {}
+        by: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for f in frames:
+            for a, b, *e in f.itertuples(index=False, name=None):
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+                a, b = find(a), find(b)
+                if a != b:
+                    root[b], by[b] = a, e
+        yield pd.DataFrame([(v, find(v), *by.get(v, [None] * len(ids))) for v in root], columns=["v", "p", *ids])
+
+    schema = ", ".join([f"v {kinds['a']}", f"p {kinds['a']}", *[f"{i} {kinds[i]}" for i in ids]])
+    return stored(edges.select("a", "b", *ids).coalesce(1).mapInPandas(run, schema))
+
+
+def contractions(live: DataFrame, *ids: str) -> Iterator[DataFrame]:
+    """The tables (v, p, ids) of all turns, until no edge (a, b, ids) is left."""
+    turn = 0
+    while left := live.count():
+        if left <= TAIL_EDGES:
+            yield settled(live, *ids)
+            return
+        parents, live = contracted(live, turn, *ids)
+        yield parents
+        turn += 1
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) with the lowest node as component, for edges (src, dst).
 
-    Edges are contracted turn by turn until none is left, whatever their number; what has been settled leaves the loop.
+    Edges are contracted turn by turn until none is left, whatever their number; what has been settled leaves the loop, and
+    a bounded rest is settled by one task.
     Then the trees of all turns are put together from the last to the first. Keys that hold many rows (a hub's edges, the
     vertices of a giant component) are joined by broadcast of these few keys, so no task gets all rows of one.
     A node that only has an edge with itself is its own component; edges with a null end are passed over.
     """
     pairs = stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL"))
     live = stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    turns: list[DataFrame] = []
-    while not live.isEmpty():
-        parents, live = contracted(live, len(turns))
-        turns.append(parents)
+    turns = list(contractions(live))
     alone = pairs.filter("a = b").select(F.col("a").alias("node")).distinct()
     if not turns:
         return alone.withColumn("component", F.col("node"))

@@ -137,8 +137,13 @@ def consecutive_failures(calls: DataFrame, key: str = "job_id", limit: int = P.F
         F.max("failures").alias("longest_run"), (F.coalesce(F.max(F.when(F.col("island") == 0, F.col("failures"))), F.lit(0)) >= limit).alias("tripped"))
 
 
-def daily_usage(calls: DataFrame, daily_limit: int = P.DEFAULT.max_analyses_per_day) -> DataFrame:
-    """Per UTC day: calls, cached, failed, what is left of the limit."""
+def daily_usage(calls: DataFrame, daily_limit: int = P.DEFAULT.max_analyses_per_day, reservations: DataFrame | None = None) -> DataFrame:
+    """Per UTC day: calls, cached, failed, what is left of the limit. With `reservations` (day, reserved) what is reserved
+    counts, whether or not it has been called."""
+    if reservations is not None:
+        days = daily_usage(calls, daily_limit).join(reservations.groupBy("day").agg(F.sum("reserved").alias("reserved")), "day", "full")
+        zero = {c: F.coalesce(c, F.lit(0)) for c in ("calls", "cached", "failed", "reserved")}
+        return days.withColumns(zero).withColumn("remaining", F.greatest(F.lit(0), F.lit(daily_limit) - F.col("reserved")))
     return calls.groupBy(F.window("ts", "1 day")["start"].alias("day_start")).agg(
         F.count_if(F.col("outcome") != "cached").alias("calls"),
         F.count_if(F.col("outcome") == "cached").alias("cached"),
@@ -156,11 +161,11 @@ def usage_history(usage: DataFrame, n: int = 7) -> DataFrame:
     return usage.orderBy(F.desc("day")).limit(min(n, 60))
 
 
-def analysis_estimate(segments: DataFrame, remaining_today: int, params: P.Params = P.DEFAULT) -> DataFrame:
+def analysis_estimate(segments: DataFrame, remaining_today: int | Column, params: P.Params = P.DEFAULT) -> DataFrame:
     """Per region: segments and frames still pending, expected and largest number of calls."""
     pending = F.size(F.filter(F.col("imagery")["selected"], lambda f: ~f["analysed"]))
     open_ = segments.filter(F.col("imagery")["status"].isin("selected", "analysed")).withColumn("_n", pending).filter(F.col("_n") > 0)
-    cap = F.lit(min(params.max_analyses_per_job, remaining_today)).cast("bigint")
+    cap = F.least(F.lit(params.max_analyses_per_job), remaining_today if isinstance(remaining_today, Column) else F.lit(remaining_today)).cast("bigint")
     return open_.groupBy("region_id").agg(F.count(F.lit(1)).alias("segments"), F.sum("_n").alias("frames")).withColumns({
         "expected_calls": F.least(F.col("segments"), cap), "max_calls": F.least(F.col("frames"), cap)})
 

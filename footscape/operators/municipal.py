@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footscape import params as P
 from footscape.functions.arrays import gather, optional
@@ -245,23 +248,26 @@ def street_index(segments: DataFrame) -> DataFrame:
         "key", "segments", "f.*")
 
 
-def suggest_streets(queries: DataFrame, index: DataFrame, k: int = 6) -> DataFrame:
-    """Streets whose name, or a word of it, starts like the query; most segments first.
+def prefix_index(index: DataFrame, k: int = 6) -> DataFrame:
+    """(qk, rank, key, segments, names): for every start of a street's name, or of a word of it, the k streets with most segments.
 
-    Every word start of the index up to the length of the longest useful query is
-    met by equality on the key prefix, so the join hashes instead of comparing all pairs.
+    Starts that all streets share keep k rows only, and these are chosen in each task before rows are dealt out.
     """
-    q = queries.filter(F.length(F.trim("query")) >= 2).withColumn("qk", phonetic_key(F.trim("query"))).filter(F.col("qk") != "")
     names = index.select("key", "segments", "street_name", "street_name_el", F.explode(F.array_distinct(F.array(
         phonetic_key(F.col("street_name")), phonetic_key(F.col("street_name_el"))))).alias("nk")).filter("nk != ''")
-    words = F.split("nk", " ")
     # the whole key by prefix, every word alone
-    starts = F.array_distinct(F.concat(F.array("nk"), words))
+    starts = F.array_distinct(F.concat(F.array("nk"), F.split("nk", " ")))
     w = names.select("key", "segments", "street_name", "street_name_el", F.explode(starts).alias("w"))
     pre = w.withColumn("qk", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda n: F.left("w", n)))).drop("w").dropDuplicates(["key", "qk"])
-    q, pre = split_hot(q, pre, ["qk"])
-    hits = q.join(pre, ["qk", "_salt"]).drop("_salt")
-    return newest_n(hits, ["query_id"], [F.desc("segments"), F.asc("key")], k, "rank").drop("qk")
+    return newest_n(pre, ["qk"], [F.desc("segments"), F.asc("key")], k, "rank")
+
+
+def suggest_streets(queries: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Streets whose name, or a word of it, starts like the query; most segments first. `prefixes`: see `prefix_index`; a query
+    meets only the rows of its answer."""
+    q = queries.filter(F.length(F.trim("query")) >= 2).withColumn("qk", phonetic_key(F.trim("query"))).filter(F.col("qk") != "")
+    q, pre = split_hot(q, prefixes, ["qk"])
+    return q.join(pre, ["qk", "_salt"]).drop("_salt", "qk")
 
 
 # --- projection ------------------------------------------------------------------
@@ -312,15 +318,32 @@ def stale_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.withColumns({"stale": dead, "status": F.when(dead, "failed").otherwise(F.col("status"))})
 
 
-def redact(c: Column) -> Column:
-    """A flat string map without secret keys, at most 40 entries of at most 400 characters."""
-    clean = F.map_filter(c, lambda k, v: ~k.rlike("(?i)token|secret|password|authorization|apikey"))
-    first = F.map_from_entries(F.slice(F.map_entries(clean), 1, 40))
-    return F.transform_values(first, lambda k, v: F.when(F.length(v) > 400, F.concat(F.left(v, F.lit(399)), F.lit("…"))).otherwise(v))
-
-
-def redact_audit(audit: DataFrame, columns: list[str] = ["previous", "next"]) -> DataFrame:
-    return audit.withColumns({c: redact(F.col(c)) for c in columns})
+SECRET = "(?i)token|secret|password|authorization|apikey"
+
+
+def redact(c: Column, kind: T.DataType, depth: int = 0) -> Column:
+    """A value of any type without what stands under secret names, at every level: at most 40 fields or entries, 30 elements,
+    400 characters; what lies deeper than four levels is cut off."""
+    if depth > 4:
+        return F.when(c.isNotNull(), F.lit("[truncated]"))
+    if isinstance(kind, T.StringType):
+        return F.when(F.length(c) > 400, F.concat(F.left(c, F.lit(399)), F.lit("…"))).otherwise(c)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.slice(c, 1, 30), lambda v: redact(v, kind.elementType, depth + 1))
+    if isinstance(kind, T.MapType):
+        clean = F.map_filter(c, lambda k, v: ~k.cast("string").rlike(SECRET))
+        first = F.map_from_entries(F.slice(F.map_entries(clean), 1, 40))
+        return F.transform_values(first, lambda k, v: redact(v, kind.valueType, depth + 1))
+    if isinstance(kind, T.StructType):
+        fields = [f for f in kind.fields if not re.search(SECRET, f.name)][:40]
+        return F.when(c.isNotNull(), F.struct(*[redact(c[f.name], f.dataType, depth + 1).alias(f.name) for f in fields]) if fields else F.lit(None))
+    return c.cast("string")
+
+
+def redact_audit(audit: DataFrame, columns: tuple[str, ...] = ("previous", "next")) -> DataFrame:
+    return audit.withColumns({c: redact(F.col(c), audit.schema[c].dataType) for c in columns})
 
 
 def audit_rows(before: DataFrame, after: DataFrame, key: str, columns: list[str], actor: str) -> DataFrame:

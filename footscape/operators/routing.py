@@ -126,12 +126,12 @@ def least_cost_paths(searches: DataFrame, edges: DataFrame, nodes: DataFrame, ex
         s = s.join(comp.select(F.col("node").alias("_a"), F.col("component").alias("_ca")), "_a", "left").join(
             comp.select(F.col("node").alias("_z"), F.col("component").alias("_cz")), "_z", "left")
         s = stored(s.withColumn("_open", (F.col("start") == F.col("goal")) | F.coalesce(F.col("_ca") == F.col("_cz"), F.lit(False))).drop("_a", "_z", "_ca", "_cz"))
-    meta = s.filter("_open").select("search_id", "graph", "goal", "without", "rate", "goal_lng", "goal_lat")
+    own = ["graph", "goal", "without", "rate", "goal_lng", "goal_lat"]  # of the search, carried by its frontier
     label = "struct<cost:double,len:double,edges:int,leg:string>"
     start = F.struct(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit("")).cast(label).alias("b")
-    frontier = stored(s.filter("_open").select("search_id", F.col("start").alias("node"), start, F.lit(None).cast("string").alias("prev"), (F.col("start") == F.col("goal")).alias("arrived")))
-    settled, e = [frontier], e.drop("rate")
-    cols = ["search_id", *[c for c in meta.columns if c != "search_id"], "bound"]
+    frontier = stored(s.filter("_open").select("search_id", F.col("start").alias("node"), start, F.lit(None).cast("string").alias("prev"), (F.col("start") == F.col("goal")).alias("arrived"), *own))
+    settled, e = [frontier.drop(*own)], e.drop("rate")
+    cols = ["search_id", *own, "bound"]
 
     def moved(labels: DataFrame) -> DataFrame:
         """Labels one edge on, of those that haven't arrived and that the cheapest arrival so far doesn't beat."""
@@ -149,21 +149,21 @@ def least_cost_paths(searches: DataFrame, edges: DataFrame, nodes: DataFrame, ex
         known = functools.reduce(DataFrame.unionByName, settled)
         # the cheapest arrival so far bounds every other label of the search
         best = known.filter("arrived").groupBy("search_id").agg(F.min("b.cost").alias("bound"))
-        live = frontier.join(meta, "search_id").join(best, "search_id", "left").select(*cols, "node", "prev", "b").filter(F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound")))
+        live = frontier.join(best, "search_id", "left").select(*cols, "node", "prev", "b").filter(F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound")))
         steps = [moved(live)]
         for _ in range(EDGES_A_ROUND - 1):
             steps.append(moved(steps[-1]))
         step = functools.reduce(DataFrame.unionByName, steps)
-        new = stored(step.groupBy("search_id", "node").agg(F.min(F.struct("b", "prev")).alias("m"), F.first("goal").alias("goal")).select(
-            "search_id", "node", "m.b", "m.prev", (F.col("node") == F.col("goal")).alias("arrived")))
+        new = stored(step.groupBy("search_id", "node").agg(F.min(F.struct("b", "prev")).alias("m"), F.first(F.struct(*own)).alias("s")).select(
+            "search_id", "node", "m.b", "m.prev", (F.col("node") == F.col("s.goal")).alias("arrived"), "s.*"))
         old = known.select("search_id", "node", F.col("b").alias("old"))
         beaten = old.join(new.select("search_id", "node", "b"), ["search_id", "node"]).filter(F.col("old") <= F.col("b")).select("search_id", "node").distinct()
         frontier = stored(new.join(beaten, ["search_id", "node"], "left_anti"))
-        settled.append(frontier)
+        settled.append(frontier.drop(*own))
         if len(settled) > GENERATIONS:
             settled = [stored(_least(settled))]
     labels = stored(_least(settled))
-    arrived = labels.join(meta.select("search_id", F.col("goal").alias("node")), ["search_id", "node"])
+    arrived = labels.filter("arrived")
     paths = reconstruct_paths(arrived, labels)
     return s.join(paths, "search_id", "left").select(
         "search_id", F.col("legs").isNotNull().alias("found"), "cost", "length_m", "legs",

@@ -52,6 +52,19 @@ def prioritise(assessments: DataFrame, pois: DataFrame, stored: DataFrame | None
     return M.issue_carry_over(scored, stored)
 
 
+def patch_issues(issues: DataFrame, patches: DataFrame, assessments: DataFrame, pois: DataFrame, detours: DataFrame, params: P.Params = P.DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(patched issues, rejected patches): workflow changes of `apply_issue_patches`, and the score, breakdown and band of every issue
+    whose boost changed, computed again from its assessment. Only the segments of such issues are scored."""
+    out, rejected = M.apply_issue_patches(issues, patches)
+    boosted = out.filter("boost_changed").select("segment_id", "issue_id", "manual_boost")
+    worthy = assessments.join(boosted.select("segment_id"), "segment_id", "left_semi")
+    again = prioritise(worthy, pois, boosted.select("issue_id", "segment_id", "manual_boost", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("assigned_department")), detours, params)
+    fresh = again.select("issue_id", *[F.col(c).alias(f"_{c}") for c in ("priority_score", "priority_band", "breakdown")])
+    j = out.join(fresh, "issue_id", "left")
+    j = j.withColumns({c: F.when(F.col("boost_changed"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("priority_score", "priority_band", "breakdown")})
+    return j.drop("_priority_score", "_priority_band", "_breakdown"), rejected
+
+
 def refresh_freshness(assessments: DataFrame, now: Column, params: P.Params = P.DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(re-dated assessments with `state_moved`, regions that need a new assessment)."""
     old = assessments.withColumn("_before", F.col("freshness_state"))
@@ -64,8 +77,3 @@ def clear_override(segments: DataFrame, ids: DataFrame) -> DataFrame:
     listed = ids.select("segment_id").distinct().withColumn("_clear", F.lit(True))
     j = segments.join(listed, "segment_id", "left")
     return j.withColumn("manual", F.when(F.col("_clear").isNull(), F.col("manual"))).drop("_clear")
-
-
-def rank_queue(issues: DataFrame) -> DataFrame:
-    """Issues of all regions in working order."""
-    return issues.orderBy(F.desc("priority_score"), "issue_id")

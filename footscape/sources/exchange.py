@@ -9,6 +9,7 @@ from footscape import schemas as SC
 from footscape.functions.geo import point
 from footscape.functions.numbers import half_up
 from footscape.operators.ways import tag
+from footscape.session import stored
 
 # --- fixed values: public-service classes, first match wins ------------------
 POI_RULES = [
@@ -129,23 +130,51 @@ def unpack_geometry(df: DataFrame, column: str = "geometry") -> DataFrame:
 
 
 # --- writers ------------------------------------------------------------------------
-def write_upsert(df: DataFrame, path: str, keys: list[str], partition: str = "region_id") -> None:
-    """Idempotent keyed write to a Parquet table: same ids replace, none are duplicated.
+#: Parts of the index of keys beside a keyed table.
+KEY_BUCKETS = 64
 
-    Only the partitions that the new rows touch are read and replaced.  The merged
-    rows are checkpointed first, since a table cannot be read and replaced in one job.
+
+def _winners(df: DataFrame, keys: list[str], newest: str | None) -> DataFrame:
+    """One row a key: that with the largest `newest`, and of equal ones that with the largest digest, so that a repeat gives the same."""
+    row = F.struct(*df.columns)
+    order = F.struct(*([F.col(newest)] if newest else []), F.xxhash64(*df.columns))
+    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, order).alias("_row")).select("_row.*")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_upsert(df: DataFrame, path: str, keys: list[str], partition: str = "region_id", newest: str | None = None) -> None:
+    """Idempotent keyed write to a Parquet table: same ids replace, none are duplicated, also where an id moves to another partition.
+
+    An index beside the table (`_keys`, in KEY_BUCKETS parts by digest of the key) knows each key's partition. Only parts of
+    it that the new rows touch are read, and only partitions that have one of their keys or get one are read and
+    replaced; one that is left without rows is removed. Merged rows are stored first, since a
+    table cannot be read and replaced in one job; a write that is repeated after a failure gives the same table.
     """
     spark = df.sparkSession
-    new = df.dropDuplicates(keys)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    if exists:
-        touched = F.broadcast(new.select(partition).distinct())  # one row per region
-        old = spark.read.parquet(path).join(touched, partition, "left_semi").join(new.select(*keys), keys, "left_anti")
-        new = old.unionByName(new, allowMissingColumns=True)
-    from footscape.session import cut
-
-    cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    new = stored(_winners(df, keys, newest))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+    own = new.select(*keys, F.col(partition).alias("_part"), bucket)
+    index = f"{path}/_keys"
+    merged, places = new, own
+    if _there(spark, path):
+        known = spark.read.parquet(index) if _there(spark, index) else spark.read.parquet(path).select(*keys, F.col(partition).alias("_part"), bucket)
+        known = known.join(own.select("bucket").distinct(), "bucket", "left_semi")
+        moved = known.join(new.select(*keys), keys, "left_semi").select("_part")
+        touched = stored(moved.unionByName(own.select("_part")).distinct())
+        table = spark.read.parquet(path)
+        old = table.join(touched, table[partition].eqNullSafe(touched["_part"]), "left_semi").join(new.select(*keys), keys, "left_anti")
+        merged = stored(old.unionByName(new, allowMissingColumns=True))
+        places = stored(known.join(new.select(*keys), keys, "left_anti").select(*own.columns).unionByName(own))
+        empty = touched.join(merged.select(F.col(partition).alias("_part")).distinct(), "_part", "left_anti").filter("_part IS NOT NULL")
+        for r in empty.collect():  # partitions of the table, one row each
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={r['_part']}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    places.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(index)
 
 
 def csv_field(c: Column) -> Column:

@@ -126,8 +126,6 @@ oracle("budget_admission", ["tasks"], """SELECT segment_id, position, position <
   SELECT segment_id, row_number() OVER (ORDER BY distance_m, segment_id) AS position FROM tasks)""")
 oracle("retired_frames", ["found"], """SELECT segment_id, CASE WHEN status <> 'selected' THEN 0 WHEN length(segment_id) % 2 = 0 THEN len(frames) ELSE 1 END AS analysed,
   CASE WHEN status = 'selected' AND length(segment_id) % 2 = 0 THEN len(frames) - 1 ELSE 0 END AS skipped FROM found""")
-oracle("analysis_estimate", ["tasks"], """SELECT region_id, count(*) AS segments, CAST(sum(len(frames)) AS BIGINT) AS frames, least(count(*), 200) AS expected_calls,
-  CAST(least(sum(len(frames)), 200) AS BIGINT) AS max_calls FROM tasks GROUP BY 1""")
 oracle("discovery_summary", ["found"], f"""SELECT region_id, count(*) AS searched, count(*) FILTER (status = 'selected') AS with_imagery, count(*) FILTER (status = 'not_needed') AS settled,
   0 AS outside, CAST(sum(len(frames)) AS BIGINT) AS frames_selected, {half_up("count(*) FILTER (status = 'selected') / count(*)", 3)} AS coverage_ratio FROM found GROUP BY 1""")
 oracle("failure_runs", ["calls"], """SELECT job_id, max(n) AS longest_run, coalesce(max(n) FILTER (NOT any_ok), 0) >= 5 AS tripped FROM (SELECT job_id, island, bool_or(had_ok) AS any_ok, count(*) FILTER (outcome = 'failed') AS n FROM (
@@ -137,6 +135,9 @@ oracle("failure_runs", ["calls"], """SELECT job_id, max(n) AS longest_run, coale
 fragment("usage", ["calls"], """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (outcome <> 'cached') AS calls, count(*) FILTER (outcome = 'cached') AS cached,
   count(*) FILTER (outcome = 'failed') AS failed, greatest(0, 3000 - count(*) FILTER (outcome <> 'cached')) AS remaining FROM calls GROUP BY 1""")
 oracle("daily_usage", ["usage"], "SELECT * FROM usage")
+oracle("analysis_estimate", ["tasks", "usage"], """SELECT region_id, count(*) AS segments, CAST(sum(len(frames)) AS BIGINT) AS frames, least(count(*), 200, any_value(room)) AS expected_calls,
+  CAST(least(sum(len(frames)), 200, any_value(room)) AS BIGINT) AS max_calls FROM tasks, (SELECT arg_max(remaining, day) AS room FROM usage) GROUP BY 1""")
+oracle("usage_left", ["usage"], "SELECT day, calls, cached, failed, calls + day(CAST(day AS DATE)) % 3 AS reserved, greatest(0, 3000 - calls - day(CAST(day AS DATE)) % 3) AS remaining FROM usage")
 oracle("usage_week", ["usage"], "SELECT * FROM usage ORDER BY day DESC LIMIT 7")
 oracle("leaked_reservations", ["usage"], "SELECT day, calls + day(CAST(day AS DATE)) % 3 AS reserved, day(CAST(day AS DATE)) % 3 AS leaked FROM usage")
 fragment("ftasks", ["images"], "SELECT image_id AS source_id, 'w' || split_part(image_id, '-', 4) || 'E' AS segment_id FROM images")
@@ -238,6 +239,19 @@ fragment("comp", ["links"], """SELECT DISTINCT a, a FROM links UNION (SELECT l.b
 oracle("components", ["comp"], "SELECT node, component FROM comp")
 oracle("connectivity", ["comp"], f"""SELECT count(*) AS components, max(n) AS largest, CAST(sum(n) AS BIGINT) AS nodes, count(*) FILTER (n < 4) AS isolated,
   {half_up('max(n) / sum(n)', 3)} AS largest_share FROM (SELECT component, count(*) AS n FROM comp GROUP BY 1)""")
+fragment("alllinks", ["seg"], """SELECT CAST(substr(from_node, 2) AS BIGINT) AS a, CAST(substr(to_node, 2) AS BIGINT) AS b FROM seg
+  UNION ALL SELECT CAST(substr(to_node, 2) AS BIGINT), CAST(substr(from_node, 2) AS BIGINT) FROM seg""")
+HEADS["allcomp"] = "allcomp(node, component) USING KEY (node)"
+fragment("allcomp", ["alllinks"], """SELECT DISTINCT a, a FROM alllinks UNION (SELECT l.b, min(c.component) FROM allcomp c JOIN alllinks l ON l.a = c.node
+  JOIN recurring.allcomp r ON r.node = l.b WHERE c.component < r.component GROUP BY 1)""")
+oracle("network_components", ["allcomp"], "SELECT node, component FROM allcomp")
+# a bridge's two ends are apart when the walk leaves it out: each footpath is tried
+fragment("footpath", ["seg"], "SELECT segment_id, from_node AS a, to_node AS b FROM seg WHERE kind IN ('footway', 'sidewalk', 'crossing')")
+fragment("footlink", ["footpath"], "SELECT segment_id, a, b FROM footpath UNION ALL SELECT segment_id, b, a FROM footpath")
+HEADS["without"] = "without(edge_id, node, goal) USING KEY (edge_id, node)"
+fragment("without", ["footpath", "footlink"], """SELECT segment_id, a, b FROM footpath UNION (SELECT DISTINCT w.edge_id, l.b, w.goal FROM without w JOIN footlink l ON l.a = w.node AND l.segment_id <> w.edge_id
+  LEFT JOIN recurring.without r ON r.edge_id = w.edge_id AND r.node = l.b LEFT JOIN recurring.without g ON g.edge_id = w.edge_id AND g.node = w.goal WHERE r.node IS NULL AND g.node IS NULL)""")
+oracle("bridges", ["footpath", "without"], "SELECT segment_id AS edge_id FROM footpath f LEFT JOIN without w ON w.edge_id = f.segment_id AND w.node = f.b WHERE w.node IS NULL")
 oracle("graph_nodes", ["seg"], f"SELECT DISTINCT node, {half_up('lng', 6)} AS lng, {half_up('lat', 6)} AS lat FROM (SELECT from_node AS node, lng1 AS lng, lat1 AS lat FROM seg UNION ALL SELECT to_node, lng2, lat2 FROM seg)")
 oracle("stale_segments", ["seg"], "SELECT segment_id FROM seg WHERE k % 7 = 0")
 oracle("import_diff", ["seg"], """SELECT change, count(*) AS n FROM (SELECT CASE WHEN k % 7 = 0 THEN 'removed' ELSE 'kept' END AS change FROM seg UNION ALL SELECT 'added' FROM seg WHERE k % 11 = 0) GROUP BY 1""")

@@ -177,6 +177,12 @@ oracle("top_barriers", ["queue"], "SELECT issue_id, priority_score, barriers <>
 oracle("open_critical_issues", ["queue"], "SELECT issue_id, priority_score FROM queue WHERE workflow_status = 'new' AND priority_band = 'high' ORDER BY priority_score DESC, issue_id LIMIT 50")
 oracle("patched_issues", ["stored"], """SELECT issue_id, CASE WHEN ok AND k % 3 = 0 THEN 'assigned' ELSE old_status END AS workflow_status, CASE WHEN ok AND k % 2 = 0 THEN 'parks' ELSE dept END AS assigned_department,
   CASE WHEN ok AND k % 7 = 0 THEN (k % 3) / 2e0 ELSE old_boost END AS manual_boost, ok AND k % 7 = 0 AS boost_changed FROM (SELECT *, k % 3 <> 1 AS ok FROM (SELECT *, CAST(substr(segment_id, 2, length(segment_id) - 2) AS BIGINT) AS k FROM stored))""")
+fragment("boosts", ["stored"], "SELECT *, CASE WHEN ch THEN (k % 3) / 2e0 ELSE old_boost END AS new_boost FROM (SELECT *, k % 3 <> 1 AND k % 7 = 0 AS ch FROM (SELECT *, CAST(substr(segment_id, 2, length(segment_id) - 2) AS BIGINT) AS k FROM stored))")
+scored("prio3", ["worthy", "poisum", "boosts", "detour"], "ratio", "coalesce(new_boost, 0e0)", "LEFT JOIN boosts USING (segment_id) LEFT JOIN detour USING (segment_id)")
+oracle("boosted_issues", ["queue", "prio3", "boosts"], f"""SELECT q.issue_id, coalesce(ch, false) AS boost_changed, coalesce(new_boost, 0e0) AS manual_boost,
+  CASE WHEN ch THEN coalesce(n.priority_score, 0) ELSE q.priority_score END AS priority_score, CASE WHEN ch THEN coalesce(n.priority_band, 'low') ELSE q.priority_band END AS priority_band,
+  CASE WHEN ch THEN CASE WHEN n.segment_id IS NULL THEN 0e0 ELSE {half_up('new_boost * 15e0', 1)} END END AS boost_points
+  FROM queue q LEFT JOIN boosts b ON b.segment_id = q.segment_id LEFT JOIN prio3 n ON n.segment_id = q.segment_id""")
 oracle("issue_export", ["queue"], """SELECT segment_id, priority_score || '|' || priority_band || '|' || segment_id || '|' || coalesce(CAST(ratio AS VARCHAR), 'none found') || '|' || workflow_status || '|' || coalesce(assigned_department, '') AS line
   FROM queue WHERE priority_score > 0 ORDER BY priority_score DESC, segment_id""")
 
@@ -186,7 +192,8 @@ CLS = {"assessed": "status <> 'unverified'", "unknown": "status = 'unverified'",
 fragment("cov", ["assess"], f"""SELECT coalesce(region_id, 'all') AS region_id, count(*) AS segments, {half_up('sum(length_m)')} AS total_m,
   {', '.join(f"{half_up(f'coalesce(sum(length_m) FILTER ({c}), 0e0)')} AS {n}_m, count(*) FILTER ({c}) AS {n}_segments, {half_up(f'coalesce(sum(length_m) FILTER ({c}), 0e0) / sum(length_m) * 100', 1)} AS {n}_pct" for n, c in CLS.items())},
   count(*) FILTER (has_manual AND m_result = 'needs_inspection') AS needs_inspection FROM (SELECT *, has_manual AS man, n_map > 0 AS img FROM assess) GROUP BY ROLLUP (region_id)""")
-oracle("coverage_by_region", ["cov"], "SELECT * FROM cov")
+oracle("coverage_by_region", ["cov", "found"], """SELECT cov.*, with_imagery FROM cov JOIN (
+  SELECT coalesce(region_id, 'all') AS region_id, count(*) FILTER (len(frames) > 0) AS with_imagery FROM found GROUP BY ROLLUP (region_id)) USING (region_id)""")
 _rows = [("Total pedestrian network", "total_m", "100e0"), ("Assessed", "assessed_m", "assessed_pct"), ("Unknown (insufficient evidence)", "unknown_m", "unknown_pct"),
          ("Manually verified", "manually_verified_m", "manually_verified_pct"), ("Assessed from imagery", "image_assessed_m", "image_assessed_pct"), ("Map tags only", "tags_only_m", "tags_only_pct"),
          ("Stale evidence", "stale_m", "stale_pct"), ("Classified accessible", "accessible_m", "accessible_pct"), ("Classified partial", "partial_m", "partial_pct"), ("Classified inaccessible", "inaccessible_m", "inaccessible_pct")]
@@ -248,6 +255,8 @@ fragment("sjobs", ["jobs"], "SELECT *, status IN ('queued', 'running') AND coale
 oracle("stale_jobs", ["sjobs"], "SELECT job_id, CASE WHEN stale THEN 'failed' ELSE status END AS status, stale FROM sjobs")
 oracle("job_outcomes", ["jobs"], "SELECT CASE WHEN ec > 0 AND sc = 0 THEN 'failed' WHEN ec > 0 THEN 'partial' ELSE 'completed' END AS outcome, count(*) AS n FROM jobs GROUP BY 1")
 oracle("audit_changes", ["sjobs"], "SELECT job_id, CASE WHEN job_id % 10 > 0 THEN status END AS before, CASE WHEN job_id % 10 < 9 THEN CASE WHEN stale THEN 'failed' ELSE status END END AS after, CASE WHEN job_id % 10 < 9 THEN false END AS leaks FROM sjobs")
+oracle("audit_redaction", [], """SELECT o_orderkey AS job_id, CASE WHEN length(note) > 400 THEN left(note, 399) || '…' ELSE note END AS note, 30 AS attempts, 'no' AS keys, CAST(o_orderkey + 1 AS VARCHAR) AS first_no,
+  '{"status":"done"}' AS next FROM (SELECT o_orderkey, repeat('order ' || o_orderkey, CAST(o_orderkey % 60 + 1 AS INT)) AS note FROM orders)""")
 oracle("saved_places", [], """SELECT user_id, place_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, place_id) AS rn FROM (
   SELECT user_id, event_id % 400 AS place_id, max(ts) AS seen FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2)) WHERE rn <= 10""")
 oracle("segment_details", ["assess", "elog"], """SELECT segment_id, a.status AS assessed_status, CAST(least(12, observation_count) AS INT) AS observations, CAST(CASE WHEN n IS NULL THEN 0 ELSE least(10, n) END AS INT) AS events, latest
