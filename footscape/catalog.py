@@ -15,6 +15,7 @@ from footscape.operators import scoring as S
 from footscape.operators import tag_evidence as T
 from footscape.operators import ways as W
 from footscape.plans import assess as A
+from footscape.plans import incremental as IN
 from footscape.sources import driver_tables as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,12 +215,38 @@ def visual_evidence(spark, sf):
 # --- assessment --------------------------------------------------------------
 @query
 def assess_status(spark, sf):
-    return assessed(spark, sf).select(
+    return status_columns(assessed(spark, sf))
+
+
+def status_columns(assessments: DataFrame) -> DataFrame:
+    return assessments.select(
         "segment_id", "region_id", "status", "reason", "accessibility_score", "evidence_confidence", "freshness_state",
         "evidence_age_days", joined("barriers").alias("barriers"), joined("positive_features").alias("positives"),
         F.array_join("sources", ",").alias("sources"), "observation_count", "informative_count")
 
 
+@query
+def reassessed_observations(spark, sf):
+    """Every ninth observation comes later: what it touches is assessed again, and all is as if it had been there."""
+    obs, segments, reports, now = D.observations(spark, sf), D.segments(spark, sf), D.reports(spark, sf), D.now_observations()
+    late = F.crc32("observation_id") % 9 == 0
+    before = A.assess(segments, obs.filter(~late), reports, now)
+    return status_columns(IN.replaced(before, IN.observation_batch(obs.filter(late), segments, obs, reports, now)))
+
+
+@query
+def reassessed_verifications(spark, sf):
+    """Verifications come after an assessment without them; the segments they touch are assessed again."""
+    obs, segments, reports, now = D.observations(spark, sf), D.segments(spark, sf), D.reports(spark, sf), D.now_observations()
+    kind = segments.schema["manual"].dataType.simpleString()
+    bare = segments.withColumn("manual", F.lit(None).cast(kind))
+    before = A.assess(bare, obs, reports, now)
+    events = segments.filter("manual IS NOT NULL").select("segment_id", "manual.result", "manual.status", F.lit("seen on the spot").alias("notes"), "manual.at")
+    seen = segments.select("segment_id", F.coalesce("manual.status", F.lit("unverified")).alias("status"))  # what a confirmation confirmed
+    _, fresh = IN.verification_batch(events, bare, obs, reports, seen, now)
+    return status_columns(IN.replaced(before, fresh))
+
+
 @query
 def score_breakdown(spark, sf):
     return assessed(spark, sf).filter("accessibility_score is not null").select(

@@ -185,7 +185,7 @@ def validation_metrics(labels: DataFrame) -> DataFrame:
     return m.withColumns({
         "declined": F.col("samples") - F.col("classified"), "sufficient": F.col("classified") >= 30,
         "agreement": F.when(F.col("classified") > 0, half_up(F.col("agreed") / F.col("classified"), 3)),
-        "caveat": F.when(F.col("classified") < 30, "sample too small for a reliable figure")})
+        "caveat": F.when(F.col("classified") < 30, "sample_below_30")})
 
 
 def confusion_matrix(labels: DataFrame) -> DataFrame:

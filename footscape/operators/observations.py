@@ -325,23 +325,23 @@ def derive_visual_evidence(votes: DataFrame) -> DataFrame:
 
     damaged = eq(ramp, "yes") & eq(ramp_cond, "damaged")
     barriers = [
-        item(eq(seen, "no"), "no_pedestrian_path", scale(seen), "no pedestrian path visible"),
-        item(eq(cond, "blocked"), "blocking_obstacle", scale(cond), "path observed blocked"),
-        item(eq(cond, "restricted"), "restricted_passage", scale(cond), "path observed restricted"),
-        item(eq(ramp, "no"), "missing_curb_ramp", scale(ramp), "kerb without a ramp"),
-        item(damaged, "missing_curb_ramp", scale(ramp_cond) * F.lit(0.6), "kerb ramp damaged"),
-        item(eq(stairs, "yes"), "steps", scale(stairs), "steps observed"),
-        item(eq(scond, "damaged"), "damaged_surface", scale(scond), "damaged surface observed"),
-        item(eq(scond, "uneven"), "uneven_surface", scale(scond), "uneven surface observed"),
+        item(eq(seen, "no"), "no_pedestrian_path", scale(seen), "path:none"),
+        item(eq(cond, "blocked"), "blocking_obstacle", scale(cond), "path:blocked"),
+        item(eq(cond, "restricted"), "restricted_passage", scale(cond), "path:restricted"),
+        item(eq(ramp, "no"), "missing_curb_ramp", scale(ramp), "ramp:none"),
+        item(damaged, "missing_curb_ramp", scale(ramp_cond) * F.lit(0.6), "ramp:damaged"),
+        item(eq(stairs, "yes"), "steps", scale(stairs), "steps:present"),
+        item(eq(scond, "damaged"), "damaged_surface", scale(scond), "surface:damaged"),
+        item(eq(scond, "uneven"), "uneven_surface", scale(scond), "surface:uneven"),
         item(eq(stype, "gravel") | eq(stype, "dirt"), "unsuitable_surface", scale(stype),
-             F.concat(F.lit("surface observed as "), stype["value"])),
+             F.concat(F.lit("surface:"), stype["value"])),
         item(eq(sev, "blocking"), "blocking_obstacle", scale(sev),
-             F.coalesce("obstacle_text", F.lit("blocking obstacle observed"))),
+             F.coalesce("obstacle_text", F.lit("obstacle:blocking"))),
         item(eq(sev, "moderate"), "restricted_passage", scale(sev),
-             F.coalesce("obstacle_text", F.lit("obstacle narrowing the passage"))),
-        item(eq(passage, "blocked") & ~eq(sev, "blocking"), "blocking_obstacle", scale(passage), "passage observed blocked"),
+             F.coalesce("obstacle_text", F.lit("obstacle:moderate"))),
+        item(eq(passage, "blocked") & ~eq(sev, "blocking"), "blocking_obstacle", scale(passage), "passage:blocked"),
         item(eq(passage, "restricted") & ~eq(sev, "moderate") & ~eq(sev, "blocking"), "restricted_passage",
-             scale(passage), "passage observed restricted"),
+             scale(passage), "passage:restricted"),
     ]
     feature_weight = (F.when(F.col("informative_count") == 0, F.lit(0.0))
                       .when(F.col("informative_count") == 1, F.lit(P.SINGLE_OBSERVATION_WEIGHT)).otherwise(F.lit(1.0)))
@@ -350,13 +350,13 @@ def derive_visual_evidence(votes: DataFrame) -> DataFrame:
     # The combined crossing item looks at the marked-crossing support only for its
     # label; its weight is the same as for the other features.
     positives = [
-        item(eq(cond, "clear") & eq(seen, "yes"), "clear_path", scale(cond), "clear path observed"),
-        item(eq(ramp, "yes") & ~damaged, "curb_ramp", scale(ramp), "kerb ramp observed"),
+        item(eq(cond, "clear") & eq(seen, "yes"), "clear_path", scale(cond), "path:clear"),
+        item(eq(ramp, "yes") & ~damaged, "curb_ramp", scale(ramp), "ramp:present"),
         item(eq(scond, "good") & (eq(stype, "paved") | eq(stype, "paving_stones")), "good_paved_surface",
-             scale(scond), "good paved surface observed"),
-        item(F.col("f__tactile_paving") > 0, "tactile_paving", feature_weight, "tactile paving at the crossing"),
-        item(F.col("f__dropped_kerb") > 0, "curb_ramp", feature_weight, "dropped kerb at the crossing"),
-        item(infrastructure, "accessible_crossing", feature_weight, "crossing infrastructure observed"),
+             scale(scond), "surface:good_paved"),
+        item(F.col("f__tactile_paving") > 0, "tactile_paving", feature_weight, "crossing:tactile_paving"),
+        item(F.col("f__dropped_kerb") > 0, "curb_ramp", feature_weight, "crossing:dropped_kerb"),
+        item(infrastructure, "accessible_crossing", feature_weight, "crossing:infrastructure"),
     ]
     return votes.withColumns({
         "visual_barriers": gather(barriers, EVIDENCE),

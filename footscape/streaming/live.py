@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from footscape import params as P
-from footscape.operators import municipal as M
 from footscape.operators import reports as R
-from footscape.plans.assess import assess
-from footscape.session import cut
+from footscape.plans import incremental as IN
+from footscape.session import cut, stored
 from footscape.sources.exchange import write_upsert
 
 
@@ -43,8 +42,8 @@ def stream_reports(reports: DataFrame, edges: DataFrame, table: str, duplicates:
         matched = R.match_reports(good.drop("segment_id"), edges).withColumn("segment_id", F.col("matched_segment")).drop("matched_segment")
         matched = cut(matched)
         write_upsert(matched, table, ["report_id"])
-        stored = R.filter_open_reports(_table(spark, table), now())
-        pairs = R.duplicate_pairs(matched, stored)
+        open_ = R.filter_open_reports(_table(spark, table), now())
+        pairs = R.duplicate_pairs(matched, open_)
         pairs.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{duplicates}/batch={batch_id}")
 
     return reports.withWatermark("created_at", "45 days").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -55,51 +54,21 @@ def stream_observations(obs: DataFrame, segments: Callable[[SparkSession], DataF
     """New observations are stored and only the segments they touch are assessed again."""
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        new = cut(df)
+        new = stored(df)
         write_upsert(new, observations, ["observation_id"])
-        touched = new.select(F.explode("segment_ids").alias("segment_id")).distinct()
-        stored = _table(spark, observations)
-        some = segments(spark).join(touched, "segment_id", "left_semi")
-        near = stored.filter(F.col("status") == "active").withColumn("_s", F.explode("segment_ids"))
-        near = near.join(touched.withColumnRenamed("segment_id", "_s"), "_s", "left_semi").drop("_s").dropDuplicates(["observation_id"])
-        fresh = assess(some, near, reports(spark).join(touched, "segment_id", "left_semi"), now(), params)
+        fresh = IN.observation_batch(new, segments(spark), _table(spark, observations), reports(spark), now(), params)
         write_upsert(fresh.drop("explanation"), assessments, ["segment_id"])
 
     return obs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def apply_verifications(segments: DataFrame, assessments: DataFrame, events: DataFrame) -> DataFrame:
-    """Segments with the newest valid verification of each applied.
-
-    events: (segment_id, result, status, notes, at).  A confirmation takes the status
-    believed so far, a correction overrides it, an inspection request only flags the segment.
-    """
-    ok = M.valid_overrides(events).filter("error is null")
-    last = ok.groupBy("segment_id").agg(F.max_by(F.struct("result", "status", "notes", "at"), F.struct("at", "result")).alias("v"))
-    j = segments.join(last, "segment_id", "left").join(assessments.select("segment_id", F.col("status").alias("_believed")), "segment_id", "left")
-    v = F.col("v")
-    manual = F.struct(
-        v["result"].alias("result"), (v["result"] == "corrected").alias("override"),
-        F.when(v["result"] == "corrected", v["status"]).when(v["result"] == "confirmed", F.col("_believed")).alias("status"),
-        v["at"].alias("at"), F.left(F.coalesce(v["notes"], F.lit("")), F.lit(800)).alias("notes"))
-    return j.withColumns({
-        "manual": F.when(v.isNotNull(), manual).otherwise(F.col("manual")),
-        "needs_inspection": F.when(v.isNotNull(), v["result"] == "needs_inspection").otherwise(F.col("needs_inspection"))}).drop("v", "_believed")
-
-
 def stream_verifications(events: DataFrame, segments: str, observations: str, reports: str, assessments: str, checkpoint: str,
                          now: Callable[[], Column], after: Callable[[DataFrame], None] | None = None):
     """New verifications change the segment, its assessment and, through `after`, its priority."""
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        touched = cut(df.select("segment_id").distinct())
-        some = _table(spark, segments).join(touched, "segment_id", "left_semi")
-        changed = cut(apply_verifications(some, _table(spark, assessments), df))
+        changed, fresh = IN.verification_batch(df, _table(spark, segments), _table(spark, observations), _table(spark, reports), _table(spark, assessments), now())
         write_upsert(changed, segments, ["segment_id"])
-        obs = _table(spark, observations).withColumn("_s", F.explode("segment_ids")).join(
-            touched.withColumnRenamed("segment_id", "_s"), "_s", "left_semi").drop("_s").dropDuplicates(["observation_id"])
-        rep = _table(spark, reports).join(touched, "segment_id", "left_semi")
-        fresh = assess(changed, obs, rep, now())
         write_upsert(fresh.drop("explanation"), assessments, ["segment_id"])
         if after is not None:
             after(fresh)

@@ -28,11 +28,11 @@ oracle("tag_evidence", ["tagev"], f"SELECT segment_id, {half_up('info', 3)} AS i
        f"{TXT('known_tags')} AS known_tags FROM tagev")
 oracle("tag_evidence_items", ["tagev"], f"""SELECT side, id, count(*) AS n, {half_up('sum(w)', 3)} AS weight FROM (
   SELECT 'barrier' AS side, unnest(tag_b, recursive := true) FROM tagev UNION ALL SELECT 'positive', unnest(tag_p, recursive := true) FROM tagev) GROUP BY 1, 2""")
-NEED = """CASE WHEN t_highway = 'trunk' THEN 'highway=trunk carries no pedestrian access'
-  WHEN t_highway = 'service' AND t_service = 'driveway' THEN 'service=driveway is not a pedestrian way'
-  WHEN t_foot = 'no' OR t_access = 'private' THEN 'closed to pedestrians'
-  WHEN decisive AND len(hard_blocks) > 0 THEN 'hard block: ' || array_to_string(hard_blocks, ', ')
-  WHEN decisive THEN 'wheelchair=' || t_wheelchair END"""
+NEED = """CASE WHEN t_highway = 'trunk' THEN 'highway:trunk'
+  WHEN t_highway = 'service' AND t_service = 'driveway' THEN 'service:driveway'
+  WHEN t_foot = 'no' OR t_access = 'private' THEN 'access:closed'
+  WHEN decisive AND len(hard_blocks) > 0 THEN 'blocks:' || array_to_string(hard_blocks, ',')
+  WHEN decisive THEN 'wheelchair:' || t_wheelchair END"""
 oracle("visual_evidence_needed", ["tagev"], f"SELECT segment_id, {NEED} IS NULL AS needs_visual, {NEED} AS reason FROM tagev")
 
 # --- observations -----------------------------------------------------------
@@ -64,6 +64,10 @@ oracle("visual_evidence", ["visual"], f"SELECT segment_id, {_t('vis_b')} AS barr
 oracle("assess_status", ["assess"], """SELECT segment_id, region_id, status, reason, score AS accessibility_score, confidence AS evidence_confidence,
   freshness_state, age_days AS evidence_age_days, CASE WHEN has_evidence THEN barriers ELSE '' END AS barriers, positives, sources,
   observation_count, informative_count FROM assess""")
+for _name in ("reassessed_observations", "reassessed_verifications"):  # the same as assessing all at once
+    oracle(_name, ["assess"], """SELECT segment_id, region_id, status, reason, score AS accessibility_score, confidence AS evidence_confidence,
+      freshness_state, age_days AS evidence_age_days, CASE WHEN has_evidence THEN barriers ELSE '' END AS barriers, positives, sources,
+      observation_count, informative_count FROM assess""")
 oracle("score_breakdown", ["assess"], f"""SELECT segment_id, score AS accessibility_score, raw_score, total_penalty, total_bonus,
   least(total_bonus, 20e0) AS capped_bonus, CASE WHEN top0 < 100 THEN CAST({half_up('top0')} AS INT) END AS ceiling FROM assess WHERE score IS NOT NULL""")
 oracle("folded_evidence", ["folded"], f"SELECT segment_id, side, id, {half_up('f.w', 4)} AS weight, {TXT('f.s')} AS sources FROM folded")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from footscape.functions import geo as G
 from footscape.operators import routing as R
+from footscape.plans import incremental as IN
 from footscape.plans import routes as PR
 from footscape.streaming import live as L
 
@@ -98,7 +99,7 @@ def test_verifications_apply_newest(spark):
     t = datetime(2024, 1, 1)
     ev = spark.createDataFrame([("s1", "confirmed", None, "", t), ("s1", "corrected", "accessible", "ramp was built", t + timedelta(days=1)),
                                 ("s2", "corrected", "accessible", "no", t), ("s2", "confirmed", None, "", t)], "segment_id string, result string, status string, notes string, at timestamp")
-    out = {r.segment_id: r.manual for r in L.apply_verifications(seg, believed, ev).collect()}
+    out = {r.segment_id: r.manual for r in IN.apply_verifications(seg, believed, ev).collect()}
     assert out["s1"].override and out["s1"].status == "accessible" and out["s2"].result == "confirmed" and out["s2"].status == "partial"
 
 
