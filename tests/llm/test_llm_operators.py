@@ -368,7 +368,6 @@ def test_drop_copies_decides_by_row(spark, empty, share):
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = packing.pack_documents(docs.filter("doc_id is not null"), path, capacity=64, open_bins=4).collect()
     want = Counter()
     for k in [*range(len(TEXTS)), 3]:
