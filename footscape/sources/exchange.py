@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footscape import schemas as SC
@@ -258,9 +258,23 @@ def geojson_features(segments: DataFrame) -> DataFrame:
     return segments.filter(F.size("geometry") >= 2).select("region_id", "segment_id", F.to_json(feature).alias("feature"))
 
 
-def export_geojson(segments: DataFrame, path: str) -> None:
-    """Line-delimited features, one text file per partition, by region."""
-    geojson_features(segments).select("region_id", F.col("feature").alias("value")).write.mode("overwrite").partitionBy("region_id").text(path)
+def export_geojson(segments: DataFrame, path: str, collection: bool = False) -> None:
+    """Features by region, one text file per partition: a feature a line, or with `collection` a FeatureCollection a file.
+
+    Files of a collection are written by ranges of segment ids within a region; each is a document of its own, so no
+    task has to hold or wait for a whole region.
+    """
+    rows = geojson_features(segments)
+    if not collection:
+        rows.select("region_id", F.col("feature").alias("value")).write.mode("overwrite").partitionBy("region_id").text(path)
+        return
+    parted = stored(rows.repartitionByRange("region_id", "segment_id").sortWithinPartitions("region_id", "segment_id").withColumn("_part", F.spark_partition_id()))
+    place = Window.partitionBy("region_id", "_part")
+    lines = parted.withColumns({"_n": F.row_number().over(place.orderBy("segment_id")), "_c": F.count(F.lit(1)).over(place)})
+    head = F.when(F.col("_n") == 1, '{"type":"FeatureCollection","features":[').otherwise("")
+    lines = lines.withColumn("value", F.concat(head, "feature", F.when(F.col("_n") == F.col("_c"), "]}").otherwise(",")))
+    lines.repartition("region_id", "_part").sortWithinPartitions("region_id", "_part", "_n").select(
+        "region_id", "_part", "value").write.mode("overwrite").partitionBy("region_id", "_part").text(path)
 
 
 def bundle_features(segments: DataFrame) -> DataFrame:
@@ -272,7 +286,7 @@ def bundle_features(segments: DataFrame) -> DataFrame:
         F.coalesce("freshness_state", F.lit("none")).alias("freshness"), F.coalesce("barriers", none).alias("barriers"),
         F.coalesce("positive_features", none).alias("positives"), F.coalesce("sources", none).alias("sources"), "kind",
         F.col("street_name").alias("name"), F.col("street_name_el").alias("name_el"), half_up(F.coalesce("length_m", F.lit(0.0))).cast("int").alias("len"),
-        F.col("manually_verified").alias("verified"))
+        F.col("manually_verified").alias("verified"), (F.coalesce("image_count", F.lit(0)) if "image_count" in segments.columns else F.lit(0)).alias("images"))
 
 
 def bundle_metadata(segments: DataFrame, versions: DataFrame | None = None) -> DataFrame:
@@ -290,12 +304,12 @@ def bundle_metadata(segments: DataFrame, versions: DataFrame | None = None) -> D
 
 
 def publish_bundle(segments: DataFrame, path: str, versions: DataFrame | None = None) -> DataFrame:
-    """Write features by region and version, and return (and write) the new versions' metadata."""
-    from footscape.session import cut
-
-    meta = cut(bundle_metadata(segments, versions))
-    bundle_features(segments).join(meta.select("region_id", "version"), "region_id").write.mode("append").partitionBy("region_id", "version").parquet(f"{path}/features")
-    meta.write.mode("append").parquet(f"{path}/versions")
+    """Write features by region and version, and return (and write) the new versions' metadata. `versions` are those published
+    before; a publication that is repeated with the same ones replaces its own features and metadata."""
+    meta = stored(bundle_metadata(segments, versions))
+    put = lambda df, where: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region_id", "version").parquet(f"{path}/{where}")
+    put(bundle_features(segments).join(meta.select("region_id", "version"), "region_id"), "features")
+    put(meta, "versions")
     return meta
 
 

@@ -1,6 +1,8 @@
 """Components, bridges, welding, routes between points, keyed writes and redaction against brute force."""
 
+import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,25 @@ def test_prefix_index_keeps_six_rows_a_prefix(spark):
     assert pre.groupBy("qk").count().agg(F.max("count")).first()[0] == 6
     got = M.suggest_streets(spark.createDataFrame([(1, "str"), (2, "s"), (3, "zz")], "query_id int, query string"), pre).collect()
     assert [(r.query_id, r.key) for r in sorted(got, key=lambda r: r["rank"])] == [(1, f"street{k}") for k in range(29, 23, -1)]
+
+
+def published(spark):
+    kept = "array<string>"
+    more = {"way_id": F.lit(1), "positive_features": F.array().cast(kept), "sources": F.array(F.lit("osm")), "manually_verified": F.lit(False), "street_name_el": F.lit(None).cast("string"), "image_count": F.lit(2)}
+    return harbour(spark).withColumns(more)
+
+
+def test_feature_collections_are_whole_documents(spark, tmp_path):
+    X.export_geojson(published(spark), str(tmp_path / "g"), collection=True)
+    docs = [json.loads(p.read_text()) for p in Path(tmp_path / "g").rglob("part-*.txt")]
+    assert all(d["type"] == "FeatureCollection" for d in docs) and sorted(f["id"] for d in docs for f in d["features"]) == ["AB", "AC", "BD", "CD"]
+
+
+def test_a_repeated_publication_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "b")
+    for _ in range(2):
+        first = X.publish_bundle(published(spark), path)
+    assert [r.version for r in first.collect()] == [1] and spark.read.parquet(f"{path}/features").count() == 4
+    X.publish_bundle(published(spark), path, spark.read.parquet(f"{path}/versions"))
+    got = spark.read.parquet(f"{path}/features")
+    assert sorted(r.version for r in got.collect()) == [1] * 4 + [2] * 4 and got.first().images == 2
