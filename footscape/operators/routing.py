@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,8 +73,10 @@ def edge_cost(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return x.withColumn("cost", F.when(~F.col("forbidden"), total)).drop("_len")
 
 
-#: Tables of labels that are kept apart before they are put together, and edges that labels move on before they are compared.
-GENERATIONS, EDGES_A_ROUND = 12, 3
+#: Tables of labels that are kept apart before they are put together.
+GENERATIONS = 12
+#: Labels move on so many edges before they are compared that a round makes about so many of them, at three ways on a node; 3 edges at most, as longer ones make long plans.
+LABELS_A_ROUND, MOST_EDGES = 1_000_000, 3
 
 
 def _least(tables: list[DataFrame]) -> DataFrame:
@@ -91,7 +94,7 @@ def least_cost_paths(searches: DataFrame, edges: DataFrame, nodes: DataFrame, ex
     prefer_verified, cost), forbidden ones removed.  nodes: (node, lng, lat).  extra: an overlay of further edges of single
     searches (search_id, segment_id, reversed, src, dst, length_m, cost, span_m).  With `reachable` every goal is known to be.
 
-    Each round moves the frontier up to EDGES_A_ROUND edges on: along the shared edges of its graph and along the search's own overlay. Only
+    Each round moves the frontier some edges on (one where it is large, up to MOST_EDGES where it is small): along the shared edges of its graph and along the search's own overlay. Only
     the frontier is shuffled. Labels of earlier rounds stay where they were written; a new label that one of them, or
     a cheaper arrival, beats is dropped by a join that sends the new labels to them. A label counts at least
     its cost plus the straight distance to the goal at the cheapest cost per metre of its graph.
@@ -145,13 +148,14 @@ def least_cost_paths(searches: DataFrame, edges: DataFrame, nodes: DataFrame, ex
         return step.select(*cols, F.col("dst").alias("node"), F.col("node").alias("prev"),
                            F.struct(F.col("cost"), F.col("b")["len"] + F.col("length_m"), F.col("b")["edges"] + 1, F.col("leg")).cast(label).alias("b"))
 
-    while not frontier.isEmpty():
+    while count := frontier.count():
+        edges_on = max(1, min(MOST_EDGES, int(math.log(LABELS_A_ROUND / count, 3)))) if count < LABELS_A_ROUND else 1
         known = functools.reduce(DataFrame.unionByName, settled)
         # the cheapest arrival so far bounds every other label of the search
         best = known.filter("arrived").groupBy("search_id").agg(F.min("b.cost").alias("bound"))
         live = frontier.join(best, "search_id", "left").select(*cols, "node", "prev", "b").filter(F.col("bound").isNull() | (F.col("b")["cost"] <= F.col("bound")))
         steps = [moved(live)]
-        for _ in range(EDGES_A_ROUND - 1):
+        for _ in range(edges_on - 1):
             steps.append(moved(steps[-1]))
         step = functools.reduce(DataFrame.unionByName, steps)
         new = stored(step.groupBy("search_id", "node").agg(F.min(F.struct("b", "prev")).alias("m"), F.first(F.struct(*own)).alias("s")).select(
