@@ -17,7 +17,8 @@ from footscape.llm.bpe import batches
 from footscape.llm.common import stored
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 256, 1
-CACHE_WORDS = 1 << 20
+#: Words of one generation of the cache, of which there are two; characters of texts that are encoded at once, and rows read at once.
+CACHE_WORDS, ENCODED_CHARS, ROWS = 1 << 18, 1 << 20, 1024
 _MARKED = re.compile(r"[^\W\d_]+[.,;:!?%$&#*|]+")
 #: Pieces that are packed together in the second pass: one task takes the open bins of so many tasks.
 BINS_A_TASK = 1 << 14
@@ -70,7 +71,11 @@ class BestFit:
 
 
 class Words:
-    """Ids of words. No token reaches over a space, so each word is looked up once; what is known serves later batches."""
+    """Ids of words. No token reaches over a space, and a line's end counts as one, so each word is looked up once; what is known serves later batches.
+
+    Known words are of two generations: once the young one is full it becomes the old one, and only words that come
+    up again are taken over from there. So rare words go, frequent ones stay, and memory is bounded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -81,6 +86,7 @@ class Words:
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _together(self, words: list[str], parts: int) -> None:
         """Encode words of so many parts each, as one text; each part has one token that ends it. Where the number differs
@@ -106,10 +112,13 @@ class Words:
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text and the end id."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        cut = [t.split(" ") for t in texts]
-        self._learn(list(set().union(*cut).difference(self.known)))
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*cut)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.older, self.known, new = self.known, {}, words
+        self.known |= {w: self.older[w] for w in new if w in self.older}
+        self._learn(list(new.difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + end for ws in cut]
 
@@ -151,10 +160,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                 offset += length
 
         fit = BestFit(capacity, open_bins, emit)
-        for frame in frames:
+        for frame in (f.slice(at, ROWS) for f in frames for at in range(0, f.num_rows, ROWS)):
             ids_of, texts = frame.column("doc_id").to_pylist(), [t or "" for t in frame.column("text").to_pylist()]
             done = 0
-            for group in batches(texts):
+            for group in batches(texts, ENCODED_CHARS):
                 for doc, ids in zip(ids_of[done:done + len(group)], words.ids(group, end)):
                     for piece, at in enumerate(range(0, len(ids), size)):
                         part = ids[at:at + size]

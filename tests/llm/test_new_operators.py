@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from test_llm_operators import brute_components
 
-from footscape.llm import dedup, jaccard, manifest, periodic, quality, simhash
+from footscape.llm import dedup, jaccard, manifest, packing, periodic, quality, simhash
 
 ROW = "doc_id long, source string, lang string, n_chars long, text string, leaf string, runs string, fp string, _d string"
 RUN = "the cat sat on " * 30
@@ -173,3 +173,19 @@ def test_a_rare_quality_class_is_in_the_sample(spark):
     labels = spark.createDataFrame([(k, int(k in (11, 12, 13))) for k in range(3000)], "doc_id long, quality int")
     rows = quality.labelled_sample(docs, labels, "quality", 200, (0, 1, 2, 3, 4)).collect()
     assert {r.doc_id for r in rows if r._label} == {11, 12, 13} and 190 <= len(rows) <= 200
+
+
+def test_words_keep_their_ids_when_generations_change(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(5)
+    parts = ["the", "Été", "don't", "x.", "y!?", "42", "中文", ".\nThen", "\n\n", "\t", "", "é", "́", "Σας", "\x85"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", ""]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    words = packing.Words(path)
+    for k in range(0, len(texts), 7):
+        for t, got in zip(texts[k:k + 7], words.ids(texts[k:k + 7], b"")):
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert words.older
