@@ -204,3 +204,30 @@ def test_hot_cells_are_split_and_lose_nothing(spark):
     joined = a.join(b, ["k", "_salt"])
     plain = pts.join(small, "k")
     assert joined.count() == plain.count() and joined.select("image_id", "name").exceptAll(plain.select("image_id", "name")).count() == 0
+
+
+def test_distance_of_pairs_stays_out_of_the_join(spark):
+    pts = spark.createDataFrame([(1, 32.4, 34.75), (2, 32.4, 34.7502)], "image_id long, lng double, lat double")
+    line = F.array(G.point(F.lit(32.3999), F.lit(34.75)), G.point(F.lit(32.4002), F.lit(34.75)))
+    lines = spark.range(1).select(F.lit("s").alias("segment_id"), line.alias("geometry"))
+    near = SP.points_near_lines(pts, lines, 30.0, 0.0006, ["image_id"], ["segment_id"])
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if " Join " in x or x.startswith("Join ")]
+    assert joins and not any("ASIN" in x for x in joins)  # a filter moved into the join repeats the formula
+    want = pts.crossJoin(lines).select("image_id", G.point_to_line(F.col("lng"), F.col("lat"), F.col("geometry"))["dist"].alias("d"))
+    assert {r.image_id: r.dist for r in near.collect()} == {r.image_id: r.d for r in want.collect() if r.d <= 30}
+
+
+def test_points_snap_to_the_nearest_edge_near_and_far(spark):
+    rng = random.Random(5)
+    pts = [(f"p{i}", 32.4 + rng.random() * 0.004, 34.75 + rng.random() * 0.004) for i in range(60)] + [("far", 33.4, 34.75), (None, 32.4, 34.75), (None, 32.404, 34.75)]
+    p = spark.createDataFrame(pts, "point_id string, lng double, lat double")
+    edges = spark.createDataFrame([(f"s{i}", [(32.4 + i * 0.0011, 34.75), (32.4 + i * 0.0011, 34.7524)]) for i in range(4)],
+                                  f"segment_id string, geometry {G.LINE}")
+    got = SP.snap_points(p, edges, 250.0)
+    assert got.select("point_id").distinct().count() == got.count()
+    far = F.min(F.struct("d.dist", "segment_id")).alias("m")
+    d = G.point_to_line(F.col("lng"), F.col("lat"), F.col("geometry"))
+    want = p.crossJoin(edges).withColumn("d", d).filter("d.dist <= 250").groupBy("point_id").agg(far)
+    assert {(r.point_id, r.dist, r.segment_id) for r in got.collect()} == {(r.point_id, r.m.dist, r.m.segment_id) for r in want.collect()}
+    assert got.filter("dist < 31").count() and got.filter("dist > 32").count()
