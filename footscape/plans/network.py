@@ -18,7 +18,11 @@ def kept_ways(ways: DataFrame) -> DataFrame:
 
 def build_network(raw_nodes: DataFrame, ways: DataFrame, params: P.Params = P.DEFAULT,
                   weld_m: float = P.WELD_DISTANCE_M) -> tuple[DataFrame, DataFrame]:
-    """(segments, nodes).  Shuffles: by node for coordinates and uses, by cell for welding, by way for splitting."""
+    """(segments, nodes).  Shuffles: by node for coordinates and uses, by cell for welding, by way for splitting.
+
+    Both sides of its joins grow with the extract, and what Spark expects of their size is taken from compressed files,
+    far below that of rows with tags: without a hint they would be broadcast through the driver.
+    """
     kept = kept_ways(ways)
     vertices = N.junctions(N.way_nodes(kept, raw_nodes))
     parts = N.split_by_length(N.junction_split(vertices), params.max_segment_length_m)
@@ -28,12 +32,12 @@ def build_network(raw_nodes: DataFrame, ways: DataFrame, params: P.Params = P.DE
         "street_name", "street_name_el")
 
     def welded(col, name):
-        return weld.select("region_id", F.col("node_id").alias(col), F.col("welded_id").alias(f"_{name}"))
+        return weld.select("region_id", F.col("node_id").alias(col), F.col("welded_id").alias(f"_{name}")).hint("merge")
 
     out = parts.join(welded("from_osm", "f"), ["region_id", "from_osm"], "left").join(welded("to_osm", "t"), ["region_id", "to_osm"], "left")
     out = out.withColumns({
         "from_node": F.concat(F.lit("n"), F.coalesce("_f", "from_osm")), "to_node": F.concat(F.lit("n"), F.coalesce("_t", "to_osm"))})
-    out = out.filter((F.col("from_node") != F.col("to_node")) & (F.col("_len") >= 0.5)).join(info, ["region_id", "way_id"])
+    out = out.filter((F.col("from_node") != F.col("to_node")) & (F.col("_len") >= 0.5)).join(info.hint("merge"), ["region_id", "way_id"])
     segments = out.select(
         "region_id", F.concat(F.lit("w"), F.concat_ws("_", "way_id", "from_osm", "to_osm")).alias("segment_id"), "way_id", "osm_version",
         "osm_ts", "from_node", "to_node", "from_osm", "to_osm", "geometry", G.line_midpoint(F.col("geometry")).alias("centre"),

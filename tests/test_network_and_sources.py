@@ -231,3 +231,14 @@ def test_points_snap_to_the_nearest_edge_near_and_far(spark):
     want = p.crossJoin(edges).withColumn("d", d).filter("d.dist <= 250").groupBy("point_id").agg(far)
     assert {(r.point_id, r.dist, r.segment_id) for r in got.collect()} == {(r.point_id, r.m.dist, r.m.segment_id) for r in want.collect()}
     assert got.filter("dist < 31").count() and got.filter("dist > 32").count()
+
+
+def test_network_joins_broadcast_nothing_that_grows(spark):
+    nodes = spark.createDataFrame([("r", i, 32.4 + i * 0.0004, 34.75) for i in range(6)], "region_id string, node_id long, lng double, lat double")
+    tags = F.create_map(F.lit("highway"), F.lit("footway"))
+    ways = spark.createDataFrame([("r", i, [i, i + 1, i + 2]) for i in range(4)], "region_id string, way_id long, nodes array<long>").select(
+        "*", F.lit(1).alias("version"), F.lit("2024-01-01").cast("timestamp").alias("ts"), tags.alias("tags"))
+    segments, _ = build_network(nodes, ways)
+    plan = segments._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert segments.count()
