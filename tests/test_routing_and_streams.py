@@ -117,3 +117,12 @@ def test_navigation_stream(spark, tmp_path):
             pytest.skip("protobuf is not installed")
         raise
     assert [(r.step, r.advanced, r.off_route) for r in spark.table("nav").orderBy("ts").collect()] == [(1, True, False), (2, True, True)]
+
+
+def test_progress_is_that_of_the_nearest_piece(spark):
+    route = spark.createDataFrame([("s", [(32.4, 34.75), (32.401, 34.75), (32.401, 34.751)])], f"search_id string, geometry {G.LINE}")
+    pings = spark.createDataFrame([("a", "s", 32.4005, 34.75001), ("b", "s", 32.4011, 34.7505), ("c", "s", 32.41, 34.76)], "ping_id string, search_id string, lng double, lat double")
+    got = {r.ping_id: r for r in R.progress_on_route(pings, route).collect()}
+    want = pings.join(route, "search_id").select("ping_id", G.point_to_line(F.col("lng"), F.col("lat"), F.col("geometry"))["dist"].alias("d"))
+    assert {k: r.off_m for k, r in got.items()} == {r.ping_id: r.d for r in want.collect()}
+    assert got["a"].remaining_m > got["b"].remaining_m > got["c"].remaining_m == 0 and got["c"].off_route and not got["a"].off_route
