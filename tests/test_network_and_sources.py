@@ -242,3 +242,43 @@ def test_network_joins_broadcast_nothing_that_grows(spark):
     plan = segments._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert segments.count()
+
+
+def test_pairs_of_frames_and_segments_are_met_once(spark):
+    """Pairs of a segment of one piece aren't gathered; several pieces, or an id that comes twice, still give one row a pair."""
+    frames = [(f"i{i}", 32.4 + i * 0.00003, 34.75 + i * 0.00002, None, 10.0 * i, 0.5, "q") for i in range(12)] + [(None, 32.4001, 34.75, None, None, None, None)]
+    images = spark.createDataFrame(frames, "image_id string, lng double, lat double, captured_at timestamp, compass_angle double, quality_score double, sequence_id string")
+    a, b, c = (32.4, 34.75), (32.4003, 34.75), (32.4003, 34.7503)
+    rows = [("one", [a, b]), ("two", [a, b, c]), ("twice", [a, b]), ("twice", [b, c]), ("dot", [a]), (None, [a, b])]
+    near = SP.images_near_segments(images, spark.createDataFrame(rows, f"segment_id string, geometry {G.LINE}"))
+    got = near.collect()
+    assert len({(r.image_id, r.segment_id) for r in got}) == len(got) and {r.segment_id for r in got} == {"one", "two", "twice", "dot", None}
+    at = {(r[0]): r for r in frames}
+    for r in got:
+        best = min(spark_distance(at[r.image_id], p, q) for s, line in rows if s == r.segment_id for p, q in (zip(line, line[1:]) if len(line) > 1 else [(a, a)]))
+        assert abs(r.near.dist - best) < 0.05
+    single = SP.images_near_segments(images, spark.createDataFrame(rows[:1], f"segment_id string, geometry {G.LINE}"))
+    assert "Aggregate" not in single._jdf.queryExecution().optimizedPlan().toString()
+    east = single.first().near
+    assert abs(east.bearing - 90) < 0.01
+
+
+def spark_distance(frame, p, q):
+    """Metres from a frame to a straight piece, on a plane."""
+    kx, ky = 111320 * math.cos(math.radians(frame[2])), 110930.0
+    x, y, dx, dy = (frame[1] - p[0]) * kx, (frame[2] - p[1]) * ky, (q[0] - p[0]) * kx, (q[1] - p[1]) * ky
+    t = max(0.0, min(1.0, (x * dx + y * dy) / (dx * dx + dy * dy))) if p != q else 0.0
+    return math.hypot(x - t * dx, y - t * dy)
+
+
+def test_votes_are_counted_without_sorting_observations(spark):
+    o = O.OBSERVATION
+    rows = [("s", f"o{i}", t) for i, t in enumerate(["mapillary", "citizen", "mapillary", None])] + [("u", "o9", None), (None, "o8", "mapillary")]
+    linked = spark.createDataFrame(rows, "segment_id string, observation_id string, source_type string").select(
+        "*", F.lit(None).cast(o).alias("observation"), F.lit(None).cast("timestamp").alias("captured_at"), F.lit("2024-01-01").cast("timestamp").alias("analysed_at"))
+    votes = O.vote_features(linked)
+    got = {r.segment_id: (r.observation_count, r.n_mapillary, r.n_citizen, r.n_source_types, r.any_source_type, r.informative_count) for r in votes.collect()}
+    assert got == {"s": (4, 2, 1, 2, "citizen", 0), "u": (1, 0, 0, 0, None, 0), None: (1, 1, 0, 1, "mapillary", 0)}
+    plan = votes._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert any("HashAggregate(keys=[segment_id" in x and "source_type" in x.split("functions")[0] for x in plan)
+    assert not any("SortAggregate" in x and "source_type" in x.split("functions")[0] for x in plan)
