@@ -1,10 +1,11 @@
-"""What assessments write and read again."""
+"""What assessments and reassessments write, send and read again."""
 
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from footscape.plans import assess as A
+from footscape.plans import incremental as IN
 from footscape.schemas import OBSERVATION
 from footscape.sources import driver_tables as D
 
@@ -29,3 +30,26 @@ def test_a_reader_of_assessments_reads_its_columns_only(spark, tmp_path):
     out = A.assess(segments, obs, reports, D.now_observations())
     assert out.count() == segments.count()
     assert "ReadSchema: struct<status:string>" in plan(out.select("status"))
+
+
+def test_reassessed_segments_are_as_in_a_whole_assessment(spark, tmp_path, monkeypatch):
+    segments, obs, reports = tables(spark, str(tmp_path))
+    cols = ["segment_id", "status", "accessibility_score", "evidence_confidence", "observation_count", "verified_report_count", "last_evidence_at"]
+    touched = spark.createDataFrame([("w3E",), ("w4N",), ("w7E",), ("w7E",), ("gone",)], "segment_id string")
+    want = sorted(map(tuple, A.assess(segments, obs, reports, D.now_observations()).select(cols).filter("segment_id IN ('w3E', 'w4N', 'w7E')").collect()))
+    assert len(want) == 3 and {r[4] for r in want} == {0, 1}
+    for few in (IN.FEW_TOUCHED, 0):
+        monkeypatch.setattr(IN, "FEW_TOUCHED", few)
+        assert sorted(map(tuple, IN.reassess(touched, segments, obs, reports, D.now_observations()).select(cols).collect())) == want
+
+
+def test_observations_are_not_shuffled_to_find_the_touched(spark, tmp_path, monkeypatch):
+    segments, obs, reports = tables(spark, str(tmp_path))
+    monkeypatch.setattr(IN, "assess", lambda *given: given)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, near, said, *_ = IN.reassess(spark.createDataFrame([("w3E",)], "segment_id string"), segments, obs, reports, D.now_observations())
+        assert [r.observation_id for r in near.collect()] == ["o3"]
+        assert "Exchange hashpartitioning" not in plan(near) + plan(said)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
