@@ -1,9 +1,10 @@
-"""What assessments and reassessments write, send and read again."""
+"""What assessments, reassessments and bridges write, send and read again."""
 
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from footscape.operators import bridges as B
 from footscape.plans import assess as A
 from footscape.plans import incremental as IN
 from footscape.schemas import OBSERVATION
@@ -53,3 +54,11 @@ def test_observations_are_not_shuffled_to_find_the_touched(spark, tmp_path, monk
         assert "Exchange hashpartitioning" not in plan(near) + plan(said)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bridges_store_their_edges_first_and_numbers_after(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "n1", "n2"), ("b", "n2", "n3"), ("c", "n3", "n1"), ("d", "n3", "n4")], "edge_id string, src string, dst string").withColumn("wide", F.lit("x"))
+    seen, plain = [], B.stored
+    monkeypatch.setattr(B, "stored", lambda df: seen.append(df.columns) or plain(df))
+    assert [r.edge_id for r in B.bridges(edges).collect()] == ["d"]
+    assert seen[0] == ["edge_id", "src", "dst"] and seen[-1] == ["at", "next", "x1", "x2"]
