@@ -57,7 +57,7 @@ def test_observations_are_not_shuffled_to_find_the_touched(spark, tmp_path, monk
 
 
 def test_bridges_store_their_edges_first_and_numbers_after(spark, monkeypatch):
-    edges = spark.createDataFrame([("a", "n1", "n2"), ("b", "n2", "n3"), ("c", "n3", "n1"), ("d", "n3", "n4")], "edge_id string, src string, dst string").withColumn("wide", F.lit("x"))
+    edges = spark.createDataFrame([("a", "n1", "n2"), ("b", "n2", "n3"), ("c", "n3", "n1"), ("d", "n3", "n4"), ("d", "n3", "n4")], "edge_id string, src string, dst string").withColumn("wide", F.lit("x"))
     seen, plain = [], B.stored
     monkeypatch.setattr(B, "stored", lambda df: seen.append(df.columns) or plain(df))
     assert [r.edge_id for r in B.bridges(edges).collect()] == ["d"]
