@@ -107,6 +107,23 @@ def test_duplicates_match_brute_force_with_a_hot_spot(spark):
     assert got == brute_duplicates(rows)
 
 
+def test_a_probe_has_few_cells_and_meets_each_candidate_in_reach_once(spark):
+    rng, pairs = random.Random(4), []
+    for i in range(1600):
+        level, lat, t = i % R.LEVELS, rng.choice([0.0, 20.0, 35.0, 35.0, -35.0, 69.0, -80.0]) + rng.random(), 1.7e9 + rng.random() * 1e7
+        reach, angle = rng.choice([0, 0.3, 0.9, 0.999, 0.9999999]) * 40 / 2 ** level, rng.choice([0, 0.5, 1, 1.5, 2 * rng.random()]) * math.pi
+        degree = math.radians(1) * G.EARTH_RADIUS_M
+        other = (33.0 + reach * math.cos(angle) / degree / math.cos(math.radians(lat)), lat + reach * math.sin(angle) / degree)
+        later = rng.choice([-1, -0.5, 0, 0.7, 1]) * 112.5 * 86400 / 2 ** level
+        pairs.append((i, level, 33.0, lat, t if i % 9 or level > 1 else None, *other, t + later))
+    df = spark.createDataFrame(pairs, "i int, level int, lng double, lat double, t double, lng2 double, lat2 double, t2 double")
+    mine = R._cells(df.select("i", "level", "lng", "lat", "t"), F.col("level"), True).select("i", "lat", "cx", "cy", "tb")
+    theirs = R._cells(df.select("i", "level", F.col("lng2").alias("lng"), F.col("lat2").alias("lat"), F.col("t2").alias("t")), F.col("level"), False).select("i", "cx", "cy", "tb")
+    assert mine.filter("abs(lat) < 40").groupBy("i").count().agg(F.max("count")).first()[0] <= 8  # 27 before
+    met = mine.join(theirs, ["i", "cx", "cy", "tb"]).groupBy("i").count().collect()
+    assert len(met) == len(pairs) and {r["count"] for r in met} == {1}
+
+
 def test_frame_choice_matches_a_greedy_loop(spark):
     rng = random.Random(9)
     rows = []
