@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,24 @@ from footscape.session import stored  # noqa: F401
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What this Python worker keeps between its tasks: one value at most.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """A value that a worker keeps from task to task, until another one is kept there or `forget` is called."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Let go of what the worker keeps. Workers serve one operator after the other; a task that builds tables of its own
+    calls this first, so that they don't come on top of what another operator has left."""
+    _KEPT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footscape.llm.bpe import batches
-from footscape.llm.common import stored
+from footscape.llm.common import kept, stored
 
 CAPACITY, OPEN_BINS, END_ID = 4096, 256, 1
 #: Words of one generation of the cache, of which there are two; characters of texts that are encoded at once, and rows read at once.
@@ -123,9 +122,9 @@ class Words:
         return [b"".join(map(get, ws)) + end for ws in cut]
 
 
-@functools.lru_cache(1)
 def shared_words(path: str) -> Words:
-    return Words(path)
+    """The words that tasks of one packing share in a worker; other operators' tasks end them."""
+    return kept(("packing", path), lambda: Words(path))
 
 
 _PIECE = [("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footscape.llm.bpe import batches
-from footscape.llm.common import fold_of, stored
+from footscape.llm.common import fold_of, forget, stored
 
 #: At most so many labelled rows are used for training: a bound, whatever the size of the corpus.
 SAMPLE = 4000
@@ -191,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         rows = pd.concat([*frames, pd.DataFrame({"doc_id": [], "_label": [], "text": []})]).sort_values("doc_id")
         model = train(rows["text"].tolist(), rows["_label"].astype(int).tolist())
         yield pd.DataFrame({"weight": [model.weight.astype("<f4").tobytes()], "bias": [model.bias]})
@@ -204,6 +205,7 @@ def score_column(model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         scorer = model.scorer()
         for part in parts:
             yield pd.Series([s for group in batches([t or "" for t in part], SCORED_CHARS) for s in scorer.score(group)], dtype="float64")

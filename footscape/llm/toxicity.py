@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footscape.llm.bpe import batches
-from footscape.llm.common import fold_of, stored
+from footscape.llm.common import fold_of, forget, stored
 from footscape.llm.quality import one_text, score_column
 
 #: Characters in an n-gram, and the discount.
@@ -260,6 +260,7 @@ def word_counts(docs: DataFrame, labels: DataFrame, label: str, folds: tuple[int
         def frame(counts: dict) -> pd.DataFrame:
             return pd.DataFrame([(x, w, n) for x, c in counts.items() for w, n in c.items()], columns=["toxic", "word", "n"])
 
+        forget()
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for f in frames:
             for x, t in zip(f["toxic"], f["text"]):
@@ -286,6 +287,7 @@ def sample_features(rows: DataFrame, model: Model) -> pd.DataFrame:
     """The features of a bounded sample (doc_id, _label, text), made where its texts are; only they come to the driver."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         scorer = model.scorer()
         for f in frames:
             x = [scorer.features(g) for g in batches(f["text"].tolist())]

@@ -189,3 +189,22 @@ def test_words_keep_their_ids_when_generations_change(monkeypatch):
         for t, got in zip(texts[k:k + 7], words.ids(texts[k:k + 7], b"")):
             assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
     assert words.older
+
+
+def test_a_worker_lets_packing_go_before_it_scores(spark):
+    import public_tokenizers
+
+    class Left:
+        """Instead of scores, how many of packing's tables the worker still holds."""
+
+        def scorer(self):
+            return self
+
+        def score(self, texts):
+            import gc
+
+            return [float(sum(type(x).__name__ == "Words" for x in gc.get_objects()))] * len(texts)
+
+    docs = spark.createDataFrame([(k, f"words of number {k}") for k in range(64)], "doc_id long, text string").repartition(16)
+    assert packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 64
+    assert {r[0] for r in docs.select(quality.score_column(Left(), docs.text)).collect()} == {0.0}
